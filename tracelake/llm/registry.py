@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.llm import embedding_dedup, simhash
+from tracelake.llm.audio import media_columns
 from tracelake.llm.packing import pack
 from tracelake.llm.sentencepiece_codec import encode_documents
+from tracelake.llm.substring_dedup import remove_repeated
+from tracelake.llm.suffix_array_dedup import remove_earlier
 from tracelake.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,11 +33,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_simhash_near_dedup")
+def simhash_near_dedup(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), distance=4, shingle=4, seed=42)
+
+
 @query("op2_best_fit_packing")
 def best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), "word_bpe_49k.json", 2048)
 
 
+@query("op3_audio_media")
+def audio_media(spark, sf_dir):
+    return media_columns(table(spark, sf_dir, "documents"), with_media=False)
+
+
+@query(
+    "op4_substring_dedup",
+    """WITH words AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM words),
+hits AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY array_to_string(w[i:i + 34], ' ')) AS n FROM starts) WHERE n > 1),
+gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 35)))) AS g FROM hits GROUP BY doc_id),
+kept AS (SELECT doc_id, w, coalesce(len(g), 0) AS n_removed,
+    CASE WHEN g IS NULL THEN w ELSE list_filter(w, lambda x, k: NOT list_contains(g, k)) END AS k FROM words LEFT JOIN gone USING (doc_id))
+SELECT doc_id, len(w) AS n_words, n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept""",
+)
+def substring_dedup(spark, sf_dir):
+    return remove_repeated(table(spark, sf_dir, "documents"), width=35, with_text=False)
+
+
+@query("op6_suffix_array_dedup")
+def suffix_array_dedup(spark, sf_dir):
+    return remove_earlier(table(spark, sf_dir, "documents"), width=50, with_text=False)
+
+
 @query("op7_token_counts")
 def counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 512)
@@ -42,3 +75,19 @@ def counts(spark, sf_dir):
 @query("op9_sentencepiece_dropout")
 def sentencepiece_dropout(spark, sf_dir):
     return encode_documents(table(spark, sf_dir, "documents"), "piece_bpe_32k.model", dropout=0.1, seed=1, variants=4)
+
+
+@query(
+    "op10_embedding_near_dedup",
+    """WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, coalesce(len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS ok FROM embeddings),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.ok AND b.ok AND a.vec_id <> b.vec_id
+  AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+low AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x),
+degree AS (SELECT x AS vec_id, count(*) AS n_links FROM links GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM low LEFT JOIN degree USING (vec_id)""",
+)
+def embedding_near_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import embedding_dedup, simhash
+from tracelake.llm import chat, embedding_dedup, quality, simhash
 from tracelake.llm.audio import media_columns
 from tracelake.llm.packing import pack
 from tracelake.llm.sentencepiece_codec import encode_documents
@@ -62,6 +62,11 @@ def substring_dedup(spark, sf_dir):
     return remove_repeated(table(spark, sf_dir, "documents"), width=35, with_text=False)
 
 
+@query("op5_quality_classifier")
+def quality_classifier(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), order=4)
+
+
 @query("op6_suffix_array_dedup")
 def suffix_array_dedup(spark, sf_dir):
     return remove_earlier(table(spark, sf_dir, "documents"), width=50, with_text=False)
@@ -72,6 +77,11 @@ def counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 512)
 
 
+@query("op8_chat_formatting")
+def chat_formatting(spark, sf_dir):
+    return chat.parse(table(spark, sf_dir, "conversations"))
+
+
 @query("op9_sentencepiece_dropout")
 def sentencepiece_dropout(spark, sf_dir):
     return encode_documents(table(spark, sf_dir, "documents"), "piece_bpe_32k.model", dropout=0.1, seed=1, variants=4)

@@ -1,10 +1,55 @@
-"""The corpus pipeline: stages over ``documents``, applied one after another."""
+"""The corpus pipeline: stages over ``documents``, applied one after another.
+
+Each stage takes (spark, docs, sf_dir) and works on every row that the one
+before it kept. All but the last return the columns of ``documents``:
+
+quality classifier   rejected documents go
+SimHash near-dedup   one document of each group of near duplicates stays, the
+                     one with the least doc_id; a row without doc_id stays
+substring dedup      words of repeated passages are taken out of the texts;
+                     n_chars follows a text that changes
+best-fit packing     the pieces of all texts, with their sequences and offsets
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from tracelake.llm import packing, quality, simhash, substring_dedup
+from tracelake.llm.shared import written
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of equal doc_id stay or go together."""
+    found = simhash.near_duplicates(docs, distance=4, shingle=4, seed=42)
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def substring_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeated(docs, width=35)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, "word_bpe_49k.json", 2048)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("substring_dedup", substring_removal),
+    ("best_fit_packing", best_fit_packing),
+]
+#: SQL has neither the classifier nor the fingerprints' hash nor the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -79,6 +79,8 @@ class Codec:
         self.left, self.right, self.made = (np.array(x, np.int64) for x in (left, right, made))
         self.pairs = bpe.PairTable(self.left, self.right, self.made)
         self.unknown = size + len(lone)  # any other character: merges with none
+        self.char_table = np.full(0x110000, self.unknown, np.int32)
+        self.char_table[[ord(c) for c in self.chars]] = list(self.chars.values())
 
     @property
     @lru_cache(maxsize=1)  # noqa: B019 - one per worker
@@ -150,43 +152,31 @@ class Codec:
     def units(self, units: list[str], bases: np.ndarray, limit: int) -> list[bytes]:
         """Ids of each unit as little-endian 32-bit integers."""
         out: list[bytes] = [b""] * len(units)
-        get, unknown = self.chars.get, self.unknown
-        flat: list[int] = []
-        members: list[int] = []
-
-        def flush() -> None:
-            if not members:
-                return
-            sizes = np.array([len(units[i]) for i in members])
-            owner = np.repeat(np.arange(len(members)), sizes)
-            found = self.array_agenda(np.array(flat, np.int64), owner, bases[members], limit)
-            counts = np.bincount(found[1], minlength=len(members))
-            lone = np.flatnonzero(found[0] >= self.size)
-            ids = found[0].astype("<u4")
-            ends = np.cumsum(counts)
-            if not len(lone):
-                data, stops = ids.tobytes(), (ends * 4).tolist()
-                for i, a, b in zip(members, [0, *stops], stops, strict=False):
-                    out[i] = data[a:b]
-            else:
-                for k, i in enumerate(members):
-                    cut = slice(ends[k] - counts[k], ends[k])
-                    out[i] = self.fall_back(zip(found[0][cut].tolist(), found[2][cut].tolist(), found[3][cut].tolist(), strict=True), units[i])
-            flat.clear()
-            members.clear()
-
-        for i, unit in enumerate(units):
-            if len(unit) > LONG:
-                found = self.heap_agenda([get(c, unknown) for c in unit], int(bases[i]), limit)
-                out[i] = self.fall_back(found, unit)
-                continue
-            flat.extend([get(c, unknown) for c in unit])
-            members.append(i)
-            if len(flat) > ARRAY:
-                flush()
-        flush()
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        for i in np.flatnonzero(sizes > LONG).tolist():
+            found = self.heap_agenda([self.chars.get(c, self.unknown) for c in units[i]], int(bases[i]), limit)
+            out[i] = self.fall_back(found, units[i])
+        short = np.flatnonzero((sizes <= LONG) & (sizes > 0))
+        cuts = np.searchsorted(np.cumsum(sizes[short]), np.arange(ARRAY, int(sizes[short].sum()) + ARRAY, ARRAY), "right")
+        for members in np.split(short, np.unique(cuts[:-1])) if len(short) else []:
+            if len(members):
+                self._batch(units, members, sizes[members], bases[members], limit, out)
         return out
 
+    def _batch(self, units: list[str], members: np.ndarray, sizes: np.ndarray, bases: np.ndarray, limit: int, out: list[bytes]) -> None:
+        own = [units[i] for i in members.tolist()]
+        points = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), np.uint32)
+        owner = np.repeat(np.arange(len(own)), sizes)
+        symbols, owner, start, end = self.array_agenda(self.char_table[points].astype(np.int64), owner, bases, limit)
+        ends = np.cumsum(np.bincount(owner, minlength=len(own)))
+        stops = ends.tolist()
+        data = symbols.astype("<u4").tobytes()
+        for i, a, b in zip(members.tolist(), [0, *stops], stops, strict=False):
+            out[i] = data[4 * a : 4 * b]
+        for k in np.unique(owner[symbols >= self.size]).tolist():  # some character is no piece
+            cut = slice(stops[k - 1] if k else 0, stops[k])
+            out[members[k]] = self.fall_back(zip(symbols[cut].tolist(), start[cut].tolist(), end[cut].tolist(), strict=True), own[k])
+
     def fall_back(self, found, unit: str) -> bytes:
         """Ids, a character that is no piece as those of its bytes."""
         ids: list[int] = []
@@ -200,7 +190,7 @@ class Codec:
     def decode(self, ids: bytes) -> str:
         """The text of a sequence of ids; inverse of encoding."""
         table = self.decoded
-        data = b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        data = b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
         return data.removeprefix(b" ").decode("utf-8", "surrogatepass")
 
 
@@ -216,7 +206,7 @@ class Sampler:
         self.codec = codec(bpe.resolve(model))
         self.limit = round(dropout * (1 << 53))
         self.seed, self.variants = seed, variants
-        self.known: dict[tuple[int, str], bytes] = {}
+        self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
 
     def variant(self, key: str) -> int:
         return zlib.crc32(f"{self.seed}:{key}".encode()) % self.variants
@@ -230,17 +220,15 @@ class Sampler:
     def encode(self, keys: list[str], texts: list[str]) -> list[bytes]:
         variants = [self.variant(k) for k in keys]
         units = [UNIT.findall(" " + t) if t else [] for t in texts]
-        if len(self.known) > CACHE:
-            self.known = {}
-        wanted: set[tuple[int, str]] = set()
-        for v in set(variants):
+        if sum(map(len, self.known)) > CACHE:
+            self.known = [{} for _ in self.known]
+        wanted: list[tuple[int, str]] = []
+        for v, known in enumerate(self.known):
             own = set().union(*(u for u, w in zip(units, variants, strict=True) if w == v))
-            wanted.update((v, u) for u in own)
-        new = list(wanted - self.known.keys())
-        if new:
-            self.known.update(zip(new, self.codec.units([u for _, u in new], self.bases(new), self.limit), strict=True))
-        known = self.known
-        return [b"".join([known[v, u] for u in own]) for v, own in zip(variants, units, strict=True)]
+            wanted += [(v, u) for u in own - known.keys()]
+        for (v, u), ids in zip(wanted, self.codec.units([u for _, u in wanted], self.bases(wanted), self.limit), strict=True):
+            self.known[v][u] = ids
+        return [b"".join(map(self.known[v].__getitem__, own)) for v, own in zip(variants, units, strict=True)]
 
 
 _samplers: dict[tuple, Sampler] = {}

@@ -105,6 +105,7 @@ def test_empty_tables(spark):
 def test_byte_query(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert rows_of(QUERIES["op6_suffix_array_dedup"](spark, SF), BYTES) == brute_bytes(docs, 50)
+    same(QUERIES["op6_suffix_array_dedup"](spark, SF), ORACLES["op6_suffix_array_dedup"], SF)
 
 
 def test_word_query(spark):

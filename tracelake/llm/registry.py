@@ -67,7 +67,22 @@ def quality_classifier(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), order=4)
 
 
-@query("op6_suffix_array_dedup")
+@query(
+    "op6_suffix_array_dedup",
+    """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, unnest(list_transform(range(1, octet_length(b) - 48), lambda i: struct_pack(i := i, s := array_slice(b, i, i + 49)))) AS x FROM d),
+first AS (SELECT x.s AS s, min(doc_id) AS least FROM w GROUP BY x.s),
+hit AS (SELECT doc_id, x.i AS i FROM w JOIN first ON w.x.s = first.s WHERE least < doc_id),
+marked AS (SELECT doc_id, i, CAST(coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 50, true) AS INTEGER) AS new FROM hit),
+numbered AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM marked),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 49 AS z FROM numbered GROUP BY doc_id, g),
+parts AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+cut AS (SELECT doc_id, count(*) AS n_spans, sum(z - a + 1) AS n_removed, max(z) AS last,
+    string_agg(hex(array_slice(b, before + 1, a - 1)), '' ORDER BY a) AS head FROM parts JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || hex(array_slice(b, coalesce(last, 0) + 1, octet_length(b))))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)""",
+)
 def suffix_array_dedup(spark, sf_dir):
     return remove_earlier(table(spark, sf_dir, "documents"), width=50, with_text=False)
 

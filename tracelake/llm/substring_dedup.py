@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from tracelake.llm.arrow import map_slices
-from tracelake.llm.windows import FREQUENT, Contexts, Units, remove_repeats
+from tracelake.llm.windows import FREQUENT, Contexts, Part, Units, remove_repeats
 
 #: Words that a broadcast reference may have, and words of one of its shards.
 REFERENCE_WORDS, SHARD_WORDS = 1_000_000, 100_000
@@ -103,20 +103,14 @@ def repeated(texts: list[bytes], counts: list[int], width: int) -> list[np.ndarr
     return [np.array(automaton.statistics(w, 2)[width - 1 :]) >= width for w in words]
 
 
-def decide_for(width: int, gram: int):
-    def decide(found: Contexts) -> list[np.ndarray]:
-        groups: dict[bytes, list[int]] = {}
-        for c, (t, a) in enumerate(zip(found.texts, found.anchor.tolist(), strict=True)):
-            groups.setdefault(b" ".join(t.split(b" ", a + gram)[a : a + gram]), []).append(c)
-        out: list = [None] * len(found.texts)
-        for members in groups.values():
-            own = found.count[members].tolist()
-            if len(members) == 1:  # an automaton of one passage says what its count says
-                windows = found.texts[members[0]].count(b" ") + 2 - width
-                out[members[0]] = np.full(windows, own[0] > 1)
-                continue
-            for c, x in zip(members, repeated([found.texts[c] for c in members], own, width), strict=True):
-                out[c] = x
+def decide_for(width: int):
+    def decide(found: Contexts) -> np.ndarray:
+        out = np.repeat(found.count > 1, found.windows)  # right where a group has one context
+        begin = np.cumsum(found.windows) - found.windows
+        for members in found.compared():
+            own = members.tolist()
+            for c, x in zip(own, repeated([found.texts[c] for c in own], found.count[members].tolist(), width), strict=True):
+                out[begin[c] : begin[c] + len(x)] = x
         return out
 
     return decide
@@ -131,15 +125,22 @@ class Words(Units):
     def __init__(self, text_col: str, width: int, gram: int) -> None:
         self.text_col, self.width, self.gram = text_col, width, gram
 
-    def read(self, rows: pa.Table):
+    def count(self, rows: pa.Table) -> np.ndarray:
+        return np.array([len(words_of(t)) for t in rows.column(self.text_col).to_pylist()], np.int64)
+
+    def read(self, rows: pa.Table) -> Part:
         lists = [words_of(t) for t in rows.column(self.text_col).to_pylist()]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         words = [w for own in lists for w in own]
         data = b" ".join(words)
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        stops, starts = ends.tolist(), [0, *(ends + 1).tolist()]
+        starts = np.concatenate([[0], ends + 1])
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-        return hashes, sizes, np.zeros(len(lists), np.int64), lambda a, b: data[starts[a] : stops[b - 1]]
+
+        def spans(a: np.ndarray, b: np.ndarray) -> tuple[bytes, np.ndarray]:
+            first, stop = starts[a], ends[b - 1]
+            return b"".join([data[x:y] for x, y in zip(first.tolist(), stop.tolist(), strict=True)]), stop - first
+
+        return Part(hashes, np.fromiter(map(len, lists), np.int64, len(lists)), np.zeros(len(lists), np.int64), spans)
 
 
 RESULT = "n_words long, n_removed long, kept_sha256 string"
@@ -188,7 +189,7 @@ def remove_repeated(
 
     df = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     schema = f"id {kind}, {RESULT}" + ", kept string" * with_text
-    out = remove_repeats(df, "text", units, decide_for(width, gram), finish, schema, frequent)
+    out = remove_repeats(df, "text", units, decide_for(width), finish, schema, frequent)
     return out.withColumnRenamed("id", id_col)
 
 
@@ -214,7 +215,7 @@ def without_repeated(docs: DataFrame, width: int = 35, gram: int = 16, text_col:
             out = out.set_column(k, length_col, pa.compute.if_else(changed, fresh, rows.column(length_col)))
         yield from out.combine_chunks().to_batches()
 
-    return remove_repeats(docs, text_col, units, decide_for(width, gram), finish, docs.schema, FREQUENT)
+    return remove_repeats(docs, text_col, units, decide_for(width), finish, docs.schema, FREQUENT)
 
 
 def remove_reference(

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tracelake.llm.windows import FREQUENT, UNITS, Contexts, Units, remove_repeats
+from tracelake.llm.windows import FREQUENT, UNITS, Contexts, Part, Units, remove_repeats
 
 #: Text that is transformed as a piece, and that is merged at a time.
 PIECE, MERGED = 1 << 17, 1 << 20
@@ -80,60 +80,54 @@ def merge(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int) ->
     return entries, shared
 
 
-def least_starts(texts: list[bytes], least: np.ndarray, width: int) -> list[np.ndarray]:
-    """For each window of each text the least of ``least`` among the texts
-    that hold it."""
-    pieces: list[list[int]] = [[]]
-    held = 0
-    for c, t in enumerate(texts):
-        if held + len(t) > PIECE and pieces[-1]:
-            pieces.append([])
-            held = 0
-        pieces[-1].append(c)
-        held += len(t) + 1
+def least_starts(texts: list[bytes], least: np.ndarray, width: int) -> np.ndarray:
+    """For each window of each text, one text after another, the least of
+    ``least`` among the texts that hold it."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(lengths + 1)
+    cuts = [0, *np.unique(np.searchsorted(ends, np.arange(PIECE, int(ends[-1]), PIECE), "right")).tolist(), len(texts)]
     parts, owner, offset = [], [], []
-    for piece in pieces:
-        parts.append(transform(np.frombuffer(b"".join(texts[c] + END for c in piece), np.uint8)))
-        sizes = np.array([len(texts[c]) + 1 for c in piece])
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if a == b:
+            continue
+        parts.append(transform(np.frombuffer(END.join(texts[a:b]) + END, np.uint8)))
+        sizes = lengths[a:b] + 1
         order = parts[-1][2]
-        owner.append(np.repeat(np.array(piece), sizes)[order])
-        offset.append((np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes))[order])
+        owner.append(np.repeat(np.arange(a, b, dtype=np.int32), sizes)[order])
+        offset.append((np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)[order])
     entries, shared = merge(parts, width)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     own, at = np.concatenate(owner)[entries], np.concatenate(offset)[entries]
     whole = at <= lengths[own] - width
     own, at, shared = own[whole], at[whole], shared[whole]
     begin = np.flatnonzero(np.r_[True, shared[1:] != shared[:-1]])
     lowest = np.repeat(np.minimum.reduceat(least[own], begin), np.diff(np.r_[begin, len(own)]))
     counts = lengths - width + 1
-    first = np.cumsum(counts) - counts
-    flat = np.empty(int(counts.sum()), np.int64)
-    flat[first[own] + at] = lowest
-    return np.split(flat, np.cumsum(counts)[:-1])
-
-
-def decide_for(width: int, gram: int):
-    def decide(found: Contexts) -> list[np.ndarray]:
-        groups: dict[bytes, list[int]] = {}
-        for c, (t, a) in enumerate(zip(found.texts, found.anchor.tolist(), strict=True)):
-            groups.setdefault(t[a : a + gram], []).append(c)
-        out = [np.full(len(t) - width + 1, m) for t, m in zip(found.texts, found.least.tolist(), strict=True)]
-        batch: list[int] = []
+    out = np.empty(int(counts.sum()), np.int64)
+    out[(np.cumsum(counts) - counts)[own] + at] = lowest
+    return out
+
+
+def decide_for(width: int):
+    def decide(found: Contexts) -> np.ndarray:
+        out = np.repeat(found.least, found.windows)  # right where a group has one context
+        begin = np.cumsum(found.windows) - found.windows
+        batch: list[np.ndarray] = []
         size = 0
 
         def flush() -> None:
             nonlocal batch, size
             if batch:
-                for c, x in zip(batch, least_starts([found.texts[c] for c in batch], found.least[batch], width), strict=True):
-                    out[c] = x
+                own = np.concatenate(batch)
+                n = found.windows[own]
+                place = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                out[place] = least_starts([found.texts[c] for c in own.tolist()], found.least[own], width)
             batch, size = [], 0
 
-        for members in groups.values():
-            if len(members) > 1:  # one passage alone needs no comparison
-                batch += members
-                size += sum(len(found.texts[c]) for c in members)
-                if size > MERGED:
-                    flush()
+        for members in found.compared():
+            batch.append(members)
+            size += int(found.windows[members].sum()) + len(members) * width
+            if size > MERGED:
+                flush()
         flush()
         return out
 
@@ -158,11 +152,21 @@ class Bytes(Units):
     def __init__(self, text_col: str, id_col: str, width: int, gram: int) -> None:
         self.text_col, self.id_col, self.width, self.gram = text_col, id_col, width, gram
 
-    def read(self, rows: pa.Table):
-        ids = rows.column(self.id_col)
-        raw, sizes = utf8(pc.if_else(pc.is_valid(ids), rows.column(self.text_col), ""))
-        data = raw.tobytes()
-        return UNITS[raw], sizes, pc.fill_null(ids.cast(pa.int64()), 0).to_numpy(), lambda a, b: data[a:b]
+    def texts(self, rows: pa.Table) -> pa.Array:
+        return pc.if_else(pc.is_valid(rows.column(self.id_col)), rows.column(self.text_col), "")
+
+    def count(self, rows: pa.Table) -> np.ndarray:
+        return utf8(self.texts(rows))[1]
+
+    def read(self, rows: pa.Table) -> Part:
+        raw, sizes = utf8(self.texts(rows))
+
+        def spans(a: np.ndarray, b: np.ndarray) -> tuple[bytes, np.ndarray]:
+            n = b - a
+            place = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            return raw[place].tobytes(), n
+
+        return Part(UNITS[raw], sizes, pc.fill_null(rows.column(self.id_col).cast(pa.int64()), 0).to_numpy(), spans)
 
 
 def remove_earlier(
@@ -209,5 +213,5 @@ def remove_earlier(
         yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     df = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    out = remove_repeats(df, "text", units, decide_for(width, gram), finish, schema, frequent)
+    out = remove_repeats(df, "text", units, decide_for(width), finish, schema, frequent)
     return out.withColumnRenamed("id", id_col)

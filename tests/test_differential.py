@@ -4,7 +4,7 @@ import pytest
 
 from tests import waves
 from tracelake.model import CHANGES, SIGNALS, Recording, Window
-from tracelake.operators import compare, extract, timeline, toggle
+from tracelake.operators import compare, extract, find, timeline, toggle
 from tracelake.streaming.toggles import streaming_toggles
 
 
@@ -44,6 +44,13 @@ def test_operators_equal_a_direct_interpreter(spark, monkeypatch, seed):
         assert [tuple(r) for r in found] == waves.differences((changes, signals), (other_changes, other_signals), names, (None, None), ignore, limit)
 
 
+def test_nth_by_buckets(spark):
+    rows = spark.createDataFrame([(s, s * 10) for s in range(3, 90, 4)], "seq long, time long")
+    for n in (1, 2, 7, 22, 23):
+        want = [tuple(r) for r in find.nth(rows, "seq", n).collect()]
+        assert [tuple(r) for r in find.nth(rows, "seq", n, top=0, width=16).collect()] == want
+
+
 def test_streaming_toggles_equal_batch(spark, tmp_path):
     signals, changes, _ = random_recording(spark, 3)
     rows = [(c, s, d) for s, _, c, k, d in changes if k != "time"]

@@ -13,6 +13,8 @@ from tracelake.model import Window
 #: Requested names are few: a request this long or shorter is joined as a
 #: broadcast, a longer one as Catalyst sees fit.
 BROADCAST_TARGETS = 10_000
+#: Up to so many names their identifier codes become a literal list.
+LITERAL_TARGETS = 1_000
 
 
 def list_signals(signals: DataFrame, name_filter: str | None = None) -> DataFrame:
@@ -62,12 +64,18 @@ def in_window(changes: DataFrame, window: Window) -> DataFrame:
     return changes
 
 
+def changes_of(targets: DataFrame, changes: DataFrame, window: Window, asked: int) -> DataFrame:
+    """Changes in the window of the identifier codes of ``targets``, unjoined.
+    A literal list of codes reaches the scan, which a join doesn't."""
+    hits = in_window(changes.where(F.col("kind") != "time"), window)
+    if asked <= LITERAL_TARGETS:
+        ids = [r["id_code"] for r in targets.select("id_code").distinct().collect()]
+        return hits.where(F.col("id_code").isin(ids))
+    return hits.join(targets.select("id_code").distinct(), "id_code", "left_semi")
+
+
 def events(signals: DataFrame, changes: DataFrame, names: Sequence[str], window: Window) -> DataFrame:
     """The requested signals' changes in the window. Names that share an
     identifier code each get a copy, repeated names too."""
     targets = resolve(signals, names)
-    ids = [r["id_code"] for r in targets.select("id_code").distinct().collect()] if len(names) <= 1000 else []
-    hits = in_window(changes.where(F.col("kind") != "time"), window)
-    if ids:  # a literal list reaches the scan; a join doesn't
-        hits = hits.where(F.col("id_code").isin(ids))
-    return hits.join(targets, "id_code")
+    return changes_of(targets, changes, window, len(names)).join(targets, "id_code")

@@ -47,22 +47,22 @@ def carry_forward(
     )
 
 
-def count_switches(df: DataFrame, key: str, order: str, value: str, width: int = SEQ_BUCKET) -> DataFrame:
-    """Rows (key, switches): how often ``value`` differs from the one before
+def count_switches(df: DataFrame, keys: list[str], order: str, value: str, width: int = SEQ_BUCKET) -> DataFrame:
+    """Rows (keys.., switches): how often ``value`` differs from the one before
     it in the order of ``order``. A change from the empty string is not
     counted."""
-    df = df.select(key, order, value).withColumn("_bucket", bucket_of(order, width))
-    before = F.lag(value).over(W.partitionBy(key, "_bucket").orderBy(order))
+    df = df.select(*keys, order, value).withColumn("_bucket", bucket_of(order, width))
+    before = F.lag(value).over(W.partitionBy(*keys, "_bucket").orderBy(order))
     counts = (F.col("_before") != F.col(value)) & (F.col("_before") != "")
     buckets = (
         df.withColumn("_before", before)
-        .groupBy(key, "_bucket")
+        .groupBy(*keys, "_bucket")
         .agg(
             F.sum(F.when(counts, 1).otherwise(0)).alias("_inside"),
             F.min_by(value, order).alias("_first"),
             F.max_by(value, order).alias("_last"),
         )
-        .withColumn("_before", F.lag("_last").over(W.partitionBy(key).orderBy("_bucket")))
+        .withColumn("_before", F.lag("_last").over(W.partitionBy(*keys).orderBy("_bucket")))
     )
     crossing = F.when((F.col("_before") != F.col("_first")) & (F.col("_before") != ""), 1).otherwise(0)
-    return buckets.groupBy(key).agg(F.sum(F.col("_inside") + crossing).cast("long").alias("switches"))
+    return buckets.groupBy(*keys).agg(F.sum(F.col("_inside") + crossing).cast("long").alias("switches"))

@@ -108,20 +108,19 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
 @dataclass
 class Runs:
     """Runs of windows with one anchor: the document, the first window's place
-    and the last's (in units of the block), the anchor's hash and place, and a
-    hash of the whole context."""
+    and the last's (in units of the block), a hash of the anchor (mixed anew:
+    least hashes lie low, and shards are ranges), and one of the whole context."""
 
     doc: np.ndarray
     first: np.ndarray
     last: np.ndarray
     key: np.ndarray
-    anchor: np.ndarray
     content: np.ndarray
 
 
 def runs_of(units: np.ndarray, sizes: np.ndarray, width: int, gram: int) -> Runs:
     """Runs of all documents of a block, given their units one after another."""
-    found: list[list[np.ndarray]] = [[] for _ in range(6)]
+    found: list[list[np.ndarray]] = [[] for _ in range(5)]
     ends = np.cumsum(sizes)
     starts = ends - sizes
     wide = 1 << (width.bit_length() - 1)  # grams that cover a context in a few steps
@@ -148,10 +147,10 @@ def runs_of(units: np.ndarray, sizes: np.ndarray, width: int, gram: int) -> Runs
                 content = g[first] ^ (end - first).astype(np.uint64)
                 for k in range(1, steps):
                     content = mixed(content * np.uint64(BASE) + g[np.minimum(first + k * wide, end - wide)])
-                for out, x in zip(found, (doc[begin], first + base, window[close] + base, h[at[begin]], at[begin] + base, content), strict=True):
+                for out, x in zip(found, (doc[begin], first + base, window[close] + base, mixed(h[at[begin]]), content), strict=True):
                     out.append(x)
         d = e
-    kinds = (np.int64, np.int64, np.int64, np.uint64, np.int64, np.uint64)
+    kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64)
     return Runs(*[np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(found, kinds, strict=True)])
 
 

@@ -3,8 +3,10 @@ import random
 import pytest
 
 from tests import waves
+from tracelake.errors import ParseError
 from tracelake.model import CHANGES, SIGNALS, Recording, Window
 from tracelake.operators import compare, extract, find, timeline, toggle
+from tracelake.sources import vcd
 from tracelake.streaming.toggles import streaming_toggles
 
 
@@ -44,6 +46,45 @@ def test_operators_equal_a_direct_interpreter(spark, monkeypatch, seed):
         assert [tuple(r) for r in found] == waves.differences((changes, signals), (other_changes, other_signals), names, (None, None), ignore, limit)
 
 
+def body(r, n):
+    time, out = 0, []
+    codes = ["!", "b", "r1", "#", "0", "$x", "s", "z!"]
+    for _ in range(n):
+        kind, code = r.randrange(9), r.choice(codes)
+        if kind < 2:
+            time += r.choice([0, 1, 9])
+            out.append(f"#{time}")
+        elif kind < 5:
+            out.append(r.choice("01xzXZ") + code)
+        elif kind < 7:
+            out.append(r.choice("bB") + "".join(r.choices("01" if r.random() < 0.7 else "01xzXZ", k=r.choice([0, 1, 8, 33, 64, 65, 128, 129]))) + " " + code)
+        elif kind == 7:
+            out.append(r.choice([f"r{r.uniform(-5, 5)} {code}", f"sText{n} {code}", "r1e3\n" + code]))
+        else:
+            out.append(r.choice(["$dumpvars", "$end", "$comment #5 b1 ! $end" if r.random() < 0.3 else "$dumpoff"]))
+    return "\n".join(out).encode() + b"\n"
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_arrays_read_what_tokens_read(seed):
+    r = random.Random(seed)
+    data = body(r, r.choice([0, 1, 5, 60, 400]))
+    for ids, low, high in ((None, None, None), ({"!", "b", "#"}, 3, None), (None, 2, 20), (set(), None, 9)):
+        want = [t for t in vcd.tokens(data, 7, 0) if (low is None or t[1] >= low) and (high is None or t[1] <= high) and (ids is None or t[2] in ids)]
+        for step in (1 << 20, 50):
+            got = [tuple(x.values()) for b in vcd.parsed(data, 7, ids, low, high, step) for x in b.to_pylist()]
+            assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("bad", [b"#5\n#4\n", b"1\n", b"b01\n", b"#x\n", b"q!\n", b"rzz !\n", b"b012 !\n", b"#1\n$what\n"])
+def test_arrays_fail_where_tokens_fail(bad):
+    with pytest.raises(ParseError):
+        list(vcd.parsed(bad, 0, None, None, None))
+    with pytest.raises(ParseError):
+        list(vcd.parsed(b"#1\n1!\n" + bad, 0, None, None, None, 1))
+    assert list(vcd.parsed(b"#99\n1!\n" + bad, 0, None, None, 3)) == []
+
+
 def test_nth_by_buckets(spark):
     rows = spark.createDataFrame([(s, s * 10) for s in range(3, 90, 4)], "seq long, time long")
     for n in (1, 2, 7, 22, 23):

@@ -7,6 +7,7 @@ from tracelake import api, cli
 from tracelake.errors import DuplicateSignal, InvalidOccurrence, MissingEndDefinitions, MissingSignal, MissingSignals, ParseError
 from tracelake.functions import parse_target
 from tracelake.model import Window
+from tracelake.operators import compare
 from tracelake.operators.trace import DEFAULT_PATHS, load_paths, trace
 from tracelake.sources.vcd import decode_vector, float_display, load_signal_list, parse_header, read_header, read_vcd, sanitize_scopes, tokens, write_vcd
 
@@ -90,6 +91,20 @@ def test_compare(files):
     assert found(signals=["tb.temp", "unheard.of"]) == [z]
 
 
+def test_compare_json(spark, files):
+    first, second = read_vcd(spark, files["A"]), read_vcd(spark, files["B"])
+    found = json.loads(compare.summary_json(compare.compare(first, second)).first()["json"])
+    assert found == {
+        "common_signal_count": 4,
+        "total_mismatches": 1,
+        "signals_with_mismatches": 1,
+        "passed": False,
+        "mismatches_by_signal": {"tb.clk": 1},
+        "signals_only_in_file1": ["tb.u.clk_i"],
+        "signals_only_in_file2": ["tb.u.extra"],
+    }
+
+
 def test_trace(spark, files, tmp_path):
     lines = [r["line"] for r in trace(read_vcd(spark, files["TRACE"]), waves.TRACE_NAMES).collect()]
     pc = "PC : 0x00000100 I : 0x00400113 "

@@ -15,6 +15,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,10 +27,24 @@ from tracelake.errors import DuplicateSignal, MissingEndDefinitions, ParseError
 from tracelake.model import CHANGES, SIGNALS, Recording
 
 CHUNK = 32 << 20
-BATCH = 20_000
+#: Text that is turned into arrays at a time.
+SLICE = 2 << 20
+ARROW = pa.schema(
+    [
+        ("seq", pa.int64()),
+        ("time", pa.int64()),
+        ("id_code", pa.string()),
+        ("kind", pa.string()),
+        ("disp", pa.string()),
+        ("norm", pa.string()),
+        ("hex", pa.string()),
+        ("bits64", pa.int64()),
+    ]
+)
 MAX_TIME = (1 << 63) - 1
 
 _TOKEN = re.compile(rb"\S+")
+_MARK = re.compile(rb"#(\d+)")
 _PLAIN_SCOPE = re.compile(r"[A-Za-z_][A-Za-z0-9_$().]*")
 
 
@@ -144,8 +160,9 @@ def decode_vector(bits: str) -> tuple[str, str, str, str | None]:
     return "text", bits, bits, None
 
 
-def tokens(data: bytes, base: int, time: int, more: bool = False) -> Iterator[tuple]:
-    """Rows of CHANGES from body text that starts at offset base and time."""
+def tokens(data: bytes, base: int, time: int) -> Iterator[tuple]:
+    """Rows of CHANGES from body text that starts at offset base and time.
+    This is the definition; ``scan`` gives the same rows from arrays."""
     found = _TOKEN.finditer(data)
     skip = False
     for m in found:
@@ -190,6 +207,170 @@ def tokens(data: bytes, base: int, time: int, more: bool = False) -> Iterator[tu
             raise ParseError(f"unexpected {word[:40]!r}")
 
 
+class Odd(Exception):
+    """Text that is left to ``tokens``: unusual, or in error."""
+
+
+def gathered(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The spans of an ASCII buffer as strings."""
+    ends = np.cumsum(size)
+    place = np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(buf[place]))
+
+
+def hex_strings(value: np.ndarray) -> pa.Array:
+    """Lower-case hexadecimal digits without leading zeros."""
+    size = np.ones(len(value), np.int64)
+    for k in range(1, 16):
+        size += value >= np.uint64(1 << (4 * k))
+    shift = np.arange(60, -4, -4).astype(np.uint64)
+    digits = np.frombuffer(b"0123456789abcdef", np.uint8)[((value[:, None] >> shift) & np.uint64(15)).astype(np.int64)]
+    kept = digits[np.arange(16) >= 16 - size[:, None]]
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(value), pa.py_buffer(offsets), pa.py_buffer(kept))
+
+
+def digits_of(buf: np.ndarray, start: np.ndarray, size: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the spans in base 2 or 10, and whether all digits are such;
+    spans have 64 or 18 digits at most."""
+    value, good = np.zeros(len(start), np.uint64), np.ones(len(start), bool)
+    for k in range(int(size.max(initial=0))):
+        own = np.flatnonzero(size > k)
+        digit = buf[start[own] + k] - np.uint8(48)  # wraps for what is below 0
+        good[own] &= digit < base
+        value[own] = value[own] * np.uint64(base) + digit
+    return value, good
+
+
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[list(b"#")], _CLASS[list(b"01xzXZ")], _CLASS[list(b"$")] = 1, 2, 3
+_CLASS[list(b"bB")], _CLASS[list(b"rRsS")] = 4, 5
+_KEYWORDS = pa.array(["$dumpvars", "$dumpall", "$dumpon", "$dumpoff", "$end"])
+
+
+def scan(data: bytes, base: int, ids: set[str] | None, low: int | None, high: int | None) -> Iterator[pa.RecordBatch]:
+    """The rows of ``tokens`` that the filters keep, by kind, not in order.
+    Raises Odd before any batch where the text needs ``tokens``."""
+    buf = np.frombuffer(data, np.uint8)
+    space = buf <= 32
+    if b"$comment" in data or (buf > 126).any() or (space & (buf != 32) & ((buf < 9) | (buf > 13))).any():
+        raise Odd
+    edge = np.diff(np.concatenate([[0], (~space).view(np.int8), [0]]))
+    start = np.flatnonzero(edge == 1)
+    size = np.flatnonzero(edge == -1) - start
+    if not len(start):
+        return
+    kind = _CLASS[buf[start]]
+    # a b, r or s token is followed by an identifier, whatever that starts
+    # with: in a run of tokens that look like values, every other one is
+    looks = kind >= 4
+    begins = looks & ~np.concatenate([[False], looks[:-1]])
+    run = np.maximum.accumulate(np.where(begins, np.arange(len(start)), 0))
+    value = looks & ((np.arange(len(start)) - run) % 2 == 0)
+    ident = np.concatenate([[False], value[:-1]])
+    if len(value) and value[-1]:
+        raise Odd
+    kind[ident] = 6
+    word, scalar, mark = kind == 3, np.flatnonzero(kind == 2), np.flatnonzero(kind == 1)
+    if (kind == 0).any() or (size[scalar] == 1).any() or not pc.all(pc.is_in(gathered(buf, start[word], size[word]), _KEYWORDS)).as_py() and word.any():
+        raise Odd
+    if len(mark) and (size[mark].max() > 19 or size[mark].min() < 2):
+        raise Odd
+    ticks, good = digits_of(buf, start[mark] + 1, size[mark] - 1, 10)
+    ticks = ticks.astype(np.int64)
+    if not good.all() or (np.diff(ticks) < 0).any():
+        raise Odd
+    at = np.zeros(len(start), np.int64)
+    at[mark] = ticks
+    at = np.maximum.accumulate(at)
+    inside = np.ones(len(start), bool)
+    if low is not None:
+        inside &= at >= low
+    if high is not None:
+        inside &= at <= high
+    wanted = None if ids is None else pa.array(sorted(ids), pa.string())
+    out: list[pa.RecordBatch] = []
+
+    def rows(place: np.ndarray, code, kinds: str, disp, norm, hexa=None, bits=None) -> None:
+        n = len(place)
+        nothing = pa.nulls(n, pa.string())
+        columns = [pa.array(base + start[place]), pa.array(at[place]), nothing if code is None else code, pa.array([kinds] * n, pa.string())]
+        columns += [nothing if x is None else x for x in (disp, norm, hexa)] + [pa.nulls(n, pa.int64()) if bits is None else bits]
+        if n:
+            out.append(pa.RecordBatch.from_arrays(columns, schema=ARROW))
+
+    def kept(place: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """Of tokens in the window those of wanted identifiers, and these."""
+        own = inside[place]
+        place, begin, length = place[own], begin[own], length[own]
+        code = gathered(buf, begin, length)
+        if wanted is None:
+            return place, code
+        hit = pc.is_in(code, wanted)
+        return place[hit.to_numpy(zero_copy_only=False)], code.filter(hit)
+
+    if ids is None:
+        rows(mark[inside[mark]], None, "time", None, None)
+    place, code = kept(scalar, start[scalar] + 1, size[scalar] - 1)
+    digit = pc.ascii_lower(gathered(buf, start[place], np.ones(len(place), np.int64)))
+    rows(place, code, "text", digit, digit)
+    vector = np.flatnonzero(kind == 4)
+    vector = vector[value[vector]]
+    place, code = kept(vector, start[vector + 1], size[vector + 1])
+    begin, length = start[place] + 1, size[place] - 1
+    short = length <= 64
+    number, whole = digits_of(buf, begin, np.where(short, length, 0), 2)
+    plain = np.flatnonzero(short & whole)
+    decimal = pa.array(number[plain]).cast(pa.string())
+    rows(place[plain], code.take(pa.array(plain)), "int", decimal, decimal, hex_strings(number[plain]))
+    other = np.flatnonzero(~(short & whole))
+    found = [decode_vector(x) for x in gathered(buf, begin[other], length[other]).to_pylist()]
+    for name in ("int", "text"):
+        own = [i for i, f in enumerate(found) if f[0] == name]
+        columns = [pa.array([found[i][k] for i in own], pa.string()) for k in (1, 2, 3)]
+        rows(place[other[own]] if own else place[:0], code.take(pa.array(other[own] if own else [], pa.int64())), name, *columns)
+    rest = np.flatnonzero(value & (kind == 5))
+    place, code = kept(rest, start[rest + 1], size[rest + 1])
+    found = []
+    for p, c in zip(place.tolist(), code.to_pylist(), strict=True):
+        text = data[start[p] : start[p] + size[p]] + b" " + c.encode()
+        found += [(base + int(start[p]), int(at[p]), *r[2:]) for r in tokens(text, 0, 0)]
+    if found:
+        out.append(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), ARROW, strict=True)], schema=ARROW))
+    yield from out
+
+
+def parsed(data: bytes, base: int, ids: set[str] | None, low: int | None, high: int | None, step: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """``scan`` in slices that start with a time mark; a slice that it leaves
+    goes through ``tokens``. Nothing past the end of the window is read."""
+    at = time = 0
+    while at < len(data):
+        cut = re.compile(rb"\n#\d").search(data, at + step)
+        end = cut.start() + 1 if cut else len(data)
+        part = data[at:end]
+        mark = _MARK.match(part)
+        if at and high is not None and mark and int(mark[1]) > high:
+            return
+        if at and mark and int(mark[1]) < time:
+            raise ParseError(f"time goes back from {time} to {int(mark[1])}")
+        try:
+            yield from scan(part, base + at, ids, low, high)
+        except (Odd, ParseError):
+            rows = []
+            for row in tokens(part, base + at, 0):
+                if high is not None and row[1] > high:
+                    break
+                if (low is None or row[1] >= low) and (ids is None or row[2] in ids):
+                    rows.append(row)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
+        last = part.rfind(b"\n#")
+        mark = _MARK.match(part[last + 1 :] if last >= 0 else part)
+        time = int(mark[1]) if mark else time
+        at = end
+
+
 class Chunk(InputPartition):
     def __init__(self, path: str, start: int, end: int, first: bool) -> None:
         super().__init__(f"{path}:{start}")
@@ -224,7 +405,7 @@ class VcdReader(DataSourceReader):
         starts = range(head.body, max(head.size, head.body + 1), step)
         return [Chunk(self.path, s, min(s + step, head.size), s == head.body) for s in starts]
 
-    def read(self, part: Chunk) -> Iterator[tuple]:
+    def read(self, part: Chunk) -> Iterator[pa.RecordBatch]:
         with open_file(part.path) as f:
             size = f.size()
             start = part.start if part.first else mark_after(f, part.start, size)
@@ -233,11 +414,7 @@ class VcdReader(DataSourceReader):
                 return
             f.seek(start)
             data = f.read(end - start)
-        for row in tokens(data, start, 0):
-            if self.high is not None and row[1] > self.high:
-                return
-            if (self.low is None or row[1] >= self.low) and (self.ids is None or row[2] in self.ids):
-                yield row
+        yield from parsed(data, start, self.ids, self.low, self.high)
 
 
 def mark_after(f, at: int, size: int) -> int:

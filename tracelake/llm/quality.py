@@ -98,12 +98,12 @@ def requested(grams: Grams) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarr
     """Sorted distinct hashes that a block asks for, and for each n the
     numbers asked for and their places among the hashes."""
     real = np.flatnonzero(grams.real)
+    context = grams.real.copy()  # contexts end just before a character
+    context[:-1] |= grams.real[1:]
+    inner = np.flatnonzero(context)
     numbers, own = [], []
     for n in range(grams.order + 1):
-        places = real
-        if 0 < n < grams.order and len(real):  # contexts end just before a character
-            places = np.union1d(real, real - 1)
-        texts, ids, _ = grams.keys(n, places)
+        texts, ids, _ = grams.keys(n, inner if 0 < n < grams.order else real)
         numbers.append(ids)
         own.append(hashed(texts))
     keys = np.unique(np.concatenate(own))
@@ -252,6 +252,8 @@ def scores(
     return each_block(answered(held, replies), SCORES.format(kind=kind), scoring)
 
 
+#: Languages up to which their limits are joined as a broadcast.
+LANGUAGES = 10_000
 #: Characters after which a mean's scatter is that of documents, not of length.
 SETTLED = 400.0
 
@@ -267,11 +269,15 @@ def judged(scored: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
     scored = scored.withColumn("lang_", F.coalesce("lang", F.lit("")))
     spread_of = F.sqrt(1 + F.lit(SETTLED) / F.col("n"))
     held = scored.join(trusted(labels, id_col).where("calibrates"), "id").where("n > 0")
-    middle = held.groupBy("lang_").agg(F.percentile_approx("log_perplexity", 0.5, 10_000).alias("middle"))
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if few else df
+
+    middle = written(held.groupBy("lang_").agg(F.percentile_approx("log_perplexity", 0.5, 10_000).alias("middle")), "middle")
+    few = middle.count() <= LANGUAGES
     excess = (F.col("log_perplexity") - F.col("middle")) / spread_of
-    top = held.join(middle, "lang_").groupBy("lang_").agg(F.percentile_approx(excess, QUANTILE, 10_000).alias("top"))
-    limits = middle.join(top, "lang_")
-    out = scored.join(limits, "lang_", "left")
+    top = held.join(small(middle), "lang_").groupBy("lang_").agg(F.percentile_approx(excess, QUANTILE, 10_000).alias("top"))
+    out = scored.join(small(middle.join(top, "lang_")), "lang_", "left")
     limit = F.col("middle") + MARGIN * F.col("top") * spread_of
     keep = F.coalesce(F.col("log_perplexity") <= limit, F.lit(True))
     return out.select("block", "row", "id", "lang", "n", F.exp("log_perplexity").alias("perplexity"), F.exp(F.when(F.col("n") > 0, limit)).alias("limit"), keep.alias("keep"))

@@ -12,23 +12,23 @@ taken only if it needs fewer sequences.
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm import bpe
 from tracelake.llm.arrow import map_slices, strings
 from tracelake.llm.shared import written
-from tracelake.llm.token_counts import SPACE, STABLE
+from tracelake.llm.token_counts import LETTER, NUMBER, SPACE, STABLE
 
 # The split pattern of the word-level vocabulary.
-WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
+WORD = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+")
 CACHE = 300_000
 #: Pieces dealt to a partition on average: large enough to fill its sequences.
 PIECES = 60_000

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from tracelake.llm import bpe
 from tracelake.llm.packing import Encoder, best_fit, lower_bound, pack
 from tracelake.llm.sentencepiece_codec import Sampler, codec, decode_documents, encode_documents
-from tracelake.llm.token_counts import Counter, token_counts
+from tracelake.llm.token_counts import LETTER, NUMBER, SPACE, STABLE, Counter, token_counts
 
 SF = "/root/testdata/sf0.001"
 ODD = [
@@ -46,6 +46,15 @@ def test_ids_equal_the_library(texts):
     assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_classes_are_unicodes():
+    import regex
+
+    for c in map(chr, range(0x2100)):
+        if not STABLE.search(c):
+            for own, theirs in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\p{White_Space}")):
+                assert bool(regex.match(f"[{own}]", c)) == bool(regex.match(theirs, c)), hex(ord(c))
+
+
 def test_odd_texts():
     tok = library("byte_bpe_50k.json")
     assert Counter("byte_bpe_50k.json").count(ODD) == [len(tok.encode(t, add_special_tokens=False).ids) for t in ODD]

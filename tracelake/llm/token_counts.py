@@ -7,22 +7,21 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm import bpe
 from tracelake.llm.arrow import map_slices, strings
 
-# The split pattern of byte-level vocabularies, with Unicode's
-# white space written out.
-SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-SPLIT = regex.compile(
-    rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-)
 #: Characters whose class no version of Unicode changes; a text with others is
 #: split by the library.
 STABLE = re.compile(r"[^\u0000-\u024f\u2010-\u2027\u20ac]")
+# Letters, numbers and white space among those, and the split
+# pattern of byte-level vocabularies.
+LETTER, NUMBER, SPACE = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
+SPLIT = re.compile(
+    rf"'(?:s|t|re|ve|m|ll|d)| ?(?:[{LETTER}]+|[{NUMBER}]+|[^{SPACE}{LETTER}{NUMBER}]+)|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+)
 #: Pre-tokens whose counts a worker keeps; beyond that it starts anew.
 CACHE = 400_000
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Sequence
 
+# The wording of the reports below, which scripts read.
 RULE = "=" * 42
 #: Mismatches that the detailed report shows for a signal; the count is whole.
 SHOWN = 10

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.llm.shared import written
+
 ROLES = ["system", "user", "assistant", "tool"]
 STATES = 2 * len(ROLES)  # role r begins in state r and goes on in state r + 4
 NAMES = {
@@ -216,7 +218,10 @@ def parse(
     alone = F.concat(F.lit("null "), F.xxhash64("turn", "role", "text").cast("string"))
     rows = rows.withColumn("conv", F.coalesce(F.concat(F.lit("id "), F.col("conv_id").cast("string")), alone))
     rows = rows.withColumn("c", F.coalesce(F.floor(F.col("turn") / segment), F.lit(-(1 << 62))).cast("long"))
-    sizes = rows.groupBy("conv", "c").agg(F.count("*").alias("n")).where(F.col("n") > hot)
+    # what is joined to the rows is written first: its size is known then, and
+    # the texts aren't shuffled to meet a few keys
+    rows = written(rows, "turns")
+    sizes = written(rows.groupBy("conv", "c").agg(F.count("*").alias("n")).where(F.col("n") > hot), "sizes")
     rows = rows.join(sizes, ["conv", "c"], "left").withColumn("k", F.ceil(F.col("n") / segment))
     step = F.floor(F.lit(float(1 << 64)) / F.col("k"))
     rows = rows.withColumns(
@@ -232,6 +237,7 @@ def parse(
     rows = rows.withColumn("g", F.pmod(F.xxhash64(*KEYS), F.lit(groups)))
 
     counts = rows.select(*KEYS).distinct().groupBy("conv").agg(F.count("*").alias("segments")).where("segments > 1")
+    counts = written(counts, "long")
 
     def matrices(frame: pd.DataFrame) -> pd.DataFrame:
         out = [(*key, transfer(model, model.emissions(lines)).reshape(-1).tolist()) for key, _, lines in _segments(frame)]
@@ -245,7 +251,7 @@ def parse(
     long = rows.join(counts.select("conv"), "conv", "left_semi")
     key_types = ", ".join(f"{k} {kinds[k]}" for k in KEYS)
     cuts = long.groupBy("g").applyInPandas(matrices, f"{key_types}, m array<double>")
-    cuts = cuts.groupBy("conv").applyInPandas(chain, f"{key_types}, enter int, leave int")
+    cuts = written(cuts.groupBy("conv").applyInPandas(chain, f"{key_types}, enter int, leave int"), "cuts")
 
     def decode(frame: pd.DataFrame) -> pd.DataFrame:
         out = []

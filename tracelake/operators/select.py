@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tracelake.errors import DuplicateSignal, MissingSignals
 from tracelake.model import Window
@@ -16,6 +20,10 @@ BROADCAST_TARGETS = 10_000
 #: Up to so many names their identifier codes become a literal list.
 LITERAL_TARGETS = 1_000
 
+REQUEST = T.StructType([T.StructField("req_ord", T.LongType()), T.StructField("name", T.StringType())])
+CODE = T.StructType([T.StructField("id_code", T.StringType()), T.StructField("size", T.IntegerType())])
+TARGET = T.StructType([T.StructField("req_ord", T.LongType()), T.StructField("signal", T.StringType()), *CODE.fields])
+
 
 def list_signals(signals: DataFrame, name_filter: str | None = None) -> DataFrame:
     """Names in order of declaration, those that hold ``name_filter``."""
@@ -34,24 +42,51 @@ def require_unique(signals: DataFrame) -> None:
         raise DuplicateSignal(found[0]["name"])
 
 
+def local(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType) -> DataFrame:
+    """Rows that the plan itself holds: joining them starts no job."""
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
+    return spark.createDataFrame(pa.table([pa.array(list(c), to_arrow_type(f.dataType)) for c, f in zip(columns, schema, strict=True)], names=schema.names), schema)
+
+
 def requested(spark: SparkSession, names: Sequence[str]) -> DataFrame:
     """Rows (req_ord, name) of a request, repeats kept."""
-    return spark.createDataFrame(list(enumerate(names)), "req_ord long, name string")
+    return local(spark, list(enumerate(names)), REQUEST)
 
 
 def missing_names(signals: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(signals.select("name"), "name", "left_anti").select("req_ord", "name")
 
 
-def resolve(signals: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Rows (req_ord, signal, id_code, size) of the request, or an error that
-    lists every missing name in order of the request."""
-    wanted = requested(signals.sparkSession, names)
+@dataclass(frozen=True)
+class Targets:
+    """A resolved request: rows (req_ord, signal, id_code, size), its distinct
+    (id_code, size), and the codes themselves if they are few."""
+
+    rows: DataFrame
+    codes: DataFrame
+    ids: list[str] | None
+
+
+def resolve(signals: DataFrame, names: Sequence[str]) -> Targets:
+    """The request's signals, or an error that lists every missing name in
+    order of the request."""
+    spark = signals.sparkSession
+    if len(names) <= LITERAL_TARGETS:
+        found = signals.where(F.col("name").isin(list(names))).select("name", "id_code", "size").collect()
+        known = {r["name"]: (r["id_code"], r["size"]) for r in found}
+        missing = [n for n in names if n not in known]
+        if missing:
+            raise MissingSignals(missing)
+        rows = local(spark, [(i, n, *known[n]) for i, n in enumerate(names)], TARGET)
+        codes = sorted({known[n] for n in names})
+        return Targets(F.broadcast(rows), F.broadcast(local(spark, codes, CODE)), sorted({c for c, _ in codes}))
+    wanted = requested(spark, names)
     missing = [r["name"] for r in missing_names(signals, wanted).orderBy("req_ord").collect()]
     if missing:
         raise MissingSignals(missing)
-    targets = wanted.join(signals.select("name", "id_code", "size"), "name").withColumnRenamed("name", "signal")
-    return F.broadcast(targets) if len(names) <= BROADCAST_TARGETS else targets
+    rows = wanted.join(signals.select("name", "id_code", "size"), "name").withColumnRenamed("name", "signal")
+    small = F.broadcast if len(names) <= BROADCAST_TARGETS else lambda df: df
+    return Targets(small(rows), small(rows.select("id_code", "size").distinct()), None)
 
 
 def in_window(changes: DataFrame, window: Window) -> DataFrame:
@@ -64,18 +99,17 @@ def in_window(changes: DataFrame, window: Window) -> DataFrame:
     return changes
 
 
-def changes_of(targets: DataFrame, changes: DataFrame, window: Window, asked: int) -> DataFrame:
-    """Changes in the window of the identifier codes of ``targets``, unjoined.
-    A literal list of codes reaches the scan, which a join doesn't."""
+def changes_of(targets: Targets, changes: DataFrame, window: Window) -> DataFrame:
+    """Changes in the window of the targets' identifier codes, unjoined. A
+    literal list of codes reaches the scan, which a join doesn't."""
     hits = in_window(changes.where(F.col("kind") != "time"), window)
-    if asked <= LITERAL_TARGETS:
-        ids = [r["id_code"] for r in targets.select("id_code").distinct().collect()]
-        return hits.where(F.col("id_code").isin(ids))
-    return hits.join(targets.select("id_code").distinct(), "id_code", "left_semi")
+    if targets.ids is not None:
+        return hits.where(F.col("id_code").isin(targets.ids))
+    return hits.join(targets.codes.select("id_code").distinct(), "id_code", "left_semi")
 
 
 def events(signals: DataFrame, changes: DataFrame, names: Sequence[str], window: Window) -> DataFrame:
     """The requested signals' changes in the window. Names that share an
     identifier code each get a copy, repeated names too."""
     targets = resolve(signals, names)
-    return changes_of(targets, changes, window, len(names)).join(targets, "id_code")
+    return changes_of(targets, changes, window).join(targets.rows, "id_code")

@@ -21,6 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from tracelake.errors import DuplicateSignal, MissingEndDefinitions, ParseError
@@ -449,7 +450,9 @@ def read_vcd(spark: SparkSession, path: str, splittable: bool = True, chunk_byte
     changes = (
         spark.read.format("vcd").option("splittable", str(splittable).lower()).option("chunkbytes", str(chunk_bytes)).load(path)
     )
-    return Recording(spark.createDataFrame(head.signals, SIGNALS), changes, head.timescale)
+    columns = list(zip(*head.signals, strict=True)) or [()] * len(SIGNALS)
+    declared = pa.table([pa.array(list(c), to_arrow_type(f.dataType)) for c, f in zip(columns, SIGNALS, strict=True)], names=SIGNALS.names)
+    return Recording(spark.createDataFrame(declared, SIGNALS), changes, head.timescale)
 
 
 def signal_list(lines: DataFrame) -> DataFrame:

@@ -22,6 +22,16 @@ def active() -> SparkSession:
     )
 
 
+def share_code(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it.
+    Where it is installed on the workers, this changes nothing."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors share. Only
     where the cluster names none, as in tests, a temporary one is set."""

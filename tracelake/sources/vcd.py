@@ -26,6 +26,7 @@ from pyspark.sql.types import StructType
 
 from tracelake.errors import DuplicateSignal, MissingEndDefinitions, ParseError
 from tracelake.model import CHANGES, SIGNALS, Recording
+from tracelake.session import share_code
 
 CHUNK = 32 << 20
 #: Text that is turned into arrays at a time.
@@ -444,6 +445,7 @@ class VcdSource(DataSource):
 
 
 def read_vcd(spark: SparkSession, path: str, splittable: bool = True, chunk_bytes: int = CHUNK) -> Recording:
+    share_code(spark)
     spark.dataSource.register(VcdSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     head = read_header(path)

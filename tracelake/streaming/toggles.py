@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tracelake.session import share_code
+
 OUT = "signal string, toggles long, last_value string"
 STATE = "last_value string, toggles long"
 
@@ -30,4 +32,5 @@ def streaming_toggles(changes: DataFrame) -> DataFrame:
     """Rows (signal, toggles, last_value) for a streaming DataFrame (signal,
     seq, value) whose rows arrive in order of ``seq`` across batches; use
     output mode update."""
+    share_code(changes.sparkSession)
     return changes.groupBy("signal").applyInPandasWithState(advance, OUT, STATE, "update", GroupStateTimeout.NoTimeout)

@@ -15,8 +15,6 @@ document's length before quantiles are taken.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import log
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -34,8 +32,10 @@ START = "\x02"
 HELD_OUT = 5
 #: The quantile of held-out excesses, and how far beyond it the limit is.
 QUANTILE, MARGIN = 0.995, 1.1
+#: Characters that are scored at a time.
+CHUNK = 1 << 18
 #: Size of direct tables for codes; beyond it codes are sorted.
-DIRECT = 1 << 24
+DIRECT = 1 << 23
 
 
 def dense(codes: np.ndarray, bound: int) -> tuple[np.ndarray, int]:
@@ -58,7 +58,7 @@ class Grams:
         pad = START * (order - 1)
         self.order, self.text = order, "".join(pad + t for t in texts)
         self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        points = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        points = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
         ends = np.cumsum(self.sizes + order - 1)
         self.real = np.ones(len(points), bool)
         starts = ends - self.sizes
@@ -70,10 +70,13 @@ class Grams:
         if not len(points):
             return
         symbol, alphabet = dense(points, 0x110000)
-        for n in range(1, order + 1):
-            before = np.zeros(len(points), np.int64)
-            before[1:] = self.ids[n - 1][:-1]
-            ids, count = dense(before * alphabet + symbol, self.count[-1] * alphabet)
+        for _ in range(order):
+            bound = self.count[-1] * alphabet
+            code = np.zeros(len(points), np.int32 if bound < 1 << 31 else np.int64)
+            code[1:] = self.ids[-1][:-1]
+            code *= alphabet
+            code += symbol
+            ids, count = dense(code, bound)
             self.ids.append(ids)
             self.count.append(count)
 
@@ -124,11 +127,17 @@ def log_probabilities(grams: Grams, numbers: list[np.ndarray], where: list[np.nd
         out[numbers[n]] = values[where[n]]
         return out
 
-    p = np.full(len(real), table(alpha, 0, 0.0)[0])
-    for n in range(1, grams.order + 1):
-        context = grams.ids[n - 1][real - 1] if n > 1 else np.zeros(len(real), np.int32)
-        p = table(alpha, n, 0.0)[grams.ids[n][real]] + table(gamma, n - 1, 1.0)[context] * p
-    return np.log(np.maximum(p, 1e-300))
+    share = [table(alpha, n, 0.0) for n in range(grams.order + 1)]
+    weight = [table(gamma, n, 1.0) for n in range(grams.order)]
+    out = np.empty(len(real))
+    for at in range(0, len(real), CHUNK):
+        place = real[at : at + CHUNK]
+        p = np.full(len(place), share[0][0])
+        for n in range(1, grams.order + 1):
+            context = grams.ids[n - 1][place - 1] if n > 1 else 0
+            p = share[n][grams.ids[n][place]] + weight[n - 1][context] * p
+        out[at : at + CHUNK] = np.log(np.maximum(p, 1e-300))
+    return out
 
 
 def model(counts: DataFrame, order: int) -> DataFrame:
@@ -312,8 +321,3 @@ def accepted(docs: DataFrame, labels: DataFrame, order: int = 4, id_col: str = "
         yield from rows.filter(pa.array(stays)).combine_chunks().to_batches()
 
     return each_block(answered(held, gone), docs.schema, kept)
-
-
-def log2_bits(perplexity: float) -> float:
-    """Bits a character, for reports."""
-    return log(perplexity) / log(2)

@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from tracelake.session import share_code
+
 #: Text that is worked on at a time in a worker; a longer text is a slice alone.
 SLICE_BYTES = 4 << 20
 #: Rows that Spark puts into one Arrow batch; bounds a worker's input.
@@ -42,6 +44,7 @@ def map_slices(
     df: DataFrame, column: str, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]]
 ) -> DataFrame:
     """Applies ``make()`` (called once in a task) to slices of the input."""
+    share_code(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.arrow import BATCH_ROWS, slices
 from tracelake.llm.shared import new_path
+from tracelake.session import share_code
 
 #: Text in a block; a longer text is a block alone.
 BLOCK_BYTES = 4 << 20
@@ -63,6 +64,7 @@ def blocks(docs: DataFrame, text_col: str, limit: int = BLOCK_BYTES) -> DataFram
     """Rows (block, payload), bucketed by block; payload is Arrow data of some
     of the input's rows with all their columns. Every row is in one block."""
     spark = docs.sparkSession
+    share_code(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,10 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.session import share_code
+
 
 def grouped(rows: DataFrame, keys: list[str], member: str, cap: int) -> DataFrame:
     """The rows with ``_s``, their chunk, and ``_i``, ``_j``, the pair of
     chunks that a group compares; sorted by group within partitions."""
+    share_code(rows.sparkSession)
     counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
     chunks = F.ceil(F.col("_n") / cap).cast("int")
     held = rows.join(counts, keys).withColumn("_k", chunks)

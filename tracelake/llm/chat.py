@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.shared import written
+from tracelake.session import share_code
 
 ROLES = ["system", "user", "assistant", "tool"]
 STATES = 2 * len(ROLES)  # role r begins in state r and goes on in state r + 4
@@ -210,6 +211,7 @@ def parse(
     line; a row with a null conversation is a conversation alone. Without rows
     of known role the model has even chances. Other columns aren't read.
     """
+    share_code(conversations.sparkSession)
     rows = conversations.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text")
     )

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tracelake.llm.cells import forest, grouped, whole_groups
 from tracelake.llm.components import components
 from tracelake.llm.shared import written
+from tracelake.session import share_code
 
 #: Width of a hash step, in units of the distance at the threshold.
 WIDTH = 6.0
@@ -154,6 +155,7 @@ def near_duplicates(
     columns aren't read.
     """
     spark = vectors.sparkSession
+    share_code(spark)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     big = F.lit(float("inf"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < big)) & F.exists("v", lambda x: x != 0)

@@ -201,8 +201,8 @@ def pack(
 
     Each document's ids are closed by id 0. Null and empty texts are that id
     alone; repeated rows are packed each; no documents give no rows. Other
-    columns aren't read. ``certified`` tells that the group in which a
-    sequence was settled is at its lower bound. Groups are bounded: by the
+    columns aren't read. ``certified`` tells that the whole, or the group in
+    which a sequence was settled, is at its lower bound. Groups are bounded: by the
     pieces dealt to a partition first, by what FAN partitions offer later.
     """
     cut = written(pieces(docs, tokenizer, capacity, id_col, text_col, with_ids), "pieces")
@@ -238,5 +238,6 @@ def pack(
     for df in settled[1:]:
         out = out.unionByName(df)
     sequence = (F.col("level").cast("long") * (1 << 56) + F.col("part") * (1 << 28) + F.col("bin")).alias("sequence_id")
-    out = out.select("id", "piece", "start", "length", "ids_crc32", sequence, "offset", "certified", *ids)
+    certified = F.lit(True) if used <= bound else F.col("certified")
+    out = out.select("id", "piece", "start", "length", "ids_crc32", sequence, "offset", certified.alias("certified"), *ids)
     return out.withColumnRenamed("id", id_col)

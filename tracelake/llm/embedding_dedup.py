@@ -27,7 +27,7 @@ from tracelake.session import share_code
 #: Width of a hash step, in units of the distance at the threshold.
 WIDTH = 6.0
 #: Unrelated vectors that a bucket holds on average, for the choice of k.
-BUCKET = 128
+BUCKET = 512
 CAP = 1024
 
 
@@ -82,20 +82,30 @@ def _hash(batches: Iterable[pa.RecordBatch], k: int, tables: int, width: float,
                 found = buckets(directions(part.column("v"), int(dim)), k, tables, width, seed)
                 n = part.num_rows
                 every = np.repeat(np.arange(n), tables)
-                own = pa.array([row.tobytes() for row in found], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.tile(np.arange(tables, dtype=np.int32), n)),
                         pa.array(found.reshape(-1).astype(np.int64)),
                         pa.array(np.full(n * tables, dim, np.int32)),
                         *[part.column(c).take(pa.array(every)) for c in ("node", "n", "v")],
-                        own.take(pa.array(every)),
                     ],
-                    names=["t", "bucket", "dim", "node", "n", "v", "own"],
+                    names=["t", "bucket", "dim", "node", "n", "v"],
                 )
 
 
-def _verify(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def first_common(unit: np.ndarray, a: np.ndarray, b: np.ndarray, t: int, plan: tuple) -> np.ndarray:
+    """Whether pairs of rows of ``unit`` share no bucket in tables before t.
+    Buckets are made again here, which is cheaper than carrying them along."""
+    own, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    ids = np.concatenate([buckets(unit[own[i : i + 256]], *plan)[:, :t] for i in range(0, len(own), 256)])
+    x, y = place[: len(a)], place[len(a) :]
+    out = np.empty(len(a), bool)
+    for i in range(0, len(a), 65536):
+        out[i : i + 65536] = ~(ids[x[i : i + 65536]] == ids[y[i : i + 65536]]).any(axis=1)
+    return out
+
+
+def _verify(batches: Iterable[pa.RecordBatch], threshold: float, plan: tuple) -> Iterator[pa.RecordBatch]:
     """Per group: how many vectors each node links with, and links that span
     the group's components. A pair counts in its first common table only."""
     for table, group in whole_groups(batches, ["t", "bucket", "dim", "_i", "_j"]):
@@ -103,7 +113,6 @@ def _verify(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[pa.
         node, weight = table.column("node").to_numpy(), table.column("n").to_numpy()
         side, t, dims = table.column("_s").to_numpy(), table.column("t").to_numpy(), table.column("dim").to_numpy()
         crossing = table.column("_i").to_numpy() != table.column("_j").to_numpy()
-        own = table.column("own").combine_chunks()
         vectors = table.column("v").combine_chunks()
         counts: dict[int, int] = {}
         left: list[int] = []
@@ -119,8 +128,7 @@ def _verify(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[pa.
             if not len(a):
                 continue
             if t[s]:
-                ids = np.frombuffer(b"".join(own.slice(s, e - s).to_pylist()), np.uint32).reshape(e - s, -1)[:, : t[s]]
-                new = np.concatenate([~(ids[x] == ids[y]).any(axis=1) for x, y in zip(np.array_split(a, len(a) // 65536 + 1), np.array_split(b, len(b) // 65536 + 1), strict=True)])
+                new = first_common(unit, a, b, int(t[s]), plan)
                 a, b = a[new], b[new]
             total = np.bincount(a, weight[s + b], e - s) + np.bincount(b, weight[s + a], e - s)
             for i in np.flatnonzero(total).tolist():
@@ -170,10 +178,10 @@ def near_duplicates(
         return _hash(batches, k, tables, width, seed)
 
     def verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _verify(batches, threshold)
+        return _verify(batches, threshold, (k, tables, width, seed))
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    schema = "t int, bucket long, dim int, node long, n long, v array<float>, own binary"
+    schema = "t int, bucket long, dim int, node long, n long, v array<float>"
     exact = classes.select(F.col("v").cast("array<float>").alias("f"), "v")
     if not exact.where("f <> v").isEmpty():  # stored as doubles: carried as such
         schema = schema.replace("array<float>", "array<double>")

@@ -1,10 +1,10 @@
 """Comparison of rows that share a cell, whatever the cells' sizes.
 
-Cells are counted first (with a combine before the shuffle). Rows alone in
-their cell go. A cell of more than ``cap`` rows is cut into chunks by a hash of
-the member, and every pair of chunks becomes a group of its own, so that each
-pair of rows meets in exactly one group and no group exceeds twice the cap.
-Groups are then streamed, sorted, through Arrow batches.
+Cells are counted first, by their keys alone. A cell of more than ``cap`` rows
+is cut into chunks by a hash of the member, and every pair of chunks becomes a
+group of its own, so that each pair of rows meets in exactly one group and no
+group exceeds twice the cap. Rows are shuffled once, to their groups, which are
+then streamed, sorted, through Arrow batches.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.llm.shared import written
 from tracelake.session import share_code
 
 
@@ -23,9 +24,9 @@ def grouped(rows: DataFrame, keys: list[str], member: str, cap: int) -> DataFram
     """The rows with ``_s``, their chunk, and ``_i``, ``_j``, the pair of
     chunks that a group compares; sorted by group within partitions."""
     share_code(rows.sparkSession)
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
-    chunks = F.ceil(F.col("_n") / cap).cast("int")
-    held = rows.join(counts, keys).withColumn("_k", chunks)
+    large = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > cap)
+    held = rows.join(written(large, "cells"), keys, "left")
+    held = held.withColumn("_k", F.coalesce(F.ceil(F.col("_n") / cap), F.lit(1)).cast("int"))
     held = held.withColumn("_s", F.pmod(F.xxhash64(member), F.col("_k")).cast("int"))
     held = held.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     held = held.withColumns({"_i": F.least("_s", "_o"), "_j": F.greatest("_s", "_o")}).drop("_n", "_k", "_o")

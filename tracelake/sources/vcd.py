@@ -28,7 +28,9 @@ from tracelake.errors import DuplicateSignal, MissingEndDefinitions, ParseError
 from tracelake.model import CHANGES, SIGNALS, Recording
 from tracelake.session import share_code
 
-CHUNK = 32 << 20
+#: Least and largest size of a chunk; between them a file is cut so that every
+#: core gets a few.
+SMALL_CHUNK, CHUNK = 4 << 20, 128 << 20
 #: Text that is turned into arrays at a time.
 SLICE = 2 << 20
 ARROW = pa.schema(
@@ -444,11 +446,13 @@ class VcdSource(DataSource):
         return VcdReader(dict(self.options))
 
 
-def read_vcd(spark: SparkSession, path: str, splittable: bool = True, chunk_bytes: int = CHUNK) -> Recording:
+def read_vcd(spark: SparkSession, path: str, splittable: bool = True, chunk_bytes: int | None = None) -> Recording:
     share_code(spark)
     spark.dataSource.register(VcdSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     head = read_header(path)
+    if chunk_bytes is None:
+        chunk_bytes = min(CHUNK, max(SMALL_CHUNK, head.size // (4 * spark.sparkContext.defaultParallelism)))
     changes = (
         spark.read.format("vcd").option("splittable", str(splittable).lower()).option("chunkbytes", str(chunk_bytes)).load(path)
     )

@@ -80,14 +80,22 @@ class Grams:
             self.ids.append(ids)
             self.count.append(count)
 
-    def keys(self, n: int, places: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """The distinct n-grams that end at ``places``: texts, numbers, counts."""
+    def places(self, mask: np.ndarray) -> Iterator[np.ndarray]:
+        """Marked places, some at a time."""
+        for at in range(0, len(mask), CHUNK):
+            yield at + np.flatnonzero(mask[at : at + CHUNK])
+
+    def keys(self, n: int, mask: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct n-grams that end at marked places: texts, numbers,
+        counts."""
         if n == 0:
-            return [""], np.zeros(1, np.int64), np.array([len(places)])
-        counts = np.bincount(self.ids[n][places], minlength=self.count[n])
+            return [""], np.zeros(1, np.int64), np.array([np.count_nonzero(mask)])
+        counts, last = np.zeros(self.count[n], np.int64), np.zeros(self.count[n], np.int64)
+        for place in self.places(mask):
+            own = self.ids[n][place]
+            counts += np.bincount(own, minlength=len(counts))
+            last[own] = place
         numbers = np.flatnonzero(counts)
-        last = np.zeros(self.count[n], np.int64)
-        last[self.ids[n][places]] = places
         text = self.text
         return [text[e - n + 1 : e + 1] for e in last[numbers].tolist()], numbers, counts[numbers]
 
@@ -100,13 +108,11 @@ def hashed(texts: list[str]) -> np.ndarray:
 def requested(grams: Grams) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Sorted distinct hashes that a block asks for, and for each n the
     numbers asked for and their places among the hashes."""
-    real = np.flatnonzero(grams.real)
     context = grams.real.copy()  # contexts end just before a character
     context[:-1] |= grams.real[1:]
-    inner = np.flatnonzero(context)
     numbers, own = [], []
     for n in range(grams.order + 1):
-        texts, ids, _ = grams.keys(n, inner if 0 < n < grams.order else real)
+        texts, ids, _ = grams.keys(n, context if 0 < n < grams.order else grams.real)
         numbers.append(ids)
         own.append(hashed(texts))
     keys = np.unique(np.concatenate(own))
@@ -120,7 +126,6 @@ def cut_by_shard(keys: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
 
 def log_probabilities(grams: Grams, numbers: list[np.ndarray], where: list[np.ndarray], alpha: np.ndarray, gamma: np.ndarray) -> np.ndarray:
     """Each real character's log probability, orders interpolated upwards."""
-    real = np.flatnonzero(grams.real)
 
     def table(values: np.ndarray, n: int, default: float) -> np.ndarray:
         out = np.full(grams.count[n], default)
@@ -129,14 +134,15 @@ def log_probabilities(grams: Grams, numbers: list[np.ndarray], where: list[np.nd
 
     share = [table(alpha, n, 0.0) for n in range(grams.order + 1)]
     weight = [table(gamma, n, 1.0) for n in range(grams.order)]
-    out = np.empty(len(real))
-    for at in range(0, len(real), CHUNK):
-        place = real[at : at + CHUNK]
+    out = np.empty(int(grams.sizes.sum()))
+    at = 0
+    for place in grams.places(grams.real):
         p = np.full(len(place), share[0][0])
         for n in range(1, grams.order + 1):
             context = grams.ids[n - 1][place - 1] if n > 1 else 0
             p = share[n][grams.ids[n][place]] + weight[n - 1][context] * p
-        out[at : at + CHUNK] = np.log(np.maximum(p, 1e-300))
+        out[at : at + len(place)] = np.log(np.maximum(p, 1e-300))
+        at += len(place)
     return out
 
 
@@ -218,7 +224,7 @@ def scores(
     def counting(block: int, rows: pa.Table, answers) -> Iterator[pa.RecordBatch]:
         texts = rows.column(text_col).to_pylist()
         grams = Grams([texts[i] or "" for i, _ in answers], order)
-        found, _, counts = grams.keys(order, np.flatnonzero(grams.real))
+        found, _, counts = grams.keys(order, grams.real)
         if len(found) and grams.real.any():
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(counts.astype(np.int64))], names=["gram", "c"])
 
@@ -235,9 +241,11 @@ def scores(
         parts = [spread(x) for _, x in answers]
         alpha, gamma = (np.concatenate([p[k] for p in parts]).view(np.float32).astype(np.float64) for k in (0, 1))
         logs = log_probabilities(grams, numbers, where, alpha, gamma)
-        total = np.concatenate([[0.0], np.cumsum(logs)])
-        n, at = grams.sizes, grams.doc_start
-        mean = -(total[at + n] - total[at]) / np.maximum(n, 1)
+        n = grams.sizes
+        total = np.zeros(len(n))
+        if len(logs):
+            total[n > 0] = np.add.reduceat(logs, grams.doc_start[n > 0])
+        mean = -total / np.maximum(n, 1)
         arrays = [
             pa.array(np.full(len(n), block)),
             pa.array(np.arange(len(n), dtype=np.int32)),

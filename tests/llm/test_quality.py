@@ -86,6 +86,56 @@ def test_query_separates_held_out_documents(spark):
     assert np.mean(good) > 0.99 and np.mean(bad) < 0.15
 
 
+def test_measures_equal_brute_force():
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("ab c"), n)) for n in (0, 3, 900, 0, 8, 7, 40, 0)]
+    grams = quality.Grams(texts, 4)
+    losses = rng.random(int(grams.sizes.sum()))
+    spans, shares = quality.worst_spans(losses, grams), quality.repeated_share(grams)
+    for i, t in enumerate(texts):
+        own = losses[grams.doc_start[i] : grams.doc_start[i] + len(t)]
+        width = min(quality.SPAN, len(t))
+        assert spans[i] == pytest.approx(max((own[k : k + width].mean() for k in range(len(t) - width + 1) if width), default=0.0))
+        s = quality.START * 3 + t
+        ends = [s[k : k + 4] for k in range(len(t))]
+        again = [ends[k] in ends[max(k - quality.RECENT, 0) : k] for k in range(len(t))]
+        assert shares[i] == pytest.approx(np.mean(again) if t else 0.0)
+    assert len(quality.worst_spans(np.zeros(0), quality.Grams([""], 4))) == 1
+    assert quality.repeated_share(quality.Grams([], 4)).shape == (0,)
+
+
+def test_repeated_words_and_insults_are_rejected(spark):
+    """Kinds whose mean perplexity is ordinary."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("etaoin"), int(rng.integers(2, 7)))) for _ in range(300)]
+    texts = [" ".join(rng.choice(words, int(rng.integers(60, 400)))) for _ in range(300)]
+    insulted = [f"{t} zzgrumpf {t}" for t in texts[:5]]
+    repeated = [" ".join([w] * 200) for w in words[:5]]
+    rows = [(i, t, "en") for i, t in enumerate(texts + insulted + repeated)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    keep = {r["doc_id"]: r["keep"] for r in quality.classify(docs, labels).collect()}
+    assert np.mean([keep[i] for i in range(300)]) > 0.98
+    assert not any(keep[i] for i in range(300, 310))
+
+
+def test_every_trusted_text_is_held_out_once(spark):
+    rows = [(i, f"ab{i} cab ba", "en") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    part = {r["id"]: r["part"] for r in quality.trusted(labels, "doc_id").collect()}
+    out = quality.scores(quality.blocks(docs, "text"), labels, 3, "doc_id", "text", "lang", "bigint").collect()
+    assert sorted(r["id"] for r in out if r["judged"]) == list(range(40))
+    held = [r for r in out if r["calibrates"]]
+    assert sorted(r["id"] for r in held) == list(range(40))
+    for m in range(quality.HELD_OUT):
+        mean = brute_model([t for i, t, _ in rows if part[i] != m], 3)
+        for r in held:
+            if part[r["id"]] == m:
+                assert r["model"] == m
+                assert r["log_perplexity"] == pytest.approx(mean(rows[r["id"]][1]), rel=1e-4)
+
+
 def test_accepted_keeps_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")

@@ -2,14 +2,22 @@
 
 The model is over n-grams of characters, interpolated, with three discounts
 per order. Its counts come from all trusted texts but a part that is held out.
+Limits are cross-fitted: there is a model without each part, that the part's
+texts are measured under, so that every trusted text is held out once; the
+first of the models measures all documents.
 Counting, the model's tables and the lookups are joins sharded by n-gram: a
 block of documents asks every shard for its distinct n-grams and gets their
 terms back, so that nothing is broadcast and what is moved follows the input.
 
-A document is rejected if its log perplexity exceeds its language's limit: a
-quantile over the held-out trusted texts of the language. Means over few
-characters scatter more, so excesses are scaled by their expected spread at the
-document's length before quantiles are taken.
+A document has three measures: its log perplexity, that of its worst span of a
+few characters, and the share of its characters that end an n-gram which stood
+shortly before. The first tells foreign text, the second a few foreign words
+in a long text, the third words repeated over and over. It is rejected if one
+measure exceeds its language's limit: a quantile over the held-out trusted
+texts of the language. Means over few characters scatter more, so their
+excesses are scaled by the expected spread at the document's length before
+quantiles are taken; the other measures drift with the logarithm of the length,
+which is taken out.
 """
 
 from __future__ import annotations
@@ -19,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.blocks import answered, blocks, each_block, spread, squeeze, with_steps
@@ -28,10 +36,14 @@ from tracelake.llm.windows import shard_of
 
 #: Stands before a text's first character.
 START = "\x02"
-#: One trusted text in so many is held out, to set the limits.
+#: Parts of the trusted texts, each held out from one model.
 HELD_OUT = 5
-#: The quantile of held-out excesses, and how far beyond it the limit is.
-QUANTILE, MARGIN = 0.995, 1.1
+#: The quantile of held-out excesses that is a measure's limit.
+QUANTILE = 0.9975
+#: What a document is judged by.
+MEASURES = ("log_perplexity", "span", "repeated")
+#: Characters of a span, and how far back an n-gram counts as repeated.
+SPAN, RECENT = 8, 256
 #: Characters that are scored at a time.
 CHUNK = 1 << 18
 #: Size of direct tables for codes; beyond it codes are sorted.
@@ -146,8 +158,48 @@ def log_probabilities(grams: Grams, numbers: list[np.ndarray], where: list[np.nd
     return out
 
 
+def text_means(values: np.ndarray, grams: Grams) -> np.ndarray:
+    """Each text's mean of its characters' values, zero for an empty one."""
+    out, some = np.zeros(len(grams.sizes)), grams.sizes > 0
+    if len(values):
+        out[some] = np.add.reduceat(values, grams.doc_start[some], dtype=np.float64)
+    return out / np.maximum(grams.sizes, 1)
+
+
+def worst_spans(losses: np.ndarray, grams: Grams) -> np.ndarray:
+    """Each text's greatest mean over SPAN characters in a row; the mean of a
+    shorter text."""
+    out = text_means(losses, grams)
+    if len(losses) < SPAN:
+        return out
+    some = grams.sizes > 0
+    sums = np.concatenate([[0.0], np.cumsum(losses)])
+    means = np.full(len(losses), -np.inf)
+    means[: len(losses) - SPAN + 1] = (sums[SPAN:] - sums[:-SPAN]) / SPAN
+    ends = (grams.doc_start + grams.sizes)[some]
+    for k in range(1, SPAN):  # spans that leave the text
+        means[np.maximum(ends - k, 0)] = -np.inf
+    most = np.full(len(out), -np.inf)
+    most[some] = np.maximum.reduceat(means, grams.doc_start[some])
+    return np.where(grams.sizes >= SPAN, most, out)
+
+
+def repeated_share(grams: Grams) -> np.ndarray:
+    """Each text's share of characters that end an n-gram, of the highest
+    order, which ends at one of the RECENT characters before, too."""
+    own = grams.ids[-1][grams.real].astype(np.int64)
+    key = np.sort((own << 32) | np.arange(len(own)))
+    place = key & 0xFFFFFFFF
+    text = np.repeat(np.arange(len(grams.sizes), dtype=np.int32), grams.sizes)[place]
+    again = (key[1:] >> 32 == key[:-1] >> 32) & (place[1:] - place[:-1] <= RECENT) & (text[1:] == text[:-1])
+    seen = np.zeros(len(own), np.int8)
+    seen[place[1:][again]] = 1
+    return text_means(seen, grams)
+
+
 def model(counts: DataFrame, order: int) -> DataFrame:
-    """Rows (gram, alpha, gamma) from rows (gram, c) of the highest order.
+    """Rows (model, gram, alpha, gamma) from rows (model, gram, c) of the
+    highest order, for each of HELD_OUT models.
 
     alpha is the discounted share of a gram in its context, gamma the weight
     that it as a context leaves to the lower order. Lower orders count distinct
@@ -156,28 +208,34 @@ def model(counts: DataFrame, order: int) -> DataFrame:
     """
     tables: list[DataFrame] = []
     grams = counts
-    alphabet = 0
+    alphabet: dict[int, int] = {}
+    of_model = F.col("model") + 1
     for n in range(order, 0, -1):
         if n < order:
-            grams = written(grams.groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("c")), f"grams{n}")
-        freq = {r["c"]: r["n"] for r in grams.where("c <= 4").groupBy("c").agg(F.count("*").alias("n")).collect()}
-        n1, n2, n3, n4 = (freq.get(k, 0) for k in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 else 0.0
-        discount = [min(max(d, 0.0), k) for k, d in ((1, 1 - 2 * y * n2 / n1 if n1 else 0.5), (2, 2 - 3 * y * n3 / n2 if n2 else 1.0), (3, 3 - 4 * y * n4 / n3 if n3 else 1.5))]
-        cut = F.when(F.col("c") == 1, discount[0]).when(F.col("c") == 2, discount[1]).otherwise(discount[2])
+            grams = written(grams.groupBy("model", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("c")), f"grams{n}")
+        freq = {(r["model"], r["c"]): r["n"] for r in grams.where("c <= 4").groupBy("model", "c").agg(F.count("*").alias("n")).collect()}
+        discounts = []
+        for m in range(HELD_OUT):
+            n1, n2, n3, n4 = (freq.get((m, k), 0) for k in (1, 2, 3, 4))
+            y = n1 / (n1 + 2 * n2) if n1 else 0.0
+            discount = [min(max(d, 0.0), k) for k, d in ((1, 1 - 2 * y * n2 / n1 if n1 else 0.5), (2, 2 - 3 * y * n3 / n2 if n2 else 1.0), (3, 3 - 4 * y * n4 / n3 if n3 else 1.5))]
+            discounts.append(F.array(*map(F.lit, map(float, discount))))
+        cut = F.element_at(F.element_at(F.array(*discounts), of_model), F.least("c", F.lit(3)).cast("int"))
         rows = grams.withColumn("context", F.expr(f"substring(gram, 1, {n - 1})")).withColumn("d", F.least(cut, F.col("c").cast("double")))
-        totals = rows.groupBy("context").agg(F.sum("c").alias("total"), F.sum("d").alias("left"))
+        totals = rows.groupBy("model", "context").agg(F.sum("c").alias("total"), F.sum("d").alias("left"))
         share = ((F.col("c") - F.col("d")) / F.col("total")).alias("alpha")
-        tables.append(rows.join(totals, "context").select("gram", share, F.lit(None).cast("double").alias("gamma")))
-        tables.append(totals.select(F.col("context").alias("gram"), F.lit(None).cast("double").alias("alpha"), (F.col("left") / F.col("total")).alias("gamma")))
+        tables.append(rows.join(totals, ["model", "context"]).select("model", "gram", share, F.lit(None).cast("double").alias("gamma")))
+        tables.append(totals.select("model", F.col("context").alias("gram"), F.lit(None).cast("double").alias("alpha"), (F.col("left") / F.col("total")).alias("gamma")))
         if n == 1:
-            alphabet = grams.count()
+            alphabet = {r["model"]: r["count"] for r in grams.groupBy("model").count().collect()}
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)
-    base = counts.sparkSession.range(1).select(F.lit("").alias("gram"), F.lit(1.0 / (alphabet + 1)).alias("alpha"), F.lit(None).cast("double").alias("gamma"))
-    out = out.unionByName(base).groupBy("gram").agg(F.max("alpha").alias("alpha"), F.max("gamma").alias("gamma"))
-    return out.select("gram", F.coalesce("alpha", F.lit(0.0)).alias("alpha"), F.coalesce("gamma", F.lit(1.0)).alias("gamma"))
+    uniform = F.array(*[F.lit(1.0 / (alphabet.get(m, 0) + 1)) for m in range(HELD_OUT)])
+    base = counts.sparkSession.range(HELD_OUT).select(F.col("id").cast("int").alias("model"))
+    base = base.select("model", F.lit("").alias("gram"), F.element_at(uniform, of_model).alias("alpha"), F.lit(None).cast("double").alias("gamma"))
+    out = out.unionByName(base).groupBy("model", "gram").agg(F.max("alpha").alias("alpha"), F.max("gamma").alias("gamma"))
+    return out.select("model", "gram", F.coalesce("alpha", F.lit(0.0)).alias("alpha"), F.coalesce("gamma", F.lit(1.0)).alias("gamma"))
 
 
 def _answer(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
@@ -198,22 +256,25 @@ def _answer(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
 
 
 def trusted(labels: DataFrame, id_col: str) -> DataFrame:
-    """Rows (id, calibrates) of documents that every label of theirs calls good
-    and not toxic; a hash of the id holds some out."""
+    """Rows (id, part, calibrates) of documents that every label of theirs
+    calls good and not toxic. A hash of the id chooses the model that the text
+    is held out from; calibrates tells those held out from the first."""
     per = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
     good = F.coalesce(F.min(F.coalesce("quality", F.lit(0))) == 1, F.lit(False)) & (F.max(F.coalesce("toxic", F.lit(1))) == 0)
-    held = F.pmod(F.xxhash64("id"), F.lit(HELD_OUT)) == 0
-    return per.agg(good.alias("good")).where("good").select("id", held.alias("calibrates"))
+    part = F.pmod(F.xxhash64("id"), F.lit(HELD_OUT)).cast("int")
+    return per.agg(good.alias("good")).where("good").select("id", part.alias("part"), (part == 0).alias("calibrates"))
 
 
-SCORES = "block long, row int, id {kind}, lang string, n long, log_perplexity double"
+SCORES = "block long, row int, id {kind}, lang string, n long, log_perplexity double, span double, repeated double, model int, judged boolean, calibrates boolean"
 
 
 def scores(
     held: DataFrame, labels: DataFrame, order: int, id_col: str, text_col: str, lang_col: str, kind: str
 ) -> DataFrame:
-    """Rows SCORES for every row of the blocks; an empty text has no
-    perplexity."""
+    """Rows SCORES: for every row of the blocks one that is judged, under the
+    first model, and for a trusted row of another part one more under the model
+    that it is held out from. Held-out rows calibrate, unless their model has no
+    texts. An empty text has no measures."""
     shards = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def identities(block: int, rows: pa.Table, _) -> Iterator[pa.RecordBatch]:
@@ -221,51 +282,83 @@ def scores(
         arrays = [pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), rows.column(id_col).combine_chunks()]
         yield pa.RecordBatch.from_arrays(arrays, names=["block", "row", "id"])
 
-    def counting(block: int, rows: pa.Table, answers) -> Iterator[pa.RecordBatch]:
+    def parts(rows: pa.Table, trusted_rows: list[tuple[int, bytes]]) -> np.ndarray:
+        """The part of each row, -1 if it isn't trusted."""
+        out = np.full(rows.num_rows, -1)
+        for i, part in trusted_rows:
+            out[i] = int(part)
+        return out
+
+    def measured(rows: pa.Table, part: np.ndarray) -> Iterator[tuple[int, np.ndarray, Grams]]:
+        """For each model the rows that are measured under it."""
         texts = rows.column(text_col).to_pylist()
-        grams = Grams([texts[i] or "" for i, _ in answers], order)
-        found, _, counts = grams.keys(order, grams.real)
-        if len(found) and grams.real.any():
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(counts.astype(np.int64))], names=["gram", "c"])
-
-    def asking(block: int, rows: pa.Table, _) -> Iterator[pa.RecordBatch]:
-        keys, _, _ = requested(Grams([t or "" for t in rows.column(text_col).to_pylist()], order))
-        cuts = cut_by_shard(keys, shards)
-        data = [squeeze(with_steps(keys[a:b])) for _, a, b in cuts]
-        arrays = [pa.array([s for s, _, _ in cuts], pa.int32()), pa.array([block] * len(cuts), pa.int64()), pa.array(data, pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["shard", "block", "data"])
+        for m in range(HELD_OUT):
+            own = np.flatnonzero(part == m) if m else np.arange(len(texts))
+            if len(own) or not m:
+                yield m, own, Grams([texts[i] or "" for i in own], order)
+
+    def counting(block: int, rows: pa.Table, answers) -> Iterator[pa.RecordBatch]:
+        part = parts(rows, answers)
+        own = np.flatnonzero(part >= 0)
+        texts = rows.column(text_col).take(pa.array(own)).to_pylist()
+        grams = Grams([t or "" for t in texts], order)
+        if not grams.real.any():
+            return
+        of_place = np.zeros(len(grams.real), np.int64)
+        of_place[grams.real] = np.repeat(part[own], grams.sizes)
+        for m in range(HELD_OUT):
+            mask = grams.real & (of_place == m)
+            if mask.any():
+                found, _, counts = grams.keys(order, mask)
+                arrays = [pa.array(np.full(len(found), m, np.int32)), pa.array(found, pa.string()), pa.array(counts.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["part", "gram", "c"])
+
+    def asking(block: int, rows: pa.Table, answers) -> Iterator[pa.RecordBatch]:
+        for m, _, grams in measured(rows, parts(rows, answers)):
+            keys, _, _ = requested(grams)
+            cuts = cut_by_shard(keys, shards)
+            data = [squeeze(with_steps(keys[a:b])) for _, a, b in cuts]
+            arrays = [pa.array([m * shards + s for s, _, _ in cuts], pa.int32()), pa.array([block] * len(cuts), pa.int64()), pa.array(data, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["shard", "block", "data"])
 
     def scoring(block: int, rows: pa.Table, answers) -> Iterator[pa.RecordBatch]:
-        grams = Grams([t or "" for t in rows.column(text_col).to_pylist()], order)
-        _, numbers, where = requested(grams)
-        parts = [spread(x) for _, x in answers]
-        alpha, gamma = (np.concatenate([p[k] for p in parts]).view(np.float32).astype(np.float64) for k in (0, 1))
-        logs = log_probabilities(grams, numbers, where, alpha, gamma)
-        n = grams.sizes
-        total = np.zeros(len(n))
-        if len(logs):
-            total[n > 0] = np.add.reduceat(logs, grams.doc_start[n > 0])
-        mean = -total / np.maximum(n, 1)
-        arrays = [
-            pa.array(np.full(len(n), block)),
-            pa.array(np.arange(len(n), dtype=np.int32)),
-            rows.column(id_col).combine_chunks(),
-            rows.column(lang_col).combine_chunks(),
-            pa.array(n),
-            pa.array(mean, mask=n == 0),
-        ]
-        yield pa.RecordBatch.from_arrays(arrays, names=["block", "row", "id", "lang", "n", "log_perplexity"])
+        part = parts(rows, [(-1 - s, x) for s, x in answers if s < 0])
+        for m, own, grams in measured(rows, part):
+            _, numbers, where = requested(grams)
+            terms = [spread(x) for s, x in answers if s >= 0 and s // shards == m]
+            alpha, gamma = (np.concatenate([t[k] for t in terms]).view(np.float32).astype(np.float64) for k in (0, 1))
+            losses = -log_probabilities(grams, numbers, where, alpha, gamma)
+            n = grams.sizes
+            measures = (text_means(losses, grams), worst_spans(losses, grams), repeated_share(grams))
+            arrays = [
+                pa.array(np.full(len(n), block)),
+                pa.array(own.astype(np.int32)),
+                rows.column(id_col).combine_chunks().take(pa.array(own)),
+                rows.column(lang_col).combine_chunks().take(pa.array(own)),
+                pa.array(n),
+                *(pa.array(x, mask=n == 0) for x in measures),
+                pa.array(np.full(len(n), m, np.int32)),
+                pa.array(np.full(len(n), m == 0)),
+                pa.array((part[own] == m) & (m in usable)),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, names=["block", "row", "id", "lang", "n", *MEASURES, "model", "judged", "calibrates"])
 
     own = each_block(held, f"block long, row int, id {kind}", identities)
-    teachers = own.join(trusted(labels, id_col).where("not calibrates"), "id")
-    teachers = teachers.select("block", F.col("row").alias("shard"), F.lit(b"").alias("data"))
-    counted = each_block(answered(held, teachers).where("answers is not null"), "gram string, c long", counting)
-    counts = written(counted.groupBy("gram").agg(F.sum("c").alias("c")), "grams")
-    key = F.xxhash64("gram").alias("key")
-    rows = written(model(counts, order).select(key, "alpha", "gamma"), "model")
+    teachers = own.join(trusted(labels, id_col), "id")
+    teachers = written(teachers.select("block", F.col("row").alias("shard"), F.col("part").cast("string").cast("binary").alias("data")), "teachers")
+    taught = answered(held, teachers)
+    counted = each_block(taught.where("answers is not null"), "part int, gram string, c long", counting)
+    parted = [F.sum(F.when(F.col("part") == m, F.col("c")).otherwise(0)) for m in range(HELD_OUT)]
+    counted = counted.groupBy("gram").agg(F.sum("c").alias("all"), F.array(*parted).alias("parts"))
+    counted = counted.select("gram", "all", F.posexplode("parts").alias("model", "out"))
+    counts = written(counted.where(F.col("all") > F.col("out")).select("model", "gram", (F.col("all") - F.col("out")).alias("c")), "grams")
+    usable = {r["model"] for r in counts.select("model").distinct().collect()}
+    rows = written(model(counts, order).select("model", F.xxhash64("gram").alias("key"), "alpha", "gamma"), "model")
     place = F.shiftrightunsigned(F.shiftrightunsigned("key", 32) * F.lit(shards).cast("long"), 32).cast("int")
-    asked = each_block(held, "shard int, block long, data binary", asking)
-    replies = asked.groupBy("shard").cogroup(rows.withColumn("shard", place).groupBy("shard")).applyInPandas(_answer, "block long, shard int, data binary")
+    known = rows.select((F.col("model") * shards + place).alias("shard"), "key", "alpha", "gamma")
+    asked = each_block(taught, "shard int, block long, data binary", asking)
+    replies = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(_answer, "block long, shard int, data binary")
+    replies = replies.unionByName(teachers.select("block", (-1 - F.col("shard")).alias("shard"), "data"))
     return each_block(answered(held, replies), SCORES.format(kind=kind), scoring)
 
 
@@ -273,54 +366,76 @@ def scores(
 LANGUAGES = 10_000
 #: Characters after which a mean's scatter is that of documents, not of length.
 SETTLED = 400.0
+#: What a measure may lose in sums and differences.
+ROUNDING = 1e-9
 
 
-def judged(scored: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
-    """Adds perplexity, limit (both of the document) and keep.
+def drifts(held: DataFrame) -> dict[str, float]:
+    """For each measure but the first how much it grows with the logarithm of
+    the length, within languages."""
+    per = [F.covar_pop(m, F.ln("n")).alias(m) for m in MEASURES[1:]]
+    per = held.groupBy("lang_").agg(F.count("*").alias("texts"), F.var_pop(F.ln("n")).alias("var"), *per)
+    (row,) = per.agg(*[(F.sum(F.col("texts") * F.col(m)) / F.nullif(F.sum(F.col("texts") * F.col("var")), F.lit(0.0))).alias(m) for m in MEASURES[1:]]).collect()
+    return {MEASURES[0]: 0.0} | {m: row[m] or 0.0 for m in MEASURES[1:]}
 
-    The excess over the language's median held-out text is divided by
-    sqrt(1 + SETTLED / n); the limit is MARGIN times the QUANTILE of held-out
-    scaled excesses. Documents without text, and those of a language without
-    held-out texts (a null language is one of its own), are kept.
+
+def judged(scored: DataFrame) -> DataFrame:
+    """The judged rows with every measure's limit (for the document) and keep.
+
+    The excess of a measure over the language's median held-out text, the
+    log perplexity's divided by sqrt(1 + SETTLED / n), may be the QUANTILE of
+    held-out excesses at most. Documents without text, and those of a language
+    without held-out texts (a null language is one of its own), are kept.
     """
     scored = scored.withColumn("lang_", F.coalesce("lang", F.lit("")))
-    spread_of = F.sqrt(1 + F.lit(SETTLED) / F.col("n"))
-    held = scored.join(trusted(labels, id_col).where("calibrates"), "id").where("n > 0")
+    held = scored.where("calibrates and n > 0")
+    drift = drifts(held)
+    spread_of = {m: F.lit(1.0) for m in MEASURES} | {MEASURES[0]: F.sqrt(1 + F.lit(SETTLED) / F.col("n"))}
+    trend = {m: F.ln("n") * drift[m] for m in MEASURES}
 
     def small(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if few else df
 
-    middle = written(held.groupBy("lang_").agg(F.percentile_approx("log_perplexity", 0.5, 10_000).alias("middle")), "middle")
+    def quantile(value: Column, at: float) -> Column:
+        return F.percentile_approx(value, at, 10_000)
+
+    middle = written(held.groupBy("lang_").agg(*[quantile(F.col(m) - trend[m], 0.5).alias(f"middle_{m}") for m in MEASURES]), "middle")
     few = middle.count() <= LANGUAGES
-    excess = (F.col("log_perplexity") - F.col("middle")) / spread_of
-    top = held.join(small(middle), "lang_").groupBy("lang_").agg(F.percentile_approx(excess, QUANTILE, 10_000).alias("top"))
-    out = scored.join(small(middle.join(top, "lang_")), "lang_", "left")
-    limit = F.col("middle") + MARGIN * F.col("top") * spread_of
-    keep = F.coalesce(F.col("log_perplexity") <= limit, F.lit(True))
-    return out.select("block", "row", "id", "lang", "n", F.exp("log_perplexity").alias("perplexity"), F.exp(F.when(F.col("n") > 0, limit)).alias("limit"), keep.alias("keep"))
+    excess = {m: (F.col(m) - trend[m] - F.col(f"middle_{m}")) / spread_of[m] for m in MEASURES}
+    top = held.join(small(middle), "lang_").groupBy("lang_").agg(*[quantile(excess[m], QUANTILE).alias(f"top_{m}") for m in MEASURES])
+    out = scored.where("judged").join(small(middle.join(top, "lang_")), "lang_", "left")
+    limit = {m: F.col(f"middle_{m}") + trend[m] + F.col(f"top_{m}") * spread_of[m] for m in MEASURES}
+    keep = F.lit(True)
+    for m in MEASURES:
+        keep &= F.coalesce(F.col(m) <= limit[m] + ROUNDING, F.lit(True))
+    shown = [F.when(F.col("n") > 0, limit[m]).alias(f"limit_{m}") for m in MEASURES]
+    return out.select("block", "row", "id", "lang", "n", *MEASURES, *shown, keep.alias("keep"))
 
 
 def classify(
     docs: DataFrame, labels: DataFrame, order: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
-    """Rows (id, lang, n_scored, perplexity, threshold, keep), one per row.
+    """Rows (id, lang, n_scored, perplexity, threshold, keep, span_perplexity,
+    span_threshold, repeated, repeated_threshold), one per row.
 
     ``labels`` has the id, quality and toxic: texts labelled good and not toxic
-    are the trusted ones. Empty and null texts have a null perplexity and are
-    kept; repeated rows have equal results; rows with a null id are scored.
+    are the trusted ones. Empty and null texts have null measures and are kept; repeated rows have equal results; rows with a null id are scored.
     Without trusted texts everything is kept. Other columns aren't read.
     """
     df = docs.select(id_col, text_col, lang_col)
     scored = scores(blocks(df, text_col), labels, order, id_col, text_col, lang_col, df.schema[id_col].dataType.simpleString())
-    found = judged(written(scored, "scores"), labels, id_col)
-    return found.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), F.col("n").alias("n_scored"), "perplexity", F.col("limit").alias("threshold"), "keep")
+    found = judged(written(scored, "scores"))
+    shown = {"perplexity": F.exp("log_perplexity"), "threshold": F.exp("limit_log_perplexity"), "keep": F.col("keep")}
+    shown |= {"span_perplexity": F.exp("span"), "span_threshold": F.exp("limit_span")}
+    shown |= {"repeated": F.col("repeated"), "repeated_threshold": F.col("limit_repeated")}
+    return found.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), F.col("n").alias("n_scored"), *[c.alias(k) for k, c in shown.items()])
 
 
 def accepted(docs: DataFrame, labels: DataFrame, order: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with all columns."""
     held = blocks(docs, text_col)
     scored = scores(held, labels, order, id_col, text_col, lang_col, docs.schema[id_col].dataType.simpleString())
-    gone = judged(written(scored, "scores"), labels, id_col).where("not keep")
+    gone = judged(written(scored, "scores")).where("not keep")
     gone = gone.select("block", F.col("row").alias("shard"), F.lit(b"").alias("data"))
 
     def kept(block: int, rows: pa.Table, answers) -> Iterator[pa.RecordBatch]:

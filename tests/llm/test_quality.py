@@ -119,6 +119,21 @@ def test_repeated_words_and_insults_are_rejected(spark):
     assert not any(keep[i] for i in range(300, 310))
 
 
+def test_rare_and_unknown_languages_have_limits(spark):
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("etaoin"), int(rng.integers(2, 7)))) for _ in range(300)]
+    texts = [" ".join(rng.choice(words, int(rng.integers(60, 400)))) for _ in range(330)]
+    junk = ["%&$ #@! " * 2 + "".join(rng.choice(list("%&$#@!*+ "), 300)) for _ in range(9)]
+    lang = ["en"] * 300 + ["es", "xx", None] * 10
+    rows = [(i, t, g) for i, (t, g) in enumerate(zip(texts, lang, strict=True))]
+    rows += [(400 + i, t, ("es", "xx", None)[i % 3]) for i, t in enumerate(junk)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, 1, 0) for i in [*range(300), 300, 303]], "doc_id long, quality int, toxic int")
+    keep = {r["doc_id"]: r["keep"] for r in quality.classify(docs, labels).collect()}
+    assert not any(keep[i] for i in range(400, 409))
+    assert np.mean([keep[i] for i in range(300, 330)]) > 0.9
+
+
 def test_every_trusted_text_is_held_out_once(spark):
     rows = [(i, f"ab{i} cab ba", "en") for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)

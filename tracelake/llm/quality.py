@@ -131,13 +131,34 @@ def requested(grams: Grams) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarr
     return keys, numbers, [np.searchsorted(keys, h) for h in own]
 
 
+def needed(grams: Grams, numbers: list[np.ndarray], where: list[np.ndarray], size: int, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``size`` hashes asked for, as bits, the models after the
+    first that are asked, too: those whose held-out texts have the n-gram; and
+    the part of each place, -1 where there is no character."""
+    of_place = np.full(len(grams.real), -1, np.int8)
+    of_place[grams.real] = np.repeat(part.astype(np.int8), grams.sizes)
+    models = np.zeros(size, np.uint8)
+    for m in range(1, HELD_OUT):
+        own = of_place == m
+        if not own.any():
+            continue
+        context = own.copy()
+        context[:-1] |= own[1:]
+        for n in range(grams.order + 1):
+            seen = np.zeros(grams.count[n], bool)
+            seen[grams.ids[n][context if 0 < n < grams.order else own]] = True
+            models[where[n][seen[numbers[n]]]] |= 1 << m
+    return models, of_place
+
+
 def cut_by_shard(keys: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
     cuts = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1)).tolist()
     return [(s, cuts[s], cuts[s + 1]) for s in range(shards) if cuts[s + 1] > cuts[s]]
 
 
-def log_probabilities(grams: Grams, numbers: list[np.ndarray], where: list[np.ndarray], alpha: np.ndarray, gamma: np.ndarray) -> np.ndarray:
-    """Each real character's log probability, orders interpolated upwards."""
+def log_probabilities(grams: Grams, numbers: list[np.ndarray], where: list[np.ndarray], alpha: np.ndarray, gamma: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Log probabilities of the characters at marked places, orders
+    interpolated upwards."""
 
     def table(values: np.ndarray, n: int, default: float) -> np.ndarray:
         out = np.full(grams.count[n], default)
@@ -146,9 +167,9 @@ def log_probabilities(grams: Grams, numbers: list[np.ndarray], where: list[np.nd
 
     share = [table(alpha, n, 0.0) for n in range(grams.order + 1)]
     weight = [table(gamma, n, 1.0) for n in range(grams.order)]
-    out = np.empty(int(grams.sizes.sum()))
+    out = np.empty(np.count_nonzero(mask))
     at = 0
-    for place in grams.places(grams.real):
+    for place in grams.places(mask):
         p = np.full(len(place), share[0][0])
         for n in range(1, grams.order + 1):
             context = grams.ids[n - 1][place - 1] if n > 1 else 0
@@ -239,19 +260,28 @@ def model(counts: DataFrame, order: int) -> DataFrame:
 
 
 def _answer(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-    """A shard's terms for the keys that blocks asked for."""
-    order = np.argsort(known["key"].to_numpy().astype(np.int64).view(np.uint64)) if len(known) else np.zeros(0, np.int64)
-    keys = known["key"].to_numpy().astype(np.int64).view(np.uint64)[order] if len(known) else np.zeros(0, np.uint64)
-    alpha, gamma = (known[c].to_numpy(np.float32)[order] if len(known) else np.zeros(0, np.float32) for c in ("alpha", "gamma"))
+    """A shard's terms for the keys that blocks asked for: of the first model
+    for all keys, of each other for those whose bit is set."""
+    key, of_model = known["key"].to_numpy().astype(np.int64).view(np.uint64), known["model"].to_numpy()
+    alpha, gamma = (known[c].to_numpy().astype(np.float32) for c in ("alpha", "gamma"))
+    tables = []
+    for m in range(HELD_OUT):
+        rows = np.flatnonzero(of_model == m)
+        rows = rows[np.argsort(key[rows])]
+        tables.append((key[rows], alpha[rows], gamma[rows]))
     data = []
     for x in asked["data"]:
-        (steps,) = spread(x)
-        own = np.cumsum(steps, dtype=np.uint64)
-        at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
-        hit = keys[at] == own if len(keys) else np.zeros(len(own), bool)
-        a, g = np.zeros(len(own), np.float32), np.ones(len(own), np.float32)
-        a[hit], g[hit] = alpha[at[hit]], gamma[at[hit]]
-        data.append(squeeze(a.view(np.int32), g.view(np.int32)))
+        steps, models = spread(x)
+        all_keys = np.cumsum(steps, dtype=np.uint64)
+        out = []
+        for m, (keys, shares, weights) in enumerate(tables):
+            own = all_keys[models >> m & 1 == 1] if m else all_keys
+            at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
+            hit = keys[at] == own if len(keys) else np.zeros(len(own), bool)
+            a, g = np.zeros(len(own), np.float32), np.ones(len(own), np.float32)
+            a[hit], g[hit] = shares[at[hit]], weights[at[hit]]
+            out += [a.view(np.int32), g.view(np.int32)]
+        data.append(squeeze(*out))
     return pd.DataFrame({"block": asked["block"], "shard": asked["shard"], "data": data})
 
 
@@ -276,6 +306,7 @@ def scores(
     that it is held out from. Held-out rows calibrate, unless their model has no
     texts. An empty text has no measures."""
     shards = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_part = [f"c{m}" for m in range(HELD_OUT)]
 
     def identities(block: int, rows: pa.Table, _) -> Iterator[pa.RecordBatch]:
         n = rows.num_rows
@@ -289,14 +320,6 @@ def scores(
             out[i] = int(part)
         return out
 
-    def measured(rows: pa.Table, part: np.ndarray) -> Iterator[tuple[int, np.ndarray, Grams]]:
-        """For each model the rows that are measured under it."""
-        texts = rows.column(text_col).to_pylist()
-        for m in range(HELD_OUT):
-            own = np.flatnonzero(part == m) if m else np.arange(len(texts))
-            if len(own) or not m:
-                yield m, own, Grams([texts[i] or "" for i in own], order)
-
     def counting(block: int, rows: pa.Table, answers) -> Iterator[pa.RecordBatch]:
         part = parts(rows, answers)
         own = np.flatnonzero(part >= 0)
@@ -304,58 +327,73 @@ def scores(
         grams = Grams([t or "" for t in texts], order)
         if not grams.real.any():
             return
-        of_place = np.zeros(len(grams.real), np.int64)
-        of_place[grams.real] = np.repeat(part[own], grams.sizes)
-        for m in range(HELD_OUT):
-            mask = grams.real & (of_place == m)
-            if mask.any():
-                found, _, counts = grams.keys(order, mask)
-                arrays = [pa.array(np.full(len(found), m, np.int32)), pa.array(found, pa.string()), pa.array(counts.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["part", "gram", "c"])
+        found, numbers, _ = grams.keys(order, grams.real)
+        place, of_place = np.flatnonzero(grams.real), np.repeat(part[own], grams.sizes)
+        counts = [np.bincount(grams.ids[order][place[of_place == m]], minlength=grams.count[order])[numbers] for m in range(HELD_OUT)]
+        arrays = [pa.array(found, pa.string()), *(pa.array(c.astype(np.int64)) for c in counts)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["gram", *by_part])
 
     def asking(block: int, rows: pa.Table, answers) -> Iterator[pa.RecordBatch]:
-        for m, _, grams in measured(rows, parts(rows, answers)):
-            keys, _, _ = requested(grams)
-            cuts = cut_by_shard(keys, shards)
-            data = [squeeze(with_steps(keys[a:b])) for _, a, b in cuts]
-            arrays = [pa.array([m * shards + s for s, _, _ in cuts], pa.int32()), pa.array([block] * len(cuts), pa.int64()), pa.array(data, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["shard", "block", "data"])
+        grams = Grams([t or "" for t in rows.column(text_col).to_pylist()], order)
+        keys, numbers, where = requested(grams)
+        models, _ = needed(grams, numbers, where, len(keys), parts(rows, answers))
+        cuts = cut_by_shard(keys, shards)
+        data = [squeeze(with_steps(keys[a:b]), models[a:b]) for _, a, b in cuts]
+        arrays = [pa.array([s for s, _, _ in cuts], pa.int32()), pa.array([block] * len(cuts), pa.int64()), pa.array(data, pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["shard", "block", "data"])
 
     def scoring(block: int, rows: pa.Table, answers) -> Iterator[pa.RecordBatch]:
         part = parts(rows, [(-1 - s, x) for s, x in answers if s < 0])
-        for m, own, grams in measured(rows, part):
-            _, numbers, where = requested(grams)
-            terms = [spread(x) for s, x in answers if s >= 0 and s // shards == m]
-            alpha, gamma = (np.concatenate([t[k] for t in terms]).view(np.float32).astype(np.float64) for k in (0, 1))
-            losses = -log_probabilities(grams, numbers, where, alpha, gamma)
-            n = grams.sizes
-            measures = (text_means(losses, grams), worst_spans(losses, grams), repeated_share(grams))
+        grams = Grams([t or "" for t in rows.column(text_col).to_pylist()], order)
+        keys, numbers, where = requested(grams)
+        models, of_place = needed(grams, numbers, where, len(keys), part)
+        terms = [spread(x) for s, x in answers if s >= 0]
+
+        def losses(m: int, mask: np.ndarray) -> np.ndarray:
+            values = []
+            for k, default in ((2 * m, 0.0), (2 * m + 1, 1.0)):
+                full = np.full(len(keys), default)
+                full[models >> m & 1 == 1 if m else slice(None)] = np.concatenate([t[k] for t in terms]).view(np.float32)
+                values.append(full)
+            return -log_probabilities(grams, numbers, where, *values, mask)
+
+        n, repeated = grams.sizes, repeated_share(grams)
+
+        def rows_of(own: np.ndarray, values: np.ndarray, model: np.ndarray, first: bool) -> pa.RecordBatch:
+            measures = (text_means(values, grams), worst_spans(values, grams), repeated)
             arrays = [
-                pa.array(np.full(len(n), block)),
+                pa.array(np.full(len(own), block)),
                 pa.array(own.astype(np.int32)),
                 rows.column(id_col).combine_chunks().take(pa.array(own)),
                 rows.column(lang_col).combine_chunks().take(pa.array(own)),
-                pa.array(n),
-                *(pa.array(x, mask=n == 0) for x in measures),
-                pa.array(np.full(len(n), m, np.int32)),
-                pa.array(np.full(len(n), m == 0)),
-                pa.array((part[own] == m) & (m in usable)),
+                pa.array(n[own]),
+                *(pa.array(x[own], mask=n[own] == 0) for x in measures),
+                pa.array(model.astype(np.int32)),
+                pa.array(np.full(len(own), first)),
+                pa.array((part[own] == model) & np.isin(model, usable)),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, names=["block", "row", "id", "lang", "n", *MEASURES, "model", "judged", "calibrates"])
+            return pa.RecordBatch.from_arrays(arrays, names=["block", "row", "id", "lang", "n", *MEASURES, "model", "judged", "calibrates"])
+
+        values = losses(0, grams.real)
+        yield rows_of(np.arange(len(n)), values, np.zeros(len(n)), True)
+        own = np.flatnonzero(part > 0)
+        if len(own):
+            for m in np.unique(part[own]).tolist():
+                values[of_place[grams.real] == m] = losses(m, of_place == m)
+            yield rows_of(own, values, part[own], False)
 
     own = each_block(held, f"block long, row int, id {kind}", identities)
     teachers = own.join(trusted(labels, id_col), "id")
     teachers = written(teachers.select("block", F.col("row").alias("shard"), F.col("part").cast("string").cast("binary").alias("data")), "teachers")
     taught = answered(held, teachers)
-    counted = each_block(taught.where("answers is not null"), "part int, gram string, c long", counting)
-    parted = [F.sum(F.when(F.col("part") == m, F.col("c")).otherwise(0)) for m in range(HELD_OUT)]
-    counted = counted.groupBy("gram").agg(F.sum("c").alias("all"), F.array(*parted).alias("parts"))
-    counted = counted.select("gram", "all", F.posexplode("parts").alias("model", "out"))
+    counted = each_block(taught.where("answers is not null"), "gram string, " + ", ".join(f"{c} long" for c in by_part), counting)
+    counted = counted.groupBy("gram").agg(*[F.sum(c).alias(c) for c in by_part])
+    counted = counted.select("gram", sum(map(F.col, by_part)).alias("all"), F.posexplode(F.array(*by_part)).alias("model", "out"))
     counts = written(counted.where(F.col("all") > F.col("out")).select("model", "gram", (F.col("all") - F.col("out")).alias("c")), "grams")
-    usable = {r["model"] for r in counts.select("model").distinct().collect()}
+    usable = [r["model"] for r in counts.select("model").distinct().collect()]
     rows = written(model(counts, order).select("model", F.xxhash64("gram").alias("key"), "alpha", "gamma"), "model")
     place = F.shiftrightunsigned(F.shiftrightunsigned("key", 32) * F.lit(shards).cast("long"), 32).cast("int")
-    known = rows.select((F.col("model") * shards + place).alias("shard"), "key", "alpha", "gamma")
+    known = rows.select(place.alias("shard"), "model", "key", "alpha", "gamma")
     asked = each_block(taught, "shard int, block long, data binary", asking)
     replies = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(_answer, "block long, shard int, data binary")
     replies = replies.unionByName(teachers.select("block", (-1 - F.col("shard")).alias("shard"), "data"))
@@ -366,6 +404,8 @@ def scores(
 LANGUAGES = 10_000
 #: Characters after which a mean's scatter is that of documents, not of length.
 SETTLED = 400.0
+#: Texts of its own from which a language's median counts as much as that of all.
+ALIKE = 1.0
 #: What a measure may lose in sums and differences.
 ROUNDING = 1e-9
 
@@ -384,8 +424,11 @@ def judged(scored: DataFrame) -> DataFrame:
 
     The excess of a measure over the language's median held-out text, the
     log perplexity's divided by sqrt(1 + SETTLED / n), may be the QUANTILE of
-    held-out excesses at most. Documents without text, and those of a language
-    without held-out texts (a null language is one of its own), are kept.
+    held-out excesses at most. Medians and quantiles of a language with few
+    held-out texts are shrunk to those over all languages; one without any (a
+    null language is one of its own) is held to what all texts together show,
+    whatever their language. Documents without text are kept, and all are where
+    no text is held out.
     """
     scored = scored.withColumn("lang_", F.coalesce("lang", F.lit("")))
     held = scored.where("calibrates and n > 0")
@@ -399,12 +442,29 @@ def judged(scored: DataFrame) -> DataFrame:
     def quantile(value: Column, at: float) -> Column:
         return F.percentile_approx(value, at, 10_000)
 
-    middle = written(held.groupBy("lang_").agg(*[quantile(F.col(m) - trend[m], 0.5).alias(f"middle_{m}") for m in MEASURES]), "middle")
+    def number(value: float | None) -> Column:
+        return F.lit(value).cast("double")
+
+    level = {m: F.col(m) - trend[m] for m in MEASURES}
+    (center,) = held.agg(*[quantile(level[m], 0.5).alias(m) for m in MEASURES]).collect()
+    middle = held.groupBy("lang_").agg(F.count("*").alias("texts"), *[quantile(level[m], 0.5).alias(m) for m in MEASURES])
+    known = F.col("texts") / (F.col("texts") + ALIKE)
+    middle = middle.select("lang_", "texts", *[(known * F.col(m) + (1 - known) * number(center[m])).alias(f"middle_{m}") for m in MEASURES])
+    middle = written(middle, "middle")
     few = middle.count() <= LANGUAGES
-    excess = {m: (F.col(m) - trend[m] - F.col(f"middle_{m}")) / spread_of[m] for m in MEASURES}
-    top = held.join(small(middle), "lang_").groupBy("lang_").agg(*[quantile(excess[m], QUANTILE).alias(f"top_{m}") for m in MEASURES])
-    out = scored.where("judged").join(small(middle.join(top, "lang_")), "lang_", "left")
-    limit = {m: F.col(f"middle_{m}") + trend[m] + F.col(f"top_{m}") * spread_of[m] for m in MEASURES}
+    excess = {m: (level[m] - F.col(f"middle_{m}")) / spread_of[m] for m in MEASURES}
+    placed = held.join(small(middle), "lang_")
+    within = [quantile(excess[m], QUANTILE).alias(f"within_{m}") for m in MEASURES]
+    across = [quantile((level[m] - number(center[m])) / spread_of[m], QUANTILE).alias(f"across_{m}") for m in MEASURES]
+    (general,) = placed.agg(*within, *across).collect()
+    top = placed.groupBy("lang_").agg(*[quantile(excess[m], QUANTILE).alias(f"top_{m}") for m in MEASURES])
+    out = scored.where("judged").join(small(middle.join(top, "lang_")), "lang_", "left").withColumn("texts", F.coalesce("texts", F.lit(0)))
+    own = F.least(F.lit(1.0), F.col("texts") * (1 - QUANTILE))
+    limit = {}
+    for m in MEASURES:
+        others = known * number(general[f"within_{m}"]) + (1 - known) * number(general[f"across_{m}"])
+        most = own * F.coalesce(f"top_{m}", F.lit(0.0)) + (1 - own) * others
+        limit[m] = F.coalesce(f"middle_{m}", number(center[m])) + trend[m] + most * spread_of[m]
     keep = F.lit(True)
     for m in MEASURES:
         keep &= F.coalesce(F.col(m) <= limit[m] + ROUNDING, F.lit(True))

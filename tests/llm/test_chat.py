@@ -103,3 +103,15 @@ def test_long_conversations_and_edge_rows(spark):
     roles = {r["turn"]: r["role"] for r in chat.parse(df).where("conv_id = 7").collect()}
     assert all(roles[t] == ["user", "assistant"][t % 2] for t in range(300))
     assert chat.parse(df.limit(0)).count() == 0
+
+
+def test_sample_takes_first_rows_whatever_their_numbers(spark):
+    numbered = [("id a", 10**9 + k, "user" if k % 2 else "assistant", f"t{k}") for k in range(100)]
+    unnumbered = [("id b", None, "user", f"u{k}") for k in range(3)]
+    unknown = [("id c", k, "nobody" if k else None, f"v{k}") for k in range(3)]
+    rows = spark.createDataFrame(numbered + unnumbered + unknown, "conv string, turn long, role string, text string")
+    found = chat.sample(rows.selectExpr("*", "xxhash64(role, text) as h").repartition(5))
+    assert sorted(found[found.conv == "id a"].turn) == [10**9 + k for k in range(chat.SAMPLE_ROWS)]
+    assert sorted(found[found.conv == "id b"].text) == ["u0", "u1", "u2"]
+    assert set(found.conv) == {"id a", "id b"}
+    assert set(chat.sample(rows.selectExpr("*", "xxhash64(role, text) as h"), 1, 2).groupby("conv").size()) == {2}

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.shared import written
@@ -201,6 +201,8 @@ def parse(
     text_col: str = "text",
     segment: int = SEGMENT,
     hot: int = HOT,
+    fit_conversations: int = SAMPLE,
+    fit_rows: int = SAMPLE_ROWS,
 ) -> DataFrame:
     """Rows (conv_id, turn, part, role, text, rendered, copies): the turns of
     each row, numbered by part, with their recovered role.
@@ -208,8 +210,9 @@ def parse(
     Rows are in order of ``turn`` (nulls first), equal turns in order of a hash
     of their content; rows equal in all four columns are one, ``copies`` tells
     how many. A null or unknown role is no marker; a null text is one empty
-    line; a row with a null conversation is a conversation alone. Without rows
-    of known role the model has even chances. Other columns aren't read.
+    line; a row with a null conversation is a conversation alone. The model is
+    fitted to the first ``fit_rows`` rows, whatever their numbers, of
+    ``fit_conversations`` conversations at most; without rows of known role it has even chances. Other columns aren't read.
     """
     share_code(conversations.sparkSession)
     rows = conversations.select(
@@ -232,7 +235,7 @@ def parse(
             "s": F.coalesce(F.floor((F.col("h").cast("double") + float(1 << 63)) / step), F.lit(0)).cast("long"),
         }
     ).drop("n", "k")
-    model = fit(sample(rows))
+    model = fit(sample(rows, fit_conversations, fit_rows))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     spark = conversations.sparkSession
     groups = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -280,11 +283,12 @@ def parse(
     return out.select(F.col("conv_id").alias(conv_col), F.col("turn").alias(turn_col), "part", "role", "text", "rendered", "copies")
 
 
-def sample(rows: DataFrame) -> pd.DataFrame:
-    """Rows of known role to fit to: SAMPLE conversations at most, the first
-    SAMPLE_ROWS turns of each, chosen by hash."""
-    known = rows.where(F.lower(F.trim("role")).isin(list(ROLE_OF)))
-    chosen = known.where(F.col("turn").between(0, SAMPLE_ROWS - 1)).groupBy("conv").agg(F.xxhash64("conv").alias("x")).orderBy("x", "conv").limit(SAMPLE)
-    near = rows.where(F.col("turn").between(0, SAMPLE_ROWS - 1)).join(chosen, "conv")
-    found = near.orderBy("x", "conv", "turn", "h").limit(SAMPLE * SAMPLE_ROWS).select("conv", "turn", "role", "text")
-    return found.toPandas()
+def sample(rows: DataFrame, conversations: int = SAMPLE, most: int = SAMPLE_ROWS) -> pd.DataFrame:
+    """Rows to fit to: the first ``most`` of each of some conversations that
+    have a known role among them, at most ``conversations``, chosen by hash."""
+    at = F.row_number().over(Window.partitionBy("conv").orderBy("turn", "h"))
+    known = F.coalesce(F.lower(F.trim("role")).isin(list(ROLE_OF)), F.lit(False)).alias("known")
+    heads = rows.select("conv", "turn", "h", known).withColumn("at", at).where(F.col("at") <= most)
+    chosen = heads.where("known").groupBy("conv").agg(F.xxhash64("conv").alias("x")).orderBy("x", "conv").limit(conversations)
+    near = rows.join(written(chosen, "chosen"), "conv").withColumn("at", at).where(F.col("at") <= most)
+    return near.orderBy("x", "conv", "at").select("conv", "turn", "role", "text").toPandas()

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from tracelake.llm import bpe
 from tracelake.llm.packing import Encoder, best_fit, lower_bound, pack
-from tracelake.llm.sentencepiece_codec import Sampler, codec, decode_documents, encode_documents
+from tracelake.llm.sentencepiece_codec import UNIT, Sampler, decode_documents, encode_documents
 from tracelake.llm.token_counts import LETTER, NUMBER, SPACE, STABLE, Counter, token_counts
 
 SF = "/root/testdata/sf0.001"
@@ -161,28 +161,51 @@ def test_pieces_without_dropout_are_the_librarys():
 
     model = sentencepiece.SentencePieceProcessor(model_file=bpe.resolve("piece_bpe_32k.model"))
     texts = [t for t in ODD if "▁" not in t] + ["x" * 500 + " y", "word " * 300]
-    got = Sampler("piece_bpe_32k.model", 0.0, 1, 1).encode([""] * len(texts), texts)
+    got = Sampler("piece_bpe_32k.model", 0.0, 1).encode([""] * len(texts), texts)
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [model.encode(t) for t in texts]
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(ANY, min_size=1, max_size=4), st.sampled_from([0.0, 0.1, 0.7, 1.0]), st.integers(0, 3))
 def test_dropout_decodes(texts, rate, seed):
-    sampler = Sampler("piece_bpe_32k.model", rate, seed, 3)
+    sampler = Sampler("piece_bpe_32k.model", rate, seed)
     found = sampler.encode([str(i) for i in range(len(texts))], texts)
     assert [sampler.codec.decode(x) for x in found] == texts
 
 
-def test_heap_and_arrays_agree():
-    c = codec(bpe.resolve("piece_bpe_32k.model"))
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.5])
+def test_paths_and_heap_agree(rate):
+    """Every occurrence ends like an agenda of its own, run on a heap."""
     rng = np.random.default_rng(0)
-    units = [" " + "".join(rng.choice(list("theanioguré漢"), n)) for n in rng.integers(1, 60, 200)]
-    bases = rng.integers(0, 2**63, len(units)).astype(np.uint64)
-    for rate in (0.0, 0.3):
-        limit = round(rate * 2**53)
-        got = c.units(units, bases, limit)
-        want = [c.fall_back(c.heap_agenda([c.chars.get(x, c.unknown) for x in u], int(b), limit), u) for u, b in zip(units, bases, strict=True)]
-        assert got == want
+    words = ["".join(rng.choice(list("theanioguré漢"), n)) for n in rng.integers(1, 40, 60)] + ["the", "nation", "y" * 450]
+    texts = [" ".join(rng.choice(words, 80)) for _ in range(12)]
+    sampler = Sampler("piece_bpe_32k.model", rate, 3)
+    c, keys = sampler.codec, [str(i) for i in range(12)]
+    for _ in range(2):  # paths unknown, then known
+        found = sampler.encode(keys, texts)
+        for key, text, ids in zip(keys, texts, found, strict=True):
+            units = UNIT.findall(" " + text)
+            bases = sampler.bases([key], np.array([len(units)]))
+            want = [c.fall_back(c.heap_agenda([c.chars.get(x, c.unknown) for x in u], int(b), sampler.limit), u) for u, b in zip(units, bases, strict=True)]
+            assert ids == b"".join(want)
+
+
+def test_every_occurrence_draws():
+    sampler = Sampler("piece_bpe_32k.model", 0.1, 1)
+    text = " ".join(["international"] * 2_000)
+    first, second = sampler.encode(["1", "2"], [text, text])
+    assert first != second
+    units, draws = UNIT.findall(" " + text), []
+    for key in ("1", "2"):
+        paths = sampler.paths.draw(np.full(2_000, sampler.paths.root[" international"]), sampler.bases([key], np.array([2_000])), sampler.limit)
+        draws.append(paths)
+    assert len(units) == 2_000
+    assert len(set(draws[0].tolist())) > 20 and (draws[0] != draws[1]).any()
+    paths = sampler.paths
+    plain = paths.root[" international"]
+    merges = int(paths.count.held[plain])
+    share = np.concatenate(draws) == plain  # nothing skipped
+    assert abs(share.mean() - 0.9**merges) < 0.04
 
 
 def test_dropout_query(spark):
@@ -210,5 +233,5 @@ def test_dropout_edge_rows(spark):
 @pytest.mark.parametrize("text", ["x" * 20_000, "the " * 20_000])
 def test_very_long_texts(text):
     assert Counter("byte_bpe_50k.json").count([text]) == [len(library("byte_bpe_50k.json").encode(text).ids)]
-    sampler = Sampler("piece_bpe_32k.model", 0.1, 1, 1)
+    sampler = Sampler("piece_bpe_32k.model", 0.1, 1)
     assert sampler.codec.decode(sampler.encode(["1"], [text])[0]) == text

@@ -99,7 +99,7 @@ def chat_formatting(spark, sf_dir):
 
 @query("op9_sentencepiece_dropout")
 def sentencepiece_dropout(spark, sf_dir):
-    return encode_documents(table(spark, sf_dir, "documents"), "piece_bpe_32k.model", dropout=0.1, seed=1, variants=4)
+    return encode_documents(table(spark, sf_dir, "documents"), "piece_bpe_32k.model", dropout=0.1, seed=1)
 
 
 @query(

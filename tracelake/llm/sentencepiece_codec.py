@@ -3,10 +3,15 @@
 Encoding is the agenda of SentencePiece's BPE: the best-scored adjacent pair
 merges first, the leftmost of equals. A candidate is skipped for good if a
 hash of its key is below the dropout rate. The key holds the seed, the
-document's variant, the unit of text, and the candidate's place in it, so the
-same input gives the same pieces anywhere, and different seeds or variants
-give different ones. Skipping depends on the key alone; that lets all units of
-a batch run their agendas side by side on arrays.
+document, the place of the unit of text in it, and the candidate's place in the
+unit: every occurrence of a word draws for itself, and the same input gives the
+same pieces anywhere.
+
+What an agenda does depends on the unit and on the candidates skipped so far
+alone. So agendas are kept as paths: the merges from some point on, if nothing
+more is skipped, and the pieces they end with. All occurrences of a batch draw
+for all merges of their paths at once, on arrays; those that skip a merge go on
+with the path that branches off there, which is worked out when it is first met.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +35,13 @@ from tracelake.llm.arrow import map_slices, strings
 UNIT = re.compile(r"[\n\t]| *[^ \n\t]+| +")
 #: A longer unit runs its agenda on a heap, alone.
 LONG = 400
-CACHE = 400_000
-#: Characters worked on at a time in the arrays.
-ARRAY = 1 << 20
+#: Merges of known paths after which a worker forgets them all; that bounds
+#: memory and changes no result.
+KNOWN = 4_000_000
+#: Merges drawn for at a time (caches).
+DRAWS = 1 << 17
+#: Orders after every rank.
+NEVER = 1 << 60
 MASK = (1 << 64) - 1
 
 
@@ -64,6 +74,7 @@ class Codec:
         order = sorted(plain, key=lambda i: (-model.get_score(i), i))
         self.rank = np.zeros(size + 70_000, np.int64)
         self.rank[order] = np.arange(len(order))
+        self.ranks = self.rank.tolist()
         self.symbol = {t: i for i, t in text.items()}
         self.size = size
         lone = sorted({c for t in text.values() for c in t} - self.symbol.keys())
@@ -77,10 +88,7 @@ class Codec:
                     right.append(known[t[k:]])
                     made.append(i)
         self.left, self.right, self.made = (np.array(x, np.int64) for x in (left, right, made))
-        self.pairs = bpe.PairTable(self.left, self.right, self.made)
         self.unknown = size + len(lone)  # any other character: merges with none
-        self.char_table = np.full(0x110000, self.unknown, np.int32)
-        self.char_table[[ord(c) for c in self.chars]] = list(self.chars.values())
 
     @property
     @lru_cache(maxsize=1)  # noqa: B019 - one per worker
@@ -89,7 +97,7 @@ class Codec:
 
     def skipped(self, base, start, middle, end, limit):
         """Whether the candidate that joins [start, middle) and [middle, end)
-        of a unit is skipped; base stands for seed, variant and unit."""
+        of a unit is skipped; base stands for seed, document and place."""
         key = base + start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         key = mix(key ^ (middle.astype(np.uint64) << np.uint64(32)) ^ end.astype(np.uint64))
         return (key >> np.uint64(11)) < limit
@@ -123,59 +131,28 @@ class Codec:
             i = after[i]
         return out
 
-    def array_agenda(self, symbols: np.ndarray, owner: np.ndarray, bases: np.ndarray, limit: int):
-        """The same for many units: symbols, owners, starts and ends."""
-        firsts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        start = np.arange(len(symbols)) - np.repeat(firsts, np.diff(np.r_[firsts, len(symbols)]))
-        end, done = start + 1, []
-        while len(symbols):
-            made = np.full(len(symbols), -1)
-            made[:-1] = np.where(owner[:-1] == owner[1:], self.pairs.get(symbols[:-1], symbols[1:], np.int64(-1)), -1)
-            if limit:
-                at = np.flatnonzero(made >= 0)
-                made[at[self.skipped(bases[owner[at]], start[at], start[at + 1], end[at + 1], np.uint64(limit))]] = -1
-            order = np.where(made >= 0, (self.rank[made] << np.int64(32)) | np.arange(len(symbols)), bpe.NONE << np.int64(16))
-            firsts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            best = np.minimum.reduceat(order, firsts)
-            live = best < (bpe.NONE << np.int64(16))
-            active = np.repeat(live, np.diff(np.r_[firsts, len(symbols)]))
-            if not active.all():
-                done.append((symbols[~active], owner[~active], start[~active], end[~active]))
-            place = best[live] & np.int64(0xFFFFFFFF)
-            symbols[place], end[place] = made[place], end[place + 1]
-            active[place + 1] = False
-            symbols, owner, start, end = symbols[active], owner[active], start[active], end[active]
-        parts = [np.concatenate(x) for x in zip(*done, strict=True)]
-        order = np.argsort(parts[1], kind="stable")
-        return [p[order] for p in parts]
-
-    def units(self, units: list[str], bases: np.ndarray, limit: int) -> list[bytes]:
-        """Ids of each unit as little-endian 32-bit integers."""
-        out: list[bytes] = [b""] * len(units)
-        sizes = np.fromiter(map(len, units), np.int64, len(units))
-        for i in np.flatnonzero(sizes > LONG).tolist():
-            found = self.heap_agenda([self.chars.get(c, self.unknown) for c in units[i]], int(bases[i]), limit)
-            out[i] = self.fall_back(found, units[i])
-        short = np.flatnonzero((sizes <= LONG) & (sizes > 0))
-        cuts = np.searchsorted(np.cumsum(sizes[short]), np.arange(ARRAY, int(sizes[short].sum()) + ARRAY, ARRAY), "right")
-        for members in np.split(short, np.unique(cuts[:-1])) if len(short) else []:
-            if len(members):
-                self._batch(units, members, sizes[members], bases[members], limit, out)
-        return out
-
-    def _batch(self, units: list[str], members: np.ndarray, sizes: np.ndarray, bases: np.ndarray, limit: int, out: list[bytes]) -> None:
-        own = [units[i] for i in members.tolist()]
-        points = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), np.uint32)
-        owner = np.repeat(np.arange(len(own)), sizes)
-        symbols, owner, start, end = self.array_agenda(self.char_table[points].astype(np.int64), owner, bases, limit)
-        ends = np.cumsum(np.bincount(owner, minlength=len(own)))
-        stops = ends.tolist()
-        data = symbols.astype("<u4").tobytes()
-        for i, a, b in zip(members.tolist(), [0, *stops], stops, strict=False):
-            out[i] = data[4 * a : 4 * b]
-        for k in np.unique(owner[symbols >= self.size]).tolist():  # some character is no piece
-            cut = slice(stops[k - 1] if k else 0, stops[k])
-            out[members[k]] = self.fall_back(zip(symbols[cut].tolist(), start[cut].tolist(), end[cut].tolist(), strict=True), own[k])
+    def path(self, symbols: list[int], skipped: set[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+        """The agenda of one unit in which the given candidates are skipped:
+        its merges, and (symbol, start, end) of what is left."""
+        ids, cuts = list(symbols), list(range(len(symbols) + 1))
+        pairs, rank = self.by_pair.get, self.ranks
+
+        def order(i: int) -> int:
+            made = pairs((ids[i], ids[i + 1]))
+            return NEVER if made is None or (cuts[i], cuts[i + 1], cuts[i + 2]) in skipped else rank[made]
+
+        waiting = [order(i) for i in range(len(ids) - 1)]
+        merges = []
+        while waiting and (best := min(waiting)) != NEVER:
+            i = waiting.index(best)
+            merges.append((cuts[i], cuts[i + 1], cuts[i + 2]))
+            ids[i : i + 2] = [pairs((ids[i], ids[i + 1]))]
+            del cuts[i + 1], waiting[i]
+            if i:
+                waiting[i - 1] = order(i - 1)
+            if i < len(waiting):
+                waiting[i] = order(i)
+        return merges, list(zip(ids, cuts, cuts[1:], strict=False))
 
     def fall_back(self, found, unit: str) -> bytes:
         """Ids, a character that is no piece as those of its bytes."""
@@ -199,43 +176,145 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+class Column:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type) -> None:
+        self.held, self.size = np.zeros(1024, kind), 0
+
+    def extend(self, values) -> None:
+        end = self.size + len(values)
+        if end > len(self.held):
+            self.held = np.concatenate([self.held, np.zeros(max(end, 2 * len(self.held)) - len(self.held), self.held.dtype)])
+        self.held[self.size : end] = values
+        self.size = end
+
+
+def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, .. of each, ``count`` numbers, one after another."""
+    ends = np.cumsum(count)
+    return np.repeat(first - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+class Paths:
+    """Agendas met so far. Path p has ``count[p]`` merges from ``first[p]`` on,
+    each with the path that skipping it leads to (-1: not met), and its pieces."""
+
+    def __init__(self, codec: Codec) -> None:
+        self.codec = codec
+        self.root: dict[str, int] = {}
+        self.first, self.count, self.leaf, self.pieces = (Column(np.int64) for _ in range(4))
+        self.start, self.middle, self.end = (Column(np.int64) for _ in range(3))
+        self.branch, self.ids = Column(np.int64), Column(np.int32)
+        self.unit: list[str] = []
+        self.skips: list[tuple] = []
+        self.taken: list[int] = []
+
+    def _add(self, unit: str, skips: tuple, taken: int) -> int:
+        """The path of a unit with these skips, after ``taken`` merges."""
+        symbols = [self.codec.chars.get(c, self.codec.unknown) for c in unit]
+        merges, left = self.codec.path(symbols, set(skips))
+        rest = merges[taken:]
+        ids = np.frombuffer(self.codec.fall_back(left, unit), "<i4")
+        for column, values in ((self.first, [self.start.size]), (self.count, [len(rest)]), (self.leaf, [self.ids.size]), (self.pieces, [len(ids)])):
+            column.extend(values)
+        for column, k in ((self.start, 0), (self.middle, 1), (self.end, 2)):
+            column.extend([m[k] for m in rest])
+        self.branch.extend(np.full(len(rest), -1))
+        self.ids.extend(ids)
+        self.unit.append(unit)
+        self.skips.append(skips)
+        self.taken.append(taken)
+        return len(self.unit) - 1
+
+    def learn(self, units: set[str]) -> None:
+        for u in units - self.root.keys():
+            self.root[u] = self._add(u, (), 0)
+
+    def _branch(self, path: int, merge: int) -> int:
+        """The path that skips a merge, given by its place in the columns."""
+        k = merge - int(self.first.held[path])
+        skip = tuple(int(c.held[merge]) for c in (self.start, self.middle, self.end))
+        found = self._add(self.unit[path], (*self.skips[path], skip), self.taken[path] + k)
+        self.branch.held[merge] = found
+        return found
+
+    def draw(self, path: np.ndarray, bases: np.ndarray, limit: int) -> np.ndarray:
+        """The path on which each occurrence ends, from the one it begins on."""
+        path = path.copy()
+        active = np.arange(len(path)) if limit else np.zeros(0, np.int64)
+        while len(active):
+            active = active[self.count.held[path[active]] > 0]
+            cuts = np.searchsorted(np.cumsum(self.count.held[path[active]]), np.arange(DRAWS, int(self.count.held[path[active]].sum()) + DRAWS, DRAWS), "right")
+            on = []
+            for own in np.split(active, np.unique(cuts[:-1])):
+                count = self.count.held[path[own]]
+                merge = ranges(self.first.held[path[own]], count)
+                places = (c.held[merge] for c in (self.start, self.middle, self.end))
+                hit = np.flatnonzero(self.codec.skipped(np.repeat(bases[own], count), *places, np.uint64(limit)))
+                which = np.repeat(np.arange(len(own)), count)[hit]
+                new = np.r_[True, which[1:] != which[:-1]][: len(which)]  # the first merge that is skipped
+                own, merge = own[which[new]], merge[hit[new]]
+                unmet = np.flatnonzero(self.branch.held[merge] < 0)
+                for i in unmet.tolist():
+                    if self.branch.held[merge[i]] < 0:
+                        self._branch(int(path[own[i]]), int(merge[i]))
+                path[own] = self.branch.held[merge]
+                on.append(own)
+            active = np.concatenate(on) if on else active[:0]
+        return path
+
+
 class Sampler:
-    """Encodes texts; units met before in the same variant are not run anew."""
+    """Encodes texts, each under a key of its own."""
 
-    def __init__(self, model: str, dropout: float, seed: int, variants: int) -> None:
+    def __init__(self, model: str, dropout: float, seed: int) -> None:
         self.codec = codec(bpe.resolve(model))
         self.limit = round(dropout * (1 << 53))
-        self.seed, self.variants = seed, variants
-        self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
-
-    def variant(self, key: str) -> int:
-        return zlib.crc32(f"{self.seed}:{key}".encode()) % self.variants
-
-    def bases(self, wanted: list[tuple[int, str]]) -> np.ndarray:
-        import xxhash
+        self.seed = seed
+        self.paths = Paths(self.codec)
 
+    def bases(self, keys: list[str], sizes: np.ndarray) -> np.ndarray:
+        """A number for each unit, from seed, key and place in the text."""
         seed = (self.seed * 0x9E3779B97F4A7C15) & MASK
-        return np.array([xxhash.xxh64_intdigest(u.encode("utf-8", "surrogatepass"), seed ^ v) for v, u in wanted], np.uint64)
+        own = np.fromiter((xxhash.xxh64_intdigest(k.encode("utf-8", "surrogatepass"), seed) for k in keys), np.uint64, len(keys))
+        place = ranges(np.zeros(len(sizes), np.int64), sizes).astype(np.uint64)
+        return mix(np.repeat(own, sizes) + place * np.uint64(0xD1B54A32D192ED03))
 
     def encode(self, keys: list[str], texts: list[str]) -> list[bytes]:
-        variants = [self.variant(k) for k in keys]
         units = [UNIT.findall(" " + t) if t else [] for t in texts]
-        if sum(map(len, self.known)) > CACHE:
-            self.known = [{} for _ in self.known]
-        wanted: list[tuple[int, str]] = []
-        for v, known in enumerate(self.known):
-            own = set().union(*(u for u, w in zip(units, variants, strict=True) if w == v))
-            wanted += [(v, u) for u in own - known.keys()]
-        for (v, u), ids in zip(wanted, self.codec.units([u for _, u in wanted], self.bases(wanted), self.limit), strict=True):
-            self.known[v][u] = ids
-        return [b"".join(map(self.known[v].__getitem__, own)) for v, own in zip(variants, units, strict=True)]
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        every = [u for own in units for u in own]
+        if self.paths.start.size > KNOWN:
+            self.paths = Paths(self.codec)
+        paths, distinct = self.paths, set(every)
+        long = {u for u in distinct if len(u) > LONG}
+        paths.learn(distinct - long | {""})
+        get = paths.root.get
+        none = paths.root[""]
+        begin = np.fromiter((get(u, none) for u in every), np.int64, len(every))
+        bases = self.bases(keys, sizes)
+        end = paths.draw(begin, bases, self.limit)
+        count = paths.pieces.held[end]
+        ids = paths.ids.held[ranges(paths.leaf.held[end], count)].astype("<i4").tobytes()
+        ends = np.concatenate([[0], np.cumsum(count)]) * 4
+        firsts = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+        out = []
+        for a, b, own in zip(firsts, firsts[1:], units, strict=False):
+            at, parts = int(ends[a]), []
+            for i in [i for i, u in enumerate(own) if u in long] if long else []:
+                found = self.codec.heap_agenda([self.codec.chars.get(c, self.codec.unknown) for c in own[i]], int(bases[a + i]), self.limit)
+                parts += [ids[at : int(ends[a + i])], self.codec.fall_back(found, own[i])]
+                at = int(ends[a + i])
+            out.append(b"".join([*parts, ids[at : int(ends[b])]]))
+        return out
 
 
 _samplers: dict[tuple, Sampler] = {}
 
 
-def _step(model: str, dropout: float, seed: int, variants: int, with_ids: bool):
-    key = (model, dropout, seed, variants)
+def _step(model: str, dropout: float, seed: int, with_ids: bool):
+    key = (model, dropout, seed)
     if key not in _samplers:
         _samplers[key] = Sampler(*key)
     sampler = _samplers[key]
@@ -246,12 +325,11 @@ def _step(model: str, dropout: float, seed: int, variants: int, with_ids: bool):
         whole = [sampler.codec.decode(x) == t for x, t in zip(found, texts, strict=True)]
         arrays = [
             batch.column(0),
-            pa.array([sampler.variant(k) for k in names], pa.int32()),
             pa.array([len(x) // 4 for x in found], pa.int64()),
             pa.array([zlib.crc32(x) for x in found], pa.int64()),
             pa.array(whole, pa.bool_()),
         ]
-        fields = ["id", "variant", "n_pieces", "ids_crc32", "lossless"]
+        fields = ["id", "n_pieces", "ids_crc32", "lossless"]
         if with_ids:
             offsets = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
             arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), "<i4"))))
@@ -266,24 +344,23 @@ def encode_documents(
     model: str = "piece_bpe_32k.model",
     dropout: float = 0.1,
     seed: int = 1,
-    variants: int = 4,
     with_ids: bool = True,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Rows (id, variant, n_pieces, ids_crc32, lossless[, ids]), one per row.
-
-    A document's variant is a hash of seed and id; within a variant a unit of
-    text has one segmentation. With ``dropout=0`` the ids are SentencePiece's
-    (a literal U+2581 is encoded by its bytes here, so that it is not lost).
-    ``lossless`` is the check that decoding gives the text again. A null or
-    empty text has no pieces; a null id counts as the empty string; repeated
-    rows get equal results; other columns aren't read.
+    """Rows (id, n_pieces, ids_crc32, lossless[, ids]), one per row.
+
+    The seed, the id and the place in the text decide what is skipped, so a
+    word has as many segmentations as it occurs. With ``dropout=0`` the ids
+    are SentencePiece's (a literal U+2581 is encoded by its bytes here, so that
+    it is not lost). ``lossless`` is the check that decoding gives the text
+    again. A null or empty text has no pieces; a null id counts as the empty
+    string; repeated rows get equal results; other columns aren't read.
     """
     df = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(id_col).cast("string").alias("key"))
     kind = df.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, variant int, n_pieces long, ids_crc32 long, lossless boolean" + ", ids array<int>" * with_ids
-    out = map_slices(df, "text", schema, partial(_step, model, dropout, seed, variants, with_ids))
+    schema = f"id {kind}, n_pieces long, ids_crc32 long, lossless boolean" + ", ids array<int>" * with_ids
+    out = map_slices(df, "text", schema, partial(_step, model, dropout, seed, with_ids))
     return out.withColumnRenamed("id", id_col)
 
 

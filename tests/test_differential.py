@@ -85,6 +85,96 @@ def test_arrays_fail_where_tokens_fail(bad):
     assert list(vcd.parsed(b"#99\n1!\n" + bad, 0, None, None, 3)) == []
 
 
+WORDS = ["$comment", "$comment", "$end", "$end", "#5 1%", "b", "b01", "r", "s$end", "note", "$dumpvars", "0!", "1b", "#", "#x"]
+
+
+def commented(r, n):
+    """Bodies with comments over lines, values that await their identifier
+    over lines, and what looks like either."""
+    time, out = 0, []
+    for _ in range(n):
+        kind = r.randrange(8)
+        if kind < 3:
+            time += r.choice([0, 1, 9])
+            out.append(f"#{time}")
+        elif kind < 5:
+            out.append(r.choice(["1!", "0b", "xr", "b0101 b", "b1 $comment", "b1 $end", "bx1\n#3", "r0.5\ns", "sabc b"]))
+        else:
+            inner = [r.choice(WORDS[:1] + WORDS[4:]) for _ in range(r.randrange(4))]
+            out.append("\n".join(["$comment", *inner, "$end"]))
+    return "\n".join(out).encode()
+
+
+def read_cut(data, chunk, step, high, tmp_path):
+    path = tmp_path / "cut.vcd"
+    head_text = b"$var wire 1 ! a $end\n$enddefinitions $end\n"
+    path.write_bytes(head_text + data)
+    head = vcd.read_header(str(path))
+    starts = range(head.body, max(head.size, head.body + 1), chunk)
+    found = [vcd.outline_at(str(path), at, min(at + chunk, head.size), at == head.body) for at in starts]
+    reader = vcd.VcdReader({"path": str(path), "cuts": vcd.json.dumps([[c.start, c.end, c.time, c.most] for c in vcd.chained(head, found)])})
+    reader.high = high
+    out = []
+    for part in reader.partitions():
+        if reader.high is not None and part.cut.most > reader.high:
+            continue
+        text = (head_text + data)[part.cut.start : part.cut.end]
+        for b in vcd.parsed(text, part.cut.start - head.body, None, None, high, step, part.cut.time):
+            out += [tuple(x.values()) for x in b.to_pylist()]
+    assert sum(len(list(reader.read(p))) >= 0 for p in reader.partitions()) == len(reader.partitions())
+    return out
+
+
+def whole(data, high):
+    out = []
+    for row in vcd.tokens(data, 0, 0):
+        if high is not None and row[1] > high:
+            break
+        out.append(row)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_cuts_change_nothing(tmp_path, seed):
+    r = random.Random(seed)
+    data = commented(r, r.choice([1, 6, 40, 150]))
+    if seed % 4 == 1:  # loose words: errors, too
+        data += b"\n" + "\n".join(r.choice(WORDS) for _ in range(8)).encode()
+    if seed % 4 == 2:  # a time that goes back
+        data += b"\n#2\n1!\n" + commented(r, 5)
+    for high in (None, 20):
+        try:
+            want = whole(data, high)
+        except ParseError:
+            want = None
+        for chunk, step in ((7, 1 << 20), (29, 10), (64, 1), (500, 33)):
+            if want is None:
+                with pytest.raises(ParseError):
+                    read_cut(data, chunk, step, high, tmp_path)
+            else:
+                assert sorted(read_cut(data, chunk, step, high, tmp_path)) == sorted(want)
+
+
+def test_comments_over_lines_and_cuts(spark, tmp_path):
+    path = tmp_path / "c.vcd"
+    path.write_text("$var wire 1 ! a $end\n$var wire 1 % b $end\n$enddefinitions $end\n#1\n1!\n$comment\nnote\n#5\n1%\n$end\n#9\n0!\n")
+    want = vcd.read_vcd(spark, str(path), splittable=False).changes.orderBy("seq").collect()
+    assert [(r["time"], r["id_code"]) for r in want] == [(1, None), (1, "!"), (9, None), (9, "!")]
+    for size in (1, 5, 12, 40):
+        assert vcd.read_vcd(spark, str(path), chunk_bytes=size).changes.orderBy("seq").collect() == want
+    assert [t[:3] for t in vcd.raw_tokens(str(path))] == [tuple(r)[:3] for r in want]
+
+
+def test_backward_times_fail_however_cut(spark, tmp_path):
+    path = tmp_path / "b.vcd"
+    path.write_text("$var wire 1 ! a $end\n$enddefinitions $end\n#10\n1!\n#20\n0!\n#5\n1!\n#6\n0!\n")
+    for size in (1, 8, 12, 1000):
+        changes = vcd.read_vcd(spark, str(path), chunk_bytes=size).changes
+        with pytest.raises(Exception, match="time goes back from 20 to 5"):
+            changes.collect()
+        assert changes.where("time <= 15").count() == 2  # behind the window's end nothing is read
+
+
 def test_nth_by_buckets(spark):
     rows = spark.createDataFrame([(s, s * 10) for s in range(3, 90, 4)], "seq long, time long")
     for n in (1, 2, 7, 22, 23):

@@ -128,16 +128,49 @@ def test_filters_reach_the_reader(spark, files):
     assert changes.where("id_code in ('!') and time >= 5 and time <= 10").count() == 2
 
 
+KINDS = """$timescale 10 ps $end
+$var wire 1 ! a $end
+$var real 64 $ r $end
+$var reg 8 # v $end
+$var string 1 % s $end
+$enddefinitions $end
+1!
+$dumpvars
+x!
+b0 #
+r-0 $
+sA_b1 %
+$end
+#3
+z!
+bx01z #
+bX #
+s10 %
+rnan $
+#7
+r1e21 $
+b1010 #
+b11111111000000001111111100000000111111110000000011111111000000001 #
+$dumpoff
+x!
+$end
+"""
+
+
 def test_write_and_read(spark, files, tmp_path):
-    rec = read_vcd(spark, files["A"])
-    path = str(tmp_path / "again.vcd")
-    write_vcd(rec, path)
-    back = read_vcd(spark, path)
+    (tmp_path / "kinds.vcd").write_text(KINDS + f"b{'1' * 129} #\n")
     cols = ["time", "id_code", "kind", "disp", "norm", "hex", "bits64"]
-    values = lambda r: [tuple(x) for x in r.changes.where("kind <> 'time'").orderBy("seq").select(cols).collect()]
-    # scalars come back as one-digit vectors; texts of digits compare equal to integers
-    assert [v[:2] + v[4:5] for v in values(rec)] == [v[:2] + v[4:5] for v in values(back)]
-    assert [s["name"].replace(" ", "") for s in back.signals.orderBy("ord").collect()] == ALL
+    for source in (files["A"], str(tmp_path / "kinds.vcd")):
+        rec = read_vcd(spark, source)
+        for note in (None, "part\n#0 1! b1\n#99999"):
+            path = str(tmp_path / "again.vcd")
+            write_vcd(rec, path, note)
+            values = lambda r: [tuple(x) for x in r.changes.where("kind <> 'time'").orderBy("seq").select(cols).collect()]
+            for size in (None, 9):
+                back = read_vcd(spark, path, chunk_bytes=size)
+                assert values(rec) == values(back)
+            assert back.signals.select("name", "id_code", "size", "var_type").collect() == rec.signals.select("name", "id_code", "size", "var_type").collect()
+            assert back.timescale == rec.timescale
 
 
 def test_small_cases():

@@ -1,24 +1,35 @@
 """Value-change dumps (IEEE 1364, section 18) as a splittable Spark source.
 
 ``read_vcd`` gives a Recording. The header is read on the driver: it is bounded
-by the design, not by the simulated time. The body is cut at nominal offsets;
-each cut moves on to the next line that starts with a time mark, so that every
-chunk knows its time. ``seq`` is the byte offset, a total order that needs no
-coordination between tasks.
+by the design, not by the simulated time. ``seq`` is the byte offset, a total
+order that needs no coordination between tasks.
+
+The body is cut at nominal offsets, but what stands at an offset depends on
+what comes before: it may lie in a comment, or in a value that awaits its
+identifier. One parallel pass therefore outlines every nominal chunk: for each
+state it may begin in, the state it ends in, its first time mark, its last and
+its greatest time. Chained over the chunks, of which there are few, that gives
+cuts at true time marks and the time before each, so that any cutting gives the
+rows, and the errors, of the whole.
+
+Times that go back are an error. A query with an end stops at the first time
+mark past it, and errors behind that mark aren't seen.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs as arrow_fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.pandas.types import to_arrow_type
@@ -48,13 +59,13 @@ ARROW = pa.schema(
 MAX_TIME = (1 << 63) - 1
 
 _TOKEN = re.compile(rb"\S+")
-_MARK = re.compile(rb"#(\d+)")
 _PLAIN_SCOPE = re.compile(r"[A-Za-z_][A-Za-z0-9_$().]*")
 
 
 def open_file(path: str):
     """A seekable file, local or of any file system that Arrow knows."""
-    system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    path = path if "://" in path else path.removeprefix("file:")
+    system, inner = arrow_fs.FileSystem.from_uri(path) if "://" in path else (arrow_fs.LocalFileSystem(), path)
     return system.open_input_file(inner)
 
 
@@ -253,9 +264,9 @@ _CLASS[list(b"bB")], _CLASS[list(b"rRsS")] = 4, 5
 _KEYWORDS = pa.array(["$dumpvars", "$dumpall", "$dumpon", "$dumpoff", "$end"])
 
 
-def scan(data: bytes, base: int, ids: set[str] | None, low: int | None, high: int | None) -> Iterator[pa.RecordBatch]:
-    """The rows of ``tokens`` that the filters keep, by kind, not in order.
-    Raises Odd before any batch where the text needs ``tokens``."""
+def scan(data: bytes, base: int, ids: set[str] | None, low: int | None, high: int | None, time: int = 0) -> tuple[list[pa.RecordBatch], int]:
+    """The rows of ``tokens`` that the filters keep, by kind, not in order, and
+    the last time. Raises Odd where the text needs ``tokens``."""
     buf = np.frombuffer(data, np.uint8)
     space = buf <= 32
     if b"$comment" in data or (buf > 126).any() or (space & (buf != 32) & ((buf < 9) | (buf > 13))).any():
@@ -264,7 +275,7 @@ def scan(data: bytes, base: int, ids: set[str] | None, low: int | None, high: in
     start = np.flatnonzero(edge == 1)
     size = np.flatnonzero(edge == -1) - start
     if not len(start):
-        return
+        return [], time
     kind = _CLASS[buf[start]]
     # a b, r or s token is followed by an identifier, whatever that starts
     # with: in a run of tokens that look like values, every other one is
@@ -283,9 +294,9 @@ def scan(data: bytes, base: int, ids: set[str] | None, low: int | None, high: in
         raise Odd
     ticks, good = digits_of(buf, start[mark] + 1, size[mark] - 1, 10)
     ticks = ticks.astype(np.int64)
-    if not good.all() or (np.diff(ticks) < 0).any():
+    if not good.all() or (np.diff(ticks, prepend=time) < 0).any():
         raise Odd
-    at = np.zeros(len(start), np.int64)
+    at = np.full(len(start), time)
     at[mark] = ticks
     at = np.maximum.accumulate(at)
     inside = np.ones(len(start), bool)
@@ -342,52 +353,200 @@ def scan(data: bytes, base: int, ids: set[str] | None, low: int | None, high: in
         found += [(base + int(start[p]), int(at[p]), *r[2:]) for r in tokens(text, 0, 0)]
     if found:
         out.append(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), ARROW, strict=True)], schema=ARROW))
-    yield from out
+    return out, int(at[-1])
 
 
-def parsed(data: bytes, base: int, ids: set[str] | None, low: int | None, high: int | None, step: int = SLICE) -> Iterator[pa.RecordBatch]:
+#: What stands before a place of the body: nothing special, an open comment, or
+#: a value that awaits its identifier.
+OUT, COMMENT, IDENT = range(3)
+_SPACE = np.zeros(256, bool)
+_SPACE[list(b" \t\n\r\f\v")] = True
+
+
+@dataclass(frozen=True)
+class Outline:
+    """Of some text: the state behind it, the offset of its first time mark
+    (-1: none), its last time and its greatest (-1: none)."""
+
+    state: int
+    first: int = -1
+    last: int = -1
+    most: int = -1
+
+
+def outlines(data: bytes, states: Iterable[int] = (OUT, COMMENT, IDENT)) -> list[Outline]:
+    """Outlines of whole tokens for each state they may begin in."""
+    buf = np.frombuffer(data, np.uint8)
+    edge = np.diff(np.concatenate([[0], (~_SPACE[buf]).view(np.int8), [0]]))
+    start = np.flatnonzero(edge == 1)
+    size = np.flatnonzero(edge == -1) - start
+    n = len(start)
+    if not n:
+        return [Outline(s) for s in states]
+    kind = _CLASS[buf[start]]
+    looks = kind >= 4
+    run = np.maximum.accumulate(np.where(looks & ~np.concatenate([[False], looks[:-1]]), np.arange(n), 0))
+    mark = np.flatnonzero(kind == 1)
+    words = [(k, data[start[k] : start[k] + size[k]]) for k in np.flatnonzero((kind == 3) & ((size == 4) | (size == 8))).tolist()]
+    opens, closes = ([k for k, w in words if w == name] for name in (b"$comment", b"$end"))
+
+    def named(k: np.ndarray, since: int) -> np.ndarray:
+        """Whether tokens k are identifiers, if ``since`` is none: then every
+        other token of a run that looks like values is one."""
+        before = k - 1
+        return (before >= since) & looks[before] & ((before - np.maximum(run[before], since)) % 2 == 0)
+
+    def times(k: np.ndarray) -> list[int]:
+        texts = [data[start[i] + 1 : start[i] + size[i]] for i in k.tolist()]
+        return [min(int(t), MAX_TIME) for t in texts if t.isdigit()]
+
+    def spans(state: int) -> tuple[list[tuple[int, int]], int]:
+        """Runs of tokens outside comments, and the state at the end."""
+        since, found = 0, []
+        while True:
+            if state == COMMENT:
+                at = next((k for k in closes if k >= since), None)
+                if at is None:
+                    return found, COMMENT
+                since, state = at + 1, OUT
+            if state == IDENT:
+                if since >= n:
+                    return found, IDENT
+                since, state = since + 1, OUT
+            at = next((k for k in opens if k >= since and not named(np.array([k]), since)[0]), None)
+            if at is None:
+                found.append((since, n))
+                return found, IDENT if named(np.array([n]), since)[0] else OUT
+            found.append((since, at))
+            since, state = at + 1, COMMENT
+
+    out = []
+    for state in states:
+        own, end = spans(state)
+        first, last, most = -1, -1, -1
+        for a, b in own:
+            k = mark[(mark >= a) & (mark < b)]
+            k = k[~named(k, a)]
+            if not len(k):
+                continue
+            first = int(start[k[0]]) if first < 0 else first
+            plain = size[k].max() <= 19 and size[k].min() >= 2
+            ticks, good = digits_of(buf, start[k] + 1, size[k] - 1, 10) if plain else (None, np.zeros(1, bool))
+            ticks = ticks.astype(np.int64).tolist() if good.all() else times(k)
+            if ticks:
+                last, most = ticks[-1], max(most, max(ticks))
+        out.append(Outline(end, first, last, most))
+    return out
+
+
+def parsed(
+    data: bytes, base: int, ids: set[str] | None, low: int | None, high: int | None, step: int = SLICE, time: int = 0
+) -> Iterator[pa.RecordBatch]:
     """``scan`` in slices that start with a time mark; a slice that it leaves
-    goes through ``tokens``. Nothing past the end of the window is read."""
-    at = time = 0
-    while at < len(data):
-        cut = re.compile(rb"\n#\d").search(data, at + step)
-        end = cut.start() + 1 if cut else len(data)
-        part = data[at:end]
-        mark = _MARK.match(part)
-        if at and high is not None and mark and int(mark[1]) > high:
-            return
-        if at and mark and int(mark[1]) < time:
-            raise ParseError(f"time goes back from {time} to {int(mark[1])}")
+    goes through ``tokens``. The text begins outside of comments and at
+    ``time``. Nothing past the first time mark behind the window is read."""
+    at, mark = 0, re.compile(rb"\n#\d")
+    while at < len(data) and (high is None or time <= high):
+        probe = at + step
+        while True:
+            cut = mark.search(data, probe)
+            end = cut.start() + 1 if cut else len(data)
+            part = data[at:end]
+            if cut is None or ends_outside(part):
+                break
+            probe = end
         try:
-            yield from scan(part, base + at, ids, low, high)
+            batches, time = scan(part, base + at, ids, low, high, time)
+            yield from batches
         except (Odd, ParseError):
             rows = []
-            for row in tokens(part, base + at, 0):
-                if high is not None and row[1] > high:
+            for row in tokens(part, base + at, time):
+                time = row[1]
+                if high is not None and time > high:
                     break
-                if (low is None or row[1] >= low) and (ids is None or row[2] in ids):
+                if (low is None or time >= low) and (ids is None or row[2] in ids):
                     rows.append(row)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
-        last = part.rfind(b"\n#")
-        mark = _MARK.match(part[last + 1 :] if last >= 0 else part)
-        time = int(mark[1]) if mark else time
         at = end
 
 
+def ends_outside(part: bytes) -> bool:
+    """Whether text that begins outside of comments ends so, with no value
+    that awaits its identifier."""
+    if b"$comment" in part:
+        return outlines(part, [OUT])[0].state == OUT
+    waiting, end = False, len(part)
+    while True:  # back over tokens that look like values
+        token = _TOKEN_BEFORE.search(part, max(0, end - 4096), end) or _TOKEN_BEFORE.search(part, 0, end)
+        if token is None or token[1][:1] not in b"bBrRsS":
+            return not waiting
+        waiting, end = not waiting, token.start(1)
+
+
+_TOKEN_BEFORE = re.compile(rb"(?:^|(?<=\s))(\S+)\s*\Z")
+
+
+@dataclass(frozen=True)
+class Cut:
+    """A part of the body that begins with a time mark (or is the first): its
+    offsets, the time before it, and the greatest time before it."""
+
+    start: int
+    end: int
+    time: int
+    most: int
+
+
+def outline_at(path: str, start: int, end: int, first: bool) -> list[Outline]:
+    """Outlines of the tokens that begin in [start, end), offsets from the
+    beginning of the file."""
+    with open_file(path) as f:
+        size = f.size()
+        f.seek(start if first else start - 1)
+        data = f.read(end - f.tell())
+        at = start if first else start - 1
+        tail = len(data)
+        while f.tell() < size and not data[-1:].isspace() and not re.search(rb"\s", data[tail:]):
+            tail = len(data)
+            data += f.read(1 << 16)
+        stop = re.search(rb"\s", data[tail:]) if tail < len(data) else None
+        data = data[: tail + stop.start()] if stop else data
+    if not first and not data[:1].isspace():  # a token that began before
+        space = re.search(rb"\s", data)
+        skip = space.start() if space else len(data)
+        data, at = data[skip:], at + skip
+    return [Outline(o.state, o.first + at if o.first >= 0 else -1, o.last, o.most) for o in outlines(data)]
+
+
+def chained(head: Header, found: Iterable[list[Outline]]) -> list[Cut]:
+    """Cuts from the outlines of all nominal chunks in order."""
+    state, time, most = OUT, 0, 0
+    starts = [(head.body, 0, 0)]
+    for k, per_state in enumerate(found):
+        own = per_state[state]
+        if k and own.first >= 0:
+            starts.append((own.first, time, most))
+        state = own.state
+        if own.most >= 0:
+            time, most = own.last, max(most, own.most)
+    ends = [s[0] for s in starts[1:]] + [head.size]
+    return [Cut(s, e, time, most) for (s, time, most), e in zip(starts, ends, strict=True)]
+
+
 class Chunk(InputPartition):
-    def __init__(self, path: str, start: int, end: int, first: bool) -> None:
-        super().__init__(f"{path}:{start}")
-        self.path, self.start, self.end, self.first = path, start, end, first
+    def __init__(self, path: str, cut: Cut) -> None:
+        super().__init__(f"{path}:{cut.start}")
+        self.path, self.cut = path, cut
 
 
 class VcdReader(DataSourceReader):
-    """Pushes down lists of identifier codes and bounds of time."""
+    """Pushes down lists of identifier codes and bounds of time. The option
+    ``cuts`` holds a JSON list of cuts; without it the file is one part."""
 
     def __init__(self, options: dict) -> None:
         self.path = options["path"]
-        self.splittable = options.get("splittable", "true").lower() == "true"
-        self.chunk = int(options.get("chunkbytes", CHUNK))
+        self.cuts = options.get("cuts")
         self.ids: set[str] | None = None
         self.low: int | None = None
         self.high: int | None = None
@@ -404,34 +563,19 @@ class VcdReader(DataSourceReader):
             yield f  # Spark checks all of them again
 
     def partitions(self) -> list[Chunk]:
-        head = read_header(self.path)
-        step = self.chunk if self.splittable else max(head.size, 1)
-        starts = range(head.body, max(head.size, head.body + 1), step)
-        return [Chunk(self.path, s, min(s + step, head.size), s == head.body) for s in starts]
+        if self.cuts is None:
+            head = read_header(self.path)
+            return [Chunk(self.path, Cut(head.body, head.size, 0, 0))]
+        return [Chunk(self.path, Cut(*c)) for c in json.loads(self.cuts)]
 
     def read(self, part: Chunk) -> Iterator[pa.RecordBatch]:
+        cut = part.cut
+        if self.high is not None and cut.most > self.high:
+            return
         with open_file(part.path) as f:
-            size = f.size()
-            start = part.start if part.first else mark_after(f, part.start, size)
-            end = size if part.end >= size else mark_after(f, part.end, size)
-            if start >= end:
-                return
-            f.seek(start)
-            data = f.read(end - start)
-        yield from parsed(data, start, self.ids, self.low, self.high)
-
-
-def mark_after(f, at: int, size: int) -> int:
-    """Offset of the first line at or after ``at`` that is a time mark."""
-    at, tail = max(at - 1, 0), b""
-    while at < size:
-        f.seek(at)
-        block = f.read(1 << 16)
-        m = re.search(rb"\n#\d", tail + block)
-        if m:
-            return at - len(tail) + m.start() + 1
-        at, tail = at + len(block), (tail + block)[-2:]
-    return size
+            f.seek(cut.start)
+            data = f.read(cut.end - cut.start)
+        yield from parsed(data, cut.start, self.ids, self.low, self.high, time=cut.time)
 
 
 class VcdSource(DataSource):
@@ -446,6 +590,27 @@ class VcdSource(DataSource):
         return VcdReader(dict(self.options))
 
 
+def cuts_of(spark: SparkSession, path: str, head: Header, step: int) -> list[Cut]:
+    """Cuts about every ``step`` bytes, from outlines made on executors."""
+    starts = list(range(head.body, head.size, step))
+    if len(starts) < 2:
+        return [Cut(head.body, head.size, 0, 0)]
+
+    def outline(frames):
+        for frame in frames:
+            for k, at in zip(frame["k"], frame["at"], strict=True):
+                found = outline_at(path, int(at), min(int(at) + step, head.size), at == head.body)
+                yield pd.DataFrame({"k": [k] * 3, "state": range(3), "out": [[o.state, o.first, o.last, o.most] for o in found]})
+
+    asked = spark.createDataFrame(pa.table({"k": np.arange(len(starts)), "at": np.array(starts, np.int64)}))
+    asked = asked.repartition(min(len(starts), 4 * spark.sparkContext.defaultParallelism), "k")
+    rows = asked.mapInPandas(outline, "k long, state int, out array<long>").collect()  # three small rows a chunk
+    found = [[Outline(OUT)] * 3 for _ in starts]
+    for r in rows:
+        found[r["k"]][r["state"]] = Outline(*r["out"])
+    return chained(head, found)
+
+
 def read_vcd(spark: SparkSession, path: str, splittable: bool = True, chunk_bytes: int | None = None) -> Recording:
     share_code(spark)
     spark.dataSource.register(VcdSource)
@@ -453,14 +618,21 @@ def read_vcd(spark: SparkSession, path: str, splittable: bool = True, chunk_byte
     head = read_header(path)
     if chunk_bytes is None:
         chunk_bytes = min(CHUNK, max(SMALL_CHUNK, head.size // (4 * spark.sparkContext.defaultParallelism)))
-    changes = (
-        spark.read.format("vcd").option("splittable", str(splittable).lower()).option("chunkbytes", str(chunk_bytes)).load(path)
-    )
+    cuts = cuts_of(spark, path, head, chunk_bytes) if splittable else [Cut(head.body, head.size, 0, 0)]
+    changes = spark.read.format("vcd").option("cuts", json.dumps([[c.start, c.end, c.time, c.most] for c in cuts])).load(path)
     columns = list(zip(*head.signals, strict=True)) or [()] * len(SIGNALS)
     declared = pa.table([pa.array(list(c), to_arrow_type(f.dataType)) for c, f in zip(columns, SIGNALS, strict=True)], names=SIGNALS.names)
     return Recording(spark.createDataFrame(declared, SIGNALS), changes, head.timescale)
 
 
+def raw_tokens(path: str) -> Iterator[tuple]:
+    """The rows of CHANGES of a file, one after another, without Spark."""
+    head = read_header(path)
+    with open_file(path) as f:
+        f.seek(head.body)
+        yield from tokens(f.read(head.size - head.body), head.body, 0)
+
+
 def signal_list(lines: DataFrame) -> DataFrame:
     """Names of a signals file's lines (column ``value``): comments after #,
     blanks at either end and empty lines go."""
@@ -473,27 +645,77 @@ def load_signal_list(path: str) -> list[str]:
         return [name for line in f if (name := line.split("#")[0].strip())]
 
 
-def write_vcd(rec: Recording, path: str) -> None:
-    """A file with the recording's changes, row by row in order; for tests and
-    round trips, since one file has one writer."""
-    with open(path, "w", encoding="utf-8") as f:
-        if rec.timescale:
-            f.write(f"$timescale {rec.timescale[0]} {rec.timescale[1]} $end\n")
-        for s in rec.signals.orderBy("ord").toLocalIterator():
-            parts = s["name"].split(".")
-            f.writelines(f"$scope module {p} $end\n" for p in parts[:-1])
-            f.write(f"$var {s['var_type']} {s['size']} {s['id_code']} {parts[-1]} $end\n")
-            f.write("$upscope $end\n" * (len(parts) - 1))
-        f.write("$enddefinitions $end\n")
+def value_lines() -> Column:
+    """A change's line: a scalar where the value is one digit of text, a vector
+    for integers and for digits with x or z, else a real or a string, so that
+    reading gives the same kind and display."""
+    disp, code = F.col("disp"), F.col("id_code")
+    bits = F.array_join(F.transform(F.split("hex", "(?!$)"), lambda d: F.lpad(F.conv(d, 16, 2), 4, "0")), "")
+    bits = F.regexp_replace(bits, "^0+(?=.)", "")
+    vector = disp.rlike("^[01xz]{2,}$") & (disp.rlike("[xz]") | (F.length(disp) > 128))
+    return (
+        F.when(F.col("kind") == "time", F.concat(F.lit("#"), F.col("time").cast("string")))
+        .when(F.col("kind") == "int", F.concat(F.lit("b"), bits, F.lit(" "), code))
+        .when(F.col("kind") == "real", F.concat(F.lit("r"), disp, F.lit(" "), code))
+        .when(disp.isin("0", "1", "x", "z"), F.concat(disp, code))
+        .otherwise(F.concat(F.when(vector, F.lit("b")).otherwise(F.lit("s")), disp, F.lit(" "), code))
+    )
+
+
+def body_text(rec: Recording, note: str | None = None) -> DataFrame:
+    """The lines of the body (column ``value``) in order, partition after
+    partition. Each partition begins with its time, and with ``note`` as a
+    comment if given; a time that repeats what went before changes nothing."""
+    share_code(rec.changes.sparkSession)
+    rows = rec.changes.select("seq", "time", "kind", value_lines().alias("line"))
+    rows = rows.repartitionByRange("seq").sortWithinPartitions("seq")
+
+    def text(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         time = None
-        for c in rec.changes.orderBy("seq").toLocalIterator():
-            if c["time"] != time and (time is not None or c["time"] or c["kind"] == "time"):
-                f.write(f"#{c['time']}\n")
-            time = c["time"]
-            if c["kind"] == "int":
-                f.write(f"b{int(c['disp']):b} {c['id_code']}\n")
-            elif c["kind"] == "real":
-                f.write(f"r{c['disp']} {c['id_code']}\n")
-            elif c["kind"] == "text":
-                bits = not c["disp"].lower().strip("01xz") and c["disp"]
-                f.write(f"{'b' if bits else 's'}{c['disp']} {c['id_code']}\n")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = batch.column("time").to_numpy()
+            marked = pc.equal(batch.column("kind"), "time").to_numpy(zero_copy_only=False)
+            begins = np.diff(at, prepend=at[0] if time is None else time) != 0
+            begins[0] |= time is None and bool(at[0] or note)
+            before = np.flatnonzero(begins & ~marked)
+            lines = batch.column("line").to_pylist()
+            for k in before.tolist():
+                lines[k] = f"#{at[k]}\n{lines[k]}"
+            if time is None and note:
+                lines[0] = f"$comment\n{note}\n$end\n{lines[0]}"
+            time = int(at[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+
+    return rows.mapInArrow(text, "value string")
+
+
+def header_text(signals: DataFrame, timescale: tuple[int, str] | None) -> str:
+    """A header; it is bounded by the design."""
+    out = [f"$timescale {timescale[0]} {timescale[1]} $end\n"] if timescale else []
+    for s in signals.orderBy("ord").collect():
+        parts = s["name"].split(".")
+        out += [f"$scope module {p} $end\n" for p in parts[:-1]]
+        out.append(f"$var {s['var_type']} {s['size']} {s['id_code']} {parts[-1]} $end\n")
+        out.append("$upscope $end\n" * (len(parts) - 1))
+    return "".join([*out, "$enddefinitions $end\n"])
+
+
+def write_vcd(rec: Recording, path: str, note: str | None = None) -> None:
+    """A file with the recording's changes. Executors write the body in parts,
+    one a partition, which are then copied behind the header as bytes."""
+    spark = rec.changes.sparkSession
+    parts = f"{path}.parts"
+    body_text(rec, note).write.mode("overwrite").text(parts)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target, folder = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(parts)
+    fs = target.getFileSystem(conf)
+    out = fs.create(target, True)
+    out.write(bytearray(header_text(rec.signals, rec.timescale).encode("utf-8")))
+    for name in sorted(f.getPath().toString() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")):
+        part = fs.open(jvm.org.apache.hadoop.fs.Path(name))
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+        part.close()
+    out.close()
+    fs.delete(folder, True)

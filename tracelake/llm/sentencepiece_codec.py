@@ -11,7 +11,8 @@ What an agenda does depends on the unit and on the candidates skipped so far
 alone. So agendas are kept as paths: the merges from some point on, if nothing
 more is skipped, and the pieces they end with. All occurrences of a batch draw
 for all merges of their paths at once, on arrays; those that skip a merge go on
-with the path that branches off there, which is worked out when it is first met.
+with the path that branches off there. Paths are worked out, many at a time, when
+they are first met.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ UNIT = re.compile(r"[\n\t]| *[^ \n\t]+| +")
 LONG = 400
 #: Merges of known paths after which a worker forgets them all; that bounds
 #: memory and changes no result.
-KNOWN = 4_000_000
+KNOWN = 8_000_000
 #: Merges drawn for at a time (caches).
 DRAWS = 1 << 17
 #: Orders after every rank.
@@ -52,6 +53,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def place_key(owner: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """One number for a candidate; places in a unit that isn't long have 9 bits."""
+    return (owner.astype(np.int64) << 27) | (start.astype(np.int64) << 18) | (middle.astype(np.int64) << 9) | end
+
+
 class Codec:
     """A SentencePiece BPE model with byte fallback and a dummy prefix."""
 
@@ -74,7 +80,6 @@ class Codec:
         order = sorted(plain, key=lambda i: (-model.get_score(i), i))
         self.rank = np.zeros(size + 70_000, np.int64)
         self.rank[order] = np.arange(len(order))
-        self.ranks = self.rank.tolist()
         self.symbol = {t: i for i, t in text.items()}
         self.size = size
         lone = sorted({c for t in text.values() for c in t} - self.symbol.keys())
@@ -88,7 +93,10 @@ class Codec:
                     right.append(known[t[k:]])
                     made.append(i)
         self.left, self.right, self.made = (np.array(x, np.int64) for x in (left, right, made))
+        self.pairs = bpe.PairTable(self.left, self.right, self.made)
         self.unknown = size + len(lone)  # any other character: merges with none
+        self.char_table = np.full(0x110000, self.unknown, np.int32)
+        self.char_table[[ord(c) for c in self.chars]] = list(self.chars.values())
 
     @property
     @lru_cache(maxsize=1)  # noqa: B019 - one per worker
@@ -131,28 +139,41 @@ class Codec:
             i = after[i]
         return out
 
-    def path(self, symbols: list[int], skipped: set[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-        """The agenda of one unit in which the given candidates are skipped:
-        its merges, and (symbol, start, end) of what is left."""
-        ids, cuts = list(symbols), list(range(len(symbols) + 1))
-        pairs, rank = self.by_pair.get, self.ranks
-
-        def order(i: int) -> int:
-            made = pairs((ids[i], ids[i + 1]))
-            return NEVER if made is None or (cuts[i], cuts[i + 1], cuts[i + 2]) in skipped else rank[made]
-
-        waiting = [order(i) for i in range(len(ids) - 1)]
-        merges = []
-        while waiting and (best := min(waiting)) != NEVER:
-            i = waiting.index(best)
-            merges.append((cuts[i], cuts[i + 1], cuts[i + 2]))
-            ids[i : i + 2] = [pairs((ids[i], ids[i + 1]))]
-            del cuts[i + 1], waiting[i]
-            if i:
-                waiting[i - 1] = order(i - 1)
-            if i < len(waiting):
-                waiting[i] = order(i)
-        return merges, list(zip(ids, cuts, cuts[1:], strict=False))
+    def agendas(self, symbols: np.ndarray, owner: np.ndarray, skips: np.ndarray):
+        """The agendas of many units side by side, a merge of each a round.
+        ``skips`` holds the places (see ``place_key``) that are skipped. Gives
+        the merges (owner, start, middle, end) and what is left (symbol, owner,
+        start, end), each in order of the owner, merges in order of time."""
+        firsts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]][: len(owner)])
+        start = np.arange(len(symbols)) - np.repeat(firsts, np.diff(np.r_[firsts, len(symbols)]))
+        end, done, merges = start + 1, [], []
+        none = np.int64(NEVER)
+        while len(symbols):
+            order = np.full(len(symbols), none)
+            made = self.pairs.get(symbols[:-1], symbols[1:], np.int64(-1))
+            at = np.flatnonzero((made >= 0) & (owner[:-1] == owner[1:]))
+            if len(skips):
+                key = place_key(owner[at], start[at], start[at + 1], end[at + 1])
+                near = np.minimum(np.searchsorted(skips, key), len(skips) - 1)
+                at = at[skips[near] != key]
+            order[at] = (self.rank[made[at]] << np.int64(32)) | at
+            firsts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            best = np.minimum.reduceat(order, firsts)
+            live = best < none
+            active = np.repeat(live, np.diff(np.r_[firsts, len(symbols)]))
+            if not active.all():
+                done.append((symbols[~active], owner[~active], start[~active], end[~active]))
+            place = best[live] & np.int64(0xFFFFFFFF)
+            merges.append((owner[place], start[place], start[place + 1], end[place + 1]))
+            symbols[place], end[place] = made[place], end[place + 1]
+            active[place + 1] = False
+            symbols, owner, start, end = symbols[active], owner[active], start[active], end[active]
+        out = []
+        for parts, by in ((merges, 0), (done, 1)):
+            columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 4
+            order = np.argsort(columns[by], kind="stable")
+            out.append([c[order] for c in columns])
+        return out
 
     def fall_back(self, found, unit: str) -> bytes:
         """Ids, a character that is no piece as those of its bytes."""
@@ -197,47 +218,77 @@ def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 class Paths:
-    """Agendas met so far. Path p has ``count[p]`` merges from ``first[p]`` on,
-    each with the path that skipping it leads to (-1: not met), and its pieces."""
+    """Agendas met so far, as columns. Path p belongs to a unit and, unless it
+    is the unit's first, skips the merge ``cause[p]`` of its ``parent[p]`` and
+    shares what came before that. It has ``count[p]`` merges from ``first[p]``
+    on, each with the path that skipping it leads to (-1: not met), and its
+    pieces."""
 
     def __init__(self, codec: Codec) -> None:
         self.codec = codec
         self.root: dict[str, int] = {}
-        self.first, self.count, self.leaf, self.pieces = (Column(np.int64) for _ in range(4))
-        self.start, self.middle, self.end = (Column(np.int64) for _ in range(3))
-        self.branch, self.ids = Column(np.int64), Column(np.int32)
-        self.unit: list[str] = []
-        self.skips: list[tuple] = []
-        self.taken: list[int] = []
-
-    def _add(self, unit: str, skips: tuple, taken: int) -> int:
-        """The path of a unit with these skips, after ``taken`` merges."""
-        symbols = [self.codec.chars.get(c, self.codec.unknown) for c in unit]
-        merges, left = self.codec.path(symbols, set(skips))
-        rest = merges[taken:]
-        ids = np.frombuffer(self.codec.fall_back(left, unit), "<i4")
-        for column, values in ((self.first, [self.start.size]), (self.count, [len(rest)]), (self.leaf, [self.ids.size]), (self.pieces, [len(ids)])):
+        self.text: list[str] = []
+        self.symbols, self.symbol_first, self.symbol_count = Column(np.int32), Column(np.int64), Column(np.int32)
+        self.unit, self.parent, self.cause, self.taken, self.count, self.pieces = (Column(np.int32) for _ in range(6))
+        self.first, self.leaf = Column(np.int64), Column(np.int64)
+        self.start, self.middle, self.end = (Column(np.int16) for _ in range(3))
+        self.branch, self.ids = Column(np.int32), Column(np.int32)
+
+    def _add(self, unit: np.ndarray, parent: np.ndarray, cause: np.ndarray, taken: np.ndarray) -> np.ndarray:
+        """New paths of units, after so many merges ``taken`` before."""
+        n, made = len(unit), self.unit.size
+        sizes = self.symbol_count.held[unit].astype(np.int64)
+        symbols = self.symbols.held[ranges(self.symbol_first.held[unit], sizes)].astype(np.int64)
+        keys, own, up, why = [], np.arange(n), parent, cause
+        while len(own := own[keep := why >= 0]):
+            up, why = up[keep], why[keep]
+            keys.append(place_key(own, *(c.held[why] for c in (self.start, self.middle, self.end))))
+            up, why = self.parent.held[up], self.cause.held[up]
+        skips = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+        merges, left = self.codec.agendas(symbols, np.repeat(np.arange(n), sizes), skips)
+        counts = np.bincount(merges[0], minlength=n)
+        rest = ranges(np.zeros(n, np.int64), counts) >= np.repeat(taken, counts)
+        counts = counts - taken
+        pieces = np.bincount(left[1], minlength=n)
+        ids, ends = left[0], np.cumsum(pieces)
+        odd = np.unique(left[1][ids >= self.codec.size])
+        if len(odd):  # some character is no piece
+            parts, at = [], 0
+            for k in odd.tolist():
+                cut = slice(int(ends[k] - pieces[k]), int(ends[k]))
+                found = self.codec.fall_back(zip(*(left[c][cut].tolist() for c in (0, 2, 3)), strict=True), self.text[unit[k]])
+                parts += [ids[at : cut.start], np.frombuffer(found, "<i4")]
+                at = cut.stop
+                pieces[k] = len(found) // 4
+            ids = np.concatenate([*parts, ids[at:]])
+        self.first.extend(self.start.size + np.cumsum(counts) - counts)
+        self.leaf.extend(self.ids.size + np.cumsum(pieces) - pieces)
+        for column, values in (
+            *((c, m[rest]) for c, m in zip((self.start, self.middle, self.end), merges[1:], strict=True)),
+            *((self.branch, np.full(int(counts.sum()), -1)), (self.ids, ids), (self.count, counts), (self.pieces, pieces)),
+            *((self.unit, unit), (self.parent, parent), (self.cause, cause), (self.taken, taken)),
+        ):
             column.extend(values)
-        for column, k in ((self.start, 0), (self.middle, 1), (self.end, 2)):
-            column.extend([m[k] for m in rest])
-        self.branch.extend(np.full(len(rest), -1))
-        self.ids.extend(ids)
-        self.unit.append(unit)
-        self.skips.append(skips)
-        self.taken.append(taken)
-        return len(self.unit) - 1
+        return np.arange(made, made + n)
 
     def learn(self, units: set[str]) -> None:
-        for u in units - self.root.keys():
-            self.root[u] = self._add(u, (), 0)
-
-    def _branch(self, path: int, merge: int) -> int:
-        """The path that skips a merge, given by its place in the columns."""
-        k = merge - int(self.first.held[path])
-        skip = tuple(int(c.held[merge]) for c in (self.start, self.middle, self.end))
-        found = self._add(self.unit[path], (*self.skips[path], skip), self.taken[path] + k)
+        new = list(units - self.root.keys())
+        if not new:
+            return
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        points = np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), np.uint32)
+        unit = len(self.text) + np.arange(len(new))
+        self.symbol_first.extend(self.symbols.size + np.cumsum(sizes) - sizes)
+        self.symbol_count.extend(sizes)
+        self.symbols.extend(self.codec.char_table[points])
+        self.text += new
+        none = np.full(len(new), -1)
+        self.root.update(zip(new, self._add(unit, none, none, np.zeros(len(new), np.int64)).tolist(), strict=True))
+
+    def _branches(self, path: np.ndarray, merge: np.ndarray) -> None:
+        """Makes the paths that skip merges, given by their places."""
+        found = self._add(self.unit.held[path], path, merge, self.taken.held[path] + (merge - self.first.held[path]))
         self.branch.held[merge] = found
-        return found
 
     def draw(self, path: np.ndarray, bases: np.ndarray, limit: int) -> np.ndarray:
         """The path on which each occurrence ends, from the one it begins on."""
@@ -245,23 +296,24 @@ class Paths:
         active = np.arange(len(path)) if limit else np.zeros(0, np.int64)
         while len(active):
             active = active[self.count.held[path[active]] > 0]
-            cuts = np.searchsorted(np.cumsum(self.count.held[path[active]]), np.arange(DRAWS, int(self.count.held[path[active]].sum()) + DRAWS, DRAWS), "right")
+            total = np.cumsum(self.count.held[path[active]], dtype=np.int64)
+            cuts = np.searchsorted(total, np.arange(DRAWS, (int(total[-1]) if len(total) else 0) + DRAWS, DRAWS), "right")
             on = []
             for own in np.split(active, np.unique(cuts[:-1])):
-                count = self.count.held[path[own]]
+                count = self.count.held[path[own]].astype(np.int64)
                 merge = ranges(self.first.held[path[own]], count)
                 places = (c.held[merge] for c in (self.start, self.middle, self.end))
                 hit = np.flatnonzero(self.codec.skipped(np.repeat(bases[own], count), *places, np.uint64(limit)))
                 which = np.repeat(np.arange(len(own)), count)[hit]
                 new = np.r_[True, which[1:] != which[:-1]][: len(which)]  # the first merge that is skipped
                 own, merge = own[which[new]], merge[hit[new]]
-                unmet = np.flatnonzero(self.branch.held[merge] < 0)
-                for i in unmet.tolist():
-                    if self.branch.held[merge[i]] < 0:
-                        self._branch(int(path[own[i]]), int(merge[i]))
-                path[own] = self.branch.held[merge]
-                on.append(own)
-            active = np.concatenate(on) if on else active[:0]
+                on.append((own, merge))
+            active, merge = (np.concatenate(x) for x in zip(*on, strict=True))
+            unmet = np.flatnonzero(self.branch.held[merge] < 0)
+            if len(unmet):
+                new, at = np.unique(merge[unmet], return_index=True)
+                self._branches(path[active[unmet[at]]], new)
+            path[active] = self.branch.held[merge]
         return path
 
 
@@ -295,7 +347,7 @@ class Sampler:
         begin = np.fromiter((get(u, none) for u in every), np.int64, len(every))
         bases = self.bases(keys, sizes)
         end = paths.draw(begin, bases, self.limit)
-        count = paths.pieces.held[end]
+        count = paths.pieces.held[end].astype(np.int64)
         ids = paths.ids.held[ranges(paths.leaf.held[end], count)].astype("<i4").tobytes()
         ends = np.concatenate([[0], np.cumsum(count)]) * 4
         firsts = np.concatenate([[0], np.cumsum(sizes)]).tolist()

@@ -38,7 +38,7 @@ UNIT = re.compile(r"[\n\t]| *[^ \n\t]+| +")
 LONG = 400
 #: Merges of known paths after which a worker forgets them all; that bounds
 #: memory and changes no result.
-KNOWN = 8_000_000
+KNOWN = 5_000_000
 #: Merges drawn for at a time (caches).
 DRAWS = 1 << 17
 #: Orders after every rank.
@@ -342,9 +342,9 @@ class Sampler:
         paths, distinct = self.paths, set(every)
         long = {u for u in distinct if len(u) > LONG}
         paths.learn(distinct - long | {""})
-        get = paths.root.get
-        none = paths.root[""]
-        begin = np.fromiter((get(u, none) for u in every), np.int64, len(every))
+        root = paths.root
+        found = map(root.__getitem__, every) if not long else (root.get(u, root[""]) for u in every)
+        begin = np.fromiter(found, np.int64, len(every))
         bases = self.bases(keys, sizes)
         end = paths.draw(begin, bases, self.limit)
         count = paths.pieces.held[end].astype(np.int64)

@@ -111,6 +111,38 @@ def test_simhash_edge_rows(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def brute_rows(rows, distance=4):
+    """Components of rows (id, text): by fingerprints, and by equal ids."""
+    fps = [plain_fingerprint(t) for _, t in rows]
+    named = [i for i, r in enumerate(rows) if r[0] is not None]
+    pairs = [(i, j) for i in named for j in named if rows[i][0] == rows[j][0] or (fps[i] ^ fps[j]).bit_count() <= distance]
+    top = union(len(rows), pairs)
+    least = {}
+    for i in named:
+        least[top[i]] = min(least.get(top[i], rows[i][0]), rows[i][0])
+    return sorted(((r[0], f"{f:016x}", None if r[0] is None else least[t]) for r, f, t in zip(rows, fps, top, strict=True)), key=str)
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "date"])
+def test_simhash_with_repeated_ids(spark, kind):
+    import datetime
+
+    texts = ["p q", "zz yy xx ww vv", "a b c d e f", None, "p q", "one two three four five", "  p   Q "]
+    ids = [1, 5, 7, 9, 5, 7, 30, None, 4, 4, 12]
+    rows = [(i, texts[k % len(texts)]) for k, i in enumerate(ids * 2)]
+    as_kind = {"long": lambda i: i, "string": lambda i: f"id{i}", "date": lambda i: datetime.date(2024, 1, i)}[kind]
+    rows = [(None if i is None else as_kind(i), t) for i, t in rows]
+    df = spark.createDataFrame([(*r, "x") for r in rows], f"doc_id {kind}, text string, least string")
+    got = sorted((tuple(r) for r in simhash.near_duplicates(df).collect()), key=str)
+    assert got == brute_rows(rows)
+
+
+def test_blocks_balance_copies_and_candidates():
+    assert [simhash.choose_blocks(10**k, 4) for k in (0, 3, 6)] == [5, 5, 6]
+    for n in (10**8, 10**9, 10**10):
+        assert len(simhash.grids(simhash.choose_blocks(n, 4), 4)) <= 400
+
+
 def test_embedding_query_equals_its_sql(spark):
     same(QUERIES["op10_embedding_near_dedup"](spark, SF), ORACLES["op10_embedding_near_dedup"], SF)
 

@@ -35,31 +35,40 @@ from tracelake.llm.shared import written
 
 #: Chance that two random two-bit segments have equal counts.
 EQUAL = 0.375
-#: Candidates per fingerprint, all grids together, that b is chosen for.
-CANDIDATES = 128
+#: Comparisons that a copy of a fingerprint costs, for the choice of b.
+COPY = 64
 #: Rows of a cell from which it is cut into chunks.
 CAP = 4096
 #: Groups up to this size are compared offset by offset, larger ones by row.
 SMALL = 64
 
 
-def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
-    """64 bits, bit by bit the majority of the shingles' XXH64 hashes; zero if
-    there is no word. A-Z are lower-cased; words are split at ASCII space."""
+def shingle_hashes(text: str | None, shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """XXH64 of every run of ``shingle`` words, joined by a space, repeats
+    included; of all words if there are fewer, none if there are none. A-Z are
+    lower-cased; words are split at ASCII space."""
     words = (text or "").encode("utf-8").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     data = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
     starts = (ends - size).tolist()
     k = min(shingle, len(words))
-    hashes = [xxhash.xxh64_intdigest(data[a:b], seed) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=False)]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.array([xxhash.xxh64_intdigest(data[a:b], seed) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=False)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each set if it is in over half the hashes; zero of none."""
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     ones = bits.sum(axis=0, dtype=np.int32)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
+    return majority(shingle_hashes(text, shingle, seed))
+
+
 def _hash_step(shingle: int, seed: int):
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = np.array([fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()], np.uint64)
@@ -91,11 +100,13 @@ def block_masks(blocks: int) -> list[int]:
 
 
 def choose_blocks(n: int, distance: int) -> int:
-    """The least number of blocks that meets the aim for candidates."""
-    for b in range(distance + 1, 32):
-        if n * comb(b, distance) * EQUAL ** (32 * (b - distance) / b) <= CANDIDATES:
-            return b
-    return 32
+    """The number of blocks with the least work for a fingerprint: its copies,
+    one per choice of blocks, and the candidates in their cells."""
+
+    def work(b: int) -> float:
+        return comb(b, distance) * (COPY + n * EQUAL ** (32 * (b - distance) / b))
+
+    return min(range(distance + 1, 33), key=work)
 
 
 def grids(blocks: int, distance: int) -> list[int]:
@@ -165,15 +176,21 @@ def near_duplicates(
 
     Documents link at ``distance`` or fewer differing bits. Equal fingerprints
     are one node of the join, so copies cost nothing there. Null and empty
-    texts have fingerprint zero and link like others. Repeated rows share
-    their result. A row whose id is null gets its fingerprint, a null
-    component, and links nothing. Other columns aren't read.
+    texts have fingerprint zero and link like others. Rows of one id are one
+    document: whatever either links with is reachable from both. A row whose
+    id is null gets its fingerprint, a null component, and links nothing. Ids
+    may be of any type that has an order. Other columns aren't read.
     """
     fps = written(fingerprints(docs, shingle, seed, id_col, text_col), "fingerprints")
-    distinct = fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("node"))
-    distinct = written(distinct.withColumn("node", F.col("node").cast("long")), "distinct")
-    found = components(links(distinct, distance, choose_blocks(distinct.count(), distance), cap))
-    classes = distinct.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    named = fps.where("id is not null")
+    distinct = written(named.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    found = links(distinct.select("fp", F.col("fp").alias("node")), distance, choose_blocks(distinct.count(), distance), cap)
+    several = named.groupBy("id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b")
+    again = named.join(several.select("id", "a"), "id").select("a", F.col("fp").alias("b"))
+    joined = components(found.unionByName(again)).withColumnRenamed("node", "fp")
+    classes = distinct.join(joined, "fp", "left").withColumn("c", F.coalesce("component", "fp"))
+    least = classes.groupBy("c").agg(F.min("least").alias("component_id"))
+    classes = classes.join(least, "c").select("fp", "component_id")
     return fps.join(classes, "fp", "left").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),

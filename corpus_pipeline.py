@@ -5,7 +5,8 @@ before it kept. All but the last return the columns of ``documents``:
 
 quality classifier   rejected documents go
 SimHash near-dedup   one document of each group of near duplicates stays, the
-                     one with the least doc_id; a row without doc_id stays
+                     one with the least doc_id (similarity of five-word
+                     shingles of 0.8 or more); a row without doc_id stays
 substring dedup      words of repeated passages are taken out of the texts;
                      n_chars follows a text that changes
 best-fit packing     the pieces of all texts, with their sequences and offsets
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import packing, quality, simhash, substring_dedup
+from tracelake.llm import near_copies, packing, quality, substring_dedup
 from tracelake.llm.shared import written
 
 
@@ -24,10 +25,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of equal doc_id stay or go together."""
-    found = simhash.near_duplicates(docs, distance=4, shingle=4, seed=42)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return near_copies.without_near_copies(docs, similarity=0.8, shingle=5, distance=4, seed=42)
 
 
 def substring_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from tests import waves
 from tracelake.errors import ParseError
 from tracelake.model import CHANGES, SIGNALS, Recording, Window
-from tracelake.operators import compare, extract, find, timeline, toggle
+from tracelake.operators import compare, extract, find, timeline, toggle, trace
 from tracelake.sources import vcd
 from tracelake.streaming.toggles import streaming_toggles
 
@@ -30,8 +30,7 @@ def random_recording(spark, seed):
 @pytest.mark.parametrize("seed", range(4))
 def test_operators_equal_a_direct_interpreter(spark, monkeypatch, seed):
     # small buckets, so that everything crosses them
-    for module, name, value in ((extract, "TIME_BUCKET", 7), (compare, "TIME_BUCKET", 7)):
-        monkeypatch.setattr(module, name, value)
+    monkeypatch.setattr(timeline, "BUCKET_ROWS", 3)
     monkeypatch.setattr(timeline.count_switches, "__defaults__", (11,))
     signals, changes, rec = random_recording(spark, seed)
     names = [s[1] for s in signals]
@@ -46,6 +45,31 @@ def test_operators_equal_a_direct_interpreter(spark, monkeypatch, seed):
         assert [tuple(r) for r in found] == waves.differences((changes, signals), (other_changes, other_signals), names, (None, None), ignore, limit)
 
 
+def test_long_spans_fill_buckets_evenly(spark, monkeypatch):
+    """Ticks of femtoseconds: buckets follow the rows, not the unit."""
+    monkeypatch.setattr(timeline, "BUCKET_ROWS", 16)
+    step = 10**12
+    rows = [(t * step, str(t) if t % 3 == 0 else None) for t in range(500)]
+    df = spark.createDataFrame(rows, "time long, v string")
+    out = timeline.carry_forward(df, [], "time", ["v"])
+    assert [(r["time"], r["v"]) for r in out.orderBy("time").collect()] == [(t * step, str(t - t % 3)) for t in range(500)]
+    before = timeline.carry_forward(df, [], "time", ["v"], include_current=False).orderBy("time").collect()
+    assert [r["v"] for r in before] == [None, *[str(t - t % 3) for t in range(499)]]
+
+
+def test_sources_are_read_once(spark, tmp_path):
+    """What is carried forward is stored, so a file is parsed once a side."""
+    (tmp_path / "a.vcd").write_text(waves.A)
+    rec = vcd.read_vcd(spark, str(tmp_path / "a.vcd"))
+    for df in (extract.extract_aligned(rec.signals, rec.changes, ["tb.clk"]), compare.compare(rec, rec).mismatches, trace_of(spark, tmp_path)):
+        assert "vcd" not in df._jdf.queryExecution().executedPlan().toString().lower().replace(str(tmp_path).lower(), "")
+
+
+def trace_of(spark, tmp_path):
+    (tmp_path / "t.vcd").write_text(waves.TRACE)
+    return trace.trace(vcd.read_vcd(spark, str(tmp_path / "t.vcd")), waves.TRACE_NAMES)
+
+
 def body(r, n):
     time, out = 0, []
     codes = ["!", "b", "r1", "#", "0", "$x", "s", "z!"]

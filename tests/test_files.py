@@ -1,13 +1,14 @@
 import json
+import random
 
 import pytest
 
 from tests import waves
-from tracelake import api, cli
+from tracelake import api, cli, render
 from tracelake.errors import DuplicateSignal, InvalidOccurrence, MissingEndDefinitions, MissingSignal, MissingSignals, ParseError
 from tracelake.functions import parse_target
-from tracelake.model import Window
-from tracelake.operators import compare
+from tracelake.model import VERSION, Window
+from tracelake.operators import compare, select
 from tracelake.operators.trace import DEFAULT_PATHS, load_paths, trace
 from tracelake.sources.vcd import decode_vector, float_display, load_signal_list, parse_header, read_header, read_vcd, sanitize_scopes, tokens, write_vcd
 
@@ -242,3 +243,62 @@ def test_command_line(files, capsys):
     assert "equivalent" in out("compare", files["A"], files["A"])
     for bad in (["extract", files["A"]], ["find", files["A"], "--signal", "a,b", "--value", "1"], ["find", files["A"], "--signal", "tb.clk", "--value", "7"], ["meta", "/nope"]):
         assert cli.main(bad) == 1
+
+
+def test_reports(files):
+    result = api.compare(files["A"], files["C"])
+    same = api.compare(files["A"], files["A"])
+    assert render.compare_summary(same) == "✅ PASS - All 5 common signals match"
+    assert render.compare_summary(result) == "❌ FAIL - 2/5 signals have mismatches (3 total mismatches)"
+    lines = render.compare_report(result).split("\n")
+    assert lines[:8] == [render.RULE, "VCD Comparison Results", render.RULE, "", f"Reference: {files['A']}", f"Actual:    {files['C']}", "", "Common signals: 5"]
+    assert lines[-6:] == ["❌ FAILURES FOUND", "", "Total mismatches: 3", "Signals with mismatches: 2 / 5", "", ""]
+    many = [{"signal": "b", "time": t, "value1": "0", "value2": "1", "is_unknown": False} for t in range(13)]
+    many += [{"signal": "a", "time": 5, "value1": "x", "value2": "1", "is_unknown": True}]
+    report = render.compare_report(result | {"mismatches": many, "signals_only_in_file1": ["p"], "total_mismatches": 14})
+    assert report.index("Signal: a") < report.index("Signal: b")
+    assert report.count("❌ MISMATCH\n") == render.SHOWN and "  ... and 3 more\n  ❌ 13 mismatches\n\n" in report
+    assert "Signals only in reference:\n  - p\n\nCommon signals" in report and "Signals only in actual" not in report
+    assert render.compare_report(same | {"common_signals": []}).endswith("Common signals: 0\n\n⚠️  No common signals to compare!\n")
+
+
+def test_command_line_options(files, capsys):
+    with pytest.raises(SystemExit) as left:
+        cli.main(["--version"])
+    assert left.value.code == 0 and capsys.readouterr().out == f"tracelake {VERSION}\n"
+    with pytest.raises(SystemExit):
+        cli.main(["--log-level", "loud", "list", files["A"]])
+    assert cli.main(["--log-level", "trace", "list", files["A"]]) == 0
+    assert cli.main(["trace", files["TRACE"], "--log-level", "loud", "--output", "/nowhere/x"]) == 1
+    assert cli.main(["compare", files["A"], files["A"], "--output", "summary"]) == 0
+    assert "PASS - All 5 common" in capsys.readouterr().out
+
+
+def test_repeated_names_in_tables(spark, files):
+    rec = read_vcd(spark, files["A"])
+    twice = rec.signals.unionByName(rec.signals.where("name = 'tb.clk'"))
+    with pytest.raises(DuplicateSignal, match="tb.clk"):
+        select.recording(twice, rec.changes)
+    with pytest.raises(DuplicateSignal, match="tb.clk"):
+        select.resolve(twice, ["tb.temp", "tb.clk"])
+    assert select.recording(rec.signals, rec.changes).signals is rec.signals
+
+
+def test_wide_values_as_columns(spark):
+    from pyspark.sql import functions as F
+
+    from tracelake.functions import decode_bits, parse_target_column
+    from tracelake.functions.values import low64_hex
+
+    rng = random.Random(0)
+    bits = ["", "0", "1", "1" * 64, "1" + "0" * 64, "1" * 128, "1" * 129, "0" * 129, "1x" * 40, "Z", "1" + "0" * 127, "0" * 70 + "1"]
+    bits += ["".join(rng.choices("01", k=rng.randint(1, 128))) for _ in range(60)]
+    rows = spark.createDataFrame([(b,) for b in bits], "b string").select("b", *decode_bits(F.col("b"))).collect()
+    assert [tuple(r)[1:] for r in rows] == [decode_vector(b) for b in bits]
+    literals = ["0x" + "f" * 32, "0x1" + "0" * 32, "0x" + "0" * 40 + "ff", str(2**128 - 1), str(2**128), "+" + "0" * 50 + str(2**100), "0x+1F", " 0xAbC\t", "0x", "x", " Z ", "00", str(2**64), "12a"]
+    literals += [hex(rng.getrandbits(rng.randint(1, 128))) for _ in range(40)]
+    found = spark.createDataFrame([(x,) for x in literals], "x string").select(parse_target_column(F.col("x")).alias("t")).collect()
+    assert [r["t"] for r in found] == [parse_target(x) for x in literals]
+    texts = ["18446744073709551615", "18446744073709551616", "9999999999999999999", "+007", "0xFFFFFFFFFFFFFFFF", "x"]
+    low = spark.createDataFrame([(x,) for x in texts], "x string").select(low64_hex(F.lit("text"), F.col("x"), F.lit(None).cast("string")).alias("h"))
+    assert [r["h"] for r in low.collect()] == ["f" * 16, None, "8ac7230489e7ffff", "7", "f" * 16, None]

@@ -1,6 +1,7 @@
 """Waveform (value-change) analytics on Spark."""
 
 from tracelake.api import compare, extract, find, list_signals, metadata, toggles
+from tracelake.model import VERSION
 
 __all__ = ["compare", "extract", "find", "list_signals", "metadata", "toggles"]
-__version__ = "0.1.0"
+__version__ = VERSION

@@ -8,6 +8,7 @@ import sys
 
 from tracelake import api, render
 from tracelake.errors import WaveError
+from tracelake.model import VERSION
 from tracelake.operators.trace import load_paths, trace
 from tracelake.session import active
 from tracelake.sources.vcd import load_signal_list, read_vcd
@@ -15,12 +16,22 @@ from tracelake.sources.vcd import load_signal_list, read_vcd
 LEVELS = {"error": logging.ERROR, "warn": logging.WARNING, "info": logging.INFO, "debug": logging.DEBUG, "trace": logging.DEBUG}
 
 
+#: Forms of a comparison's report; any other name gives the detailed one.
+REPORTS = {"json": render.compare_json, "compact": render.compare_compact, "summary": lambda result: render.compare_summary(result) + "\n"}
+
+
+def split_names(entries: list[str]) -> list[str]:
+    """Names of repeated, comma-separated arguments; blanks don't count."""
+    stripped = map(str.strip, ",".join(entries).split(","))
+    return [name for name in stripped if name]
+
+
 def names_of(entries: list[str], path: str | None) -> list[str]:
-    """Repeated, comma-separated arguments, then a file's names."""
-    names = [part.strip() for entry in entries for part in entry.split(",") if part.strip()]
+    """The arguments' names, then a file's; repeats stay."""
+    names = split_names(entries)
     names += load_signal_list(path) if path else []
     if not names:
-        raise WaveError("at least one --signal or --signals-file entry is required")
+        raise WaveError("no signal given: name some by --signal or --signals-file")
     return names
 
 
@@ -28,7 +39,8 @@ def parser() -> argparse.ArgumentParser:
     common = argparse.ArgumentParser(add_help=False)
     common.add_argument("--pretty", action="store_true", default=argparse.SUPPRESS, help="aligned tables")
     top = argparse.ArgumentParser(prog="tracelake", description="Waveform analytics", parents=[common])
-    top.add_argument("--log-level", default="info")
+    top.add_argument("--version", action="version", version=f"%(prog)s {VERSION}")
+    top.add_argument("--log-level", default="info", choices=list(LEVELS))
     sub = top.add_subparsers(dest="command", required=True)
 
     def command(name: str, text: str) -> argparse.ArgumentParser:
@@ -71,6 +83,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("vcd")
     p.add_argument("--output", default="trace.txt")
     p.add_argument("--signal-path")
+    p.add_argument("--log-level", default=argparse.SUPPRESS, help="an unknown level counts as info")
     return top
 
 
@@ -101,24 +114,16 @@ def run(args: argparse.Namespace) -> str:
         counts = api.toggles(args.vcd, names, args.start, args.end)
         return shown(["signal", "toggles"], [[n, counts.get(n, 0)] for n in names])
     if args.command == "find":
-        if sum(bool(s.strip()) for s in args.signal.split(",")) != 1:
-            raise WaveError("Provide exactly one signal for find (no comma-separated lists).")
+        if len(split_names([args.signal])) != 1:
+            raise WaveError("find takes one signal")
         hit = api.find(args.vcd, args.signal, args.value, args.occurrence, args.start, args.end, args.format)
         if not hit["found"]:
-            raise WaveError("No matching occurrence found in the specified window.")
+            raise WaveError("the value does not occur so often in the window")
         return shown(["time", args.signal], [[hit["time"], hit["value"]]])
     if args.command == "compare":
-        result = api.compare(
-            args.reference,
-            args.actual,
-            max_mismatches=args.max_mismatches,
-            signals=[s.strip() for s in args.signals_only.split(",") if s.strip()],
-            ignore_unknown=args.ignore_unknown,
-            start=args.start,
-            end=args.end,
-        )
-        forms = {"json": render.compare_json, "compact": render.compare_compact}
-        return forms.get(args.output, render.compare_report)(result)
+        options = {k: getattr(args, k) for k in ("max_mismatches", "ignore_unknown", "start", "end")}
+        result = api.compare(args.reference, args.actual, signals=split_names([args.signals_only]), **options)
+        return REPORTS.get(args.output, render.compare_report)(result)
     rec = read_vcd(active(), args.vcd)
     with open(args.output, "w", encoding="utf-8") as f:
         f.writelines(r["line"] + "\n" for r in trace(rec, load_paths(args.signal_path)).toLocalIterator())

@@ -7,27 +7,27 @@ class WaveError(RuntimeError):
 
 class MissingEndDefinitions(WaveError):
     def __init__(self) -> None:
-        super().__init__("missing $enddefinitions marker in VCD file")
+        super().__init__("the header has no $enddefinitions")
 
 
 class DuplicateSignal(WaveError):
     def __init__(self, name: str) -> None:
-        super().__init__(f"duplicate signal name detected: {name}")
+        super().__init__(f"a signal is declared twice: {name}")
 
 
 class MissingSignals(WaveError):
     def __init__(self, names: list[str]) -> None:
-        super().__init__(f"signals not found in VCD: {', '.join(names)}")
+        super().__init__(f"no such signals: {', '.join(names)}")
 
 
 class MissingSignal(WaveError):
     def __init__(self, name: str) -> None:
-        super().__init__(f"signal not found in VCD: {name}")
+        super().__init__(f"no such signal: {name}")
 
 
 class InvalidOccurrence(WaveError):
     def __init__(self) -> None:
-        super().__init__("occurrence must be >= 1")
+        super().__init__("occurrences are counted from 1")
 
 
 class ParseError(WaveError):

@@ -22,28 +22,61 @@ def parse_target(raw: str) -> str:
     return text
 
 
+#: Digits of a limb, three of which hold 128 bits.
+LIMB = 17
+
+
+def hex_to_decimal(digits: Column) -> Column:
+    """Decimal digits of up to 32 hexadecimal ones (lower case): by ``conv``
+    where 64 bits suffice, else digit by digit in limbs of base 10^17."""
+    base = F.lit(10**LIMB)
+    start = F.struct(*[F.lit(0).cast("long").alias(k) for k in "abc"])
+
+    def step(x: Column, d: Column) -> Column:
+        c = x["c"] * 16 + F.conv(d, 16, 10).cast("long")
+        b = x["b"] * 16 + F.call_function("div", c, base)
+        return F.struct((x["a"] * 16 + F.call_function("div", b, base)).alias("a"), (b % base).alias("b"), (c % base).alias("c"))
+
+    limbs = F.aggregate(F.split(digits, "(?!$)"), start, step)
+    text = F.concat(limbs["a"].cast("string"), *[F.lpad(limbs[k].cast("string"), LIMB, "0") for k in "bc"])
+    wide = F.regexp_replace(text, "^0+(?=.)", "")
+    return F.when(F.length(F.regexp_replace(digits, "^0+", "")) <= 16, F.conv(digits, 16, 10)).otherwise(wide)
+
+
+def decimal_fits(digits: Column, most: int) -> Column:
+    """Whether decimal digits without leading zeros are a number up to most."""
+    size = len(str(most))
+    return (F.length(digits) < size) | ((F.length(digits) == size) & (digits <= str(most)))
+
+
 def parse_target_column(raw: Column) -> Column:
-    """``parse_target`` over a column, for literals of at most 60 bits."""
-    text = F.lower(F.trim(raw))
+    """``parse_target`` over a column."""
+    text = F.lower(F.regexp_replace(raw, "^\\s+|\\s+$", ""))
+    hexa = F.regexp_replace(F.regexp_replace(text, "^0x\\+?", ""), "^0+(?=.)", "")
+    number = F.regexp_replace(F.regexp_replace(text, "^\\+", ""), "^0+(?=.)", "")
     return (
-        F.when(text.rlike("^0x[0-9a-f]{1,15}$"), F.conv(F.substring(text, 3, 15), 16, 10))
-        .when(text.rlike("^\\+?[0-9]{1,18}$"), F.regexp_replace(text, "^\\+", "").cast("long").cast("string"))
+        F.when(text.rlike("^0x\\+?[0-9a-f]+$") & (F.length(hexa) <= 32), hex_to_decimal(hexa))
+        .when(text.rlike("^\\+?[0-9]+$") & decimal_fits(number, U128 - 1), number)
         .otherwise(text)
     )
 
 
 def decode_bits(bits: Column) -> list[Column]:
     """Columns kind, disp, norm and hex of a vector literal's digits (without
-    its ``b``): up to 60 bits of 0 and 1 make an integer, others stay text.
-    Wider vectors are decoded by the reader, which has 128-bit integers."""
+    its ``b``): up to 128 bits of 0 and 1 make an integer, others stay text."""
     low = F.lower(bits)
-    whole = low.rlike("^[01]{0,60}$")
-    number = F.when(F.length(low) == 0, F.lit("0")).otherwise(F.conv(low, 2, 10))
+    whole = low.rlike("^[01]{0,128}$")
+    full = F.concat(F.repeat(F.lit("0"), F.pmod(-F.length(low), F.lit(4))), low)
+    nibbles = F.transform(F.sequence(F.lit(0), F.length(full) - 4, F.lit(4)), lambda i: F.lower(F.conv(F.substring(full, i + 1, F.lit(4)), 2, 16)))
+    long = F.regexp_replace(F.array_join(nibbles, ""), "^0+(?=.)", "")
+    short = F.length(low) <= 64
+    hexa = F.when(F.length(low) == 0, F.lit("0")).when(short, F.lower(F.conv(low, 2, 16))).otherwise(long)
+    number = F.when(F.length(low) == 0, F.lit("0")).when(short, F.conv(low, 2, 10)).otherwise(hex_to_decimal(long))
     return [
         F.when(whole, "int").otherwise("text").alias("kind"),
         F.when(whole, number).otherwise(low).alias("disp"),
         F.when(whole, number).otherwise(low).alias("norm"),
-        F.when(whole, F.lower(F.conv(number, 10, 16))).alias("hex"),
+        F.when(whole, hexa).alias("hex"),
     ]
 
 
@@ -91,7 +124,9 @@ def low64_hex(kind: Column, disp: Column, hexa: Column) -> Column:
     text = F.trim(disp)
     low = F.when(kind == "int", F.right(hexa, F.lit(16)))
     low = low.when((kind == "text") & text.rlike("^0[xX][0-9a-fA-F]{1,16}$"), F.lower(F.substring(text, 3, 16)))
-    low = low.when((kind == "text") & text.rlike("^\\+?[0-9]{1,18}$"), F.lower(F.hex(F.regexp_replace(text, "^\\+", "").try_cast("long"))))
+    digits = F.regexp_replace(F.regexp_replace(text, "^\\+", ""), "^0+(?=.)", "")
+    decimal = text.rlike("^\\+?[0-9]+$") & decimal_fits(digits, (1 << 64) - 1)
+    low = low.when((kind == "text") & decimal, F.lower(F.conv(digits, 10, 16)))
     return F.when(F.regexp_replace(low, "^0+", "") == "", F.lit("0")).otherwise(F.regexp_replace(low, "^0+", ""))
 
 

@@ -21,6 +21,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+VERSION = "0.2.0"
+
 SIGNALS = T.StructType(
     [
         T.StructField("ord", T.LongType()),

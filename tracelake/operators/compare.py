@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import is_unknown, values_match
 from tracelake.model import Comparison, Recording, Window
 from tracelake.operators.select import in_window
-from tracelake.operators.timeline import TIME_BUCKET, carry_forward
+from tracelake.operators.timeline import carry_forward
 
 VALUE = "struct<kind:string,disp:string,norm:string,bits64:bigint>"
 
@@ -44,7 +44,7 @@ def mismatches(
     either side changed, where the values differ. Both sides are x before
     their first change in the window. A limit holds per signal; 0 acts as 1."""
     a, b = timeline(first, common, window, "a"), timeline(second, common, window, "b")
-    both = carry_forward(a.join(b, ["signal", "time"], "full"), ["signal"], "time", ["a", "b"], TIME_BUCKET)
+    both = carry_forward(a.join(b, ["signal", "time"], "full"), ["signal"], "time", ["a", "b"])
     start = F.expr(f"cast(struct('text', 'x', 'x', cast(null as bigint)) as {VALUE})")
     both = both.withColumns({c: F.coalesce(F.col(c), start) for c in ("a", "b")})
     out = both.where(~values_match("a", "b", ignore_unknown)).select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import sized
 from tracelake.model import Window
 from tracelake.operators.select import events
-from tracelake.operators.timeline import TIME_BUCKET, carry_forward
+from tracelake.operators.timeline import carry_forward
 
 
 def formatted(fmt: str) -> Column:
@@ -58,4 +58,4 @@ def extract_aligned(
     """A row per time; a cell has its signal's latest value in the window,
     empty before the first. State from before the window isn't carried in."""
     df, distinct, cells = grid(signals, changes, names, window, fmt)
-    return named(carry_forward(df, [], "time", cells, TIME_BUCKET), names, distinct)
+    return named(carry_forward(df, [], "time", cells), names, distinct)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tracelake.errors import DuplicateSignal, MissingSignals
-from tracelake.model import Window
+from tracelake.model import Recording, Window
 
 #: Requested names are few: a request this long or shorter is joined as a
 #: broadcast, a longer one as Catalyst sees fit.
@@ -36,12 +36,26 @@ def duplicate_names(signals: DataFrame) -> DataFrame:
 
 
 def require_unique(signals: DataFrame) -> None:
-    """Every query fails on a header that declares a name twice."""
+    """Every query fails on signals that declare a name twice."""
     found = duplicate_names(signals).orderBy("ord").limit(1).collect()
     if found:
         raise DuplicateSignal(found[0]["name"])
 
 
+def recording(signals: DataFrame, changes: DataFrame, timescale: tuple[int, str] | None = None) -> Recording:
+    """A recording of tables that don't come from a file, whose header would
+    have been checked: a name declared twice is an error."""
+    require_unique(signals)
+    return Recording(signals, changes, timescale)
+
+
+def flat_names(lines: DataFrame) -> DataFrame:
+    """Rows (.., pos, name): the names of comma-separated arguments (column
+    ``value``) in order; blanks don't count, repeats stay."""
+    parts = F.filter(F.transform(F.split("value", ","), lambda x: F.regexp_replace(x, "^\\s+|\\s+$", "")), lambda x: x != "")
+    return lines.select("*", F.posexplode(parts).alias("pos", "name")).drop("value")
+
+
 def local(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType) -> DataFrame:
     """Rows that the plan itself holds: joining them starts no job."""
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
@@ -74,6 +88,9 @@ def resolve(signals: DataFrame, names: Sequence[str]) -> Targets:
     if len(names) <= LITERAL_TARGETS:
         found = signals.where(F.col("name").isin(list(names))).select("name", "id_code", "size").collect()
         known = {r["name"]: (r["id_code"], r["size"]) for r in found}
+        if len(known) < len(found):
+            names_found = [r["name"] for r in found]
+            raise DuplicateSignal(next(n for n in names if names_found.count(n) > 1))
         missing = [n for n in names if n not in known]
         if missing:
             raise MissingSignals(missing)
@@ -84,6 +101,7 @@ def resolve(signals: DataFrame, names: Sequence[str]) -> Targets:
     missing = [r["name"] for r in missing_names(signals, wanted).orderBy("req_ord").collect()]
     if missing:
         raise MissingSignals(missing)
+    require_unique(signals)
     rows = wanted.join(signals.select("name", "id_code", "size"), "name").withColumnRenamed("name", "signal")
     small = F.broadcast if len(names) <= BROADCAST_TARGETS else lambda df: df
     return Targets(small(rows), small(rows.select("id_code", "size").distinct()), None)

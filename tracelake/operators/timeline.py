@@ -11,26 +11,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracelake.session import stored
+
 #: Width of a bucket, in units of ``seq`` (bytes of body text for files).
 SEQ_BUCKET = 1 << 24
-#: Width of a bucket in ticks. After a collapse to one row per signal and time
-#: a bucket of a signal holds so many rows at most.
-TIME_BUCKET = 1 << 18
+#: Rows that a bucket of times holds on average, whatever the time scale.
+BUCKET_ROWS = 1 << 16
 
 
 def bucket_of(order: str, width: int) -> Column:
     return F.floor(F.col(order) / F.lit(width)).cast("long")
 
 
-def carry_forward(
-    df: DataFrame, keys: list[str], order: str, columns: list[str], width: int, include_current: bool = True
-) -> DataFrame:
+def carry_forward(df: DataFrame, keys: list[str], order: str, columns: list[str], include_current: bool = True, kept: bool = False) -> DataFrame:
     """Replaces nulls of ``columns`` by the last earlier non-null value in the
     order of ``order`` among rows of equal ``keys``. With
     ``include_current=False`` every row gets the value before it.
 
     ``order`` is unique within ``keys``. Nulls stay where nothing precedes.
+    The rows are stored first, unless they are (``kept``): the source is read
+    once, and the width of buckets follows from the number of rows and their
+    span. Rows that fill no more than a bucket need no second level.
     """
+    df = df if kept else stored(df, "timeline")
+    found = df.agg(F.count("*").alias("n"), F.min(order).alias("low"), F.max(order).alias("high")).first()
+    if found["n"] <= BUCKET_ROWS:
+        own = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0 if include_current else -1)
+        return df.withColumns({c: F.last(c, ignorenulls=True).over(own) for c in columns})
+    width = max(1, (found["high"] - found["low"] + 1) * BUCKET_ROWS // found["n"])
     df = df.withColumn("_bucket", bucket_of(order, width))
     inside = W.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(W.unboundedPreceding, 0 if include_current else -1)
     across = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tracelake.functions.values import low64_hex, padded, trace_data, truth
 from tracelake.model import Recording, Window
 from tracelake.operators.select import events
-from tracelake.operators.timeline import TIME_BUCKET, carry_forward
+from tracelake.operators.timeline import carry_forward
+from tracelake.session import stored
 
 # The roles of a trace and the signals they have by default.
 CPU = "tb.U_CHIP.U_TOP_VCORE.U_TOP_CORE.U_TOP_CPU"
@@ -29,14 +30,14 @@ DEFAULT_PATHS = {
 STATE = [r for r in DEFAULT_PATHS if r != "clk"]
 
 
-def load_paths(path: str | None = None) -> dict[str, str]:
-    """The default signals, overridden by a JSON object's non-null entries."""
-    paths = dict(DEFAULT_PATHS)
-    if path is not None:
-        with open(path, encoding="utf-8") as f:
+def load_paths(source: str | dict | None = None) -> dict[str, str]:
+    """The default signals, overridden by the non-null entries of a JSON
+    object, given itself or by the path of its file."""
+    given = source or {}
+    if isinstance(given, str):
+        with open(given, encoding="utf-8") as f:
             given = json.load(f)
-        paths |= {k: given[k] for k in paths if given.get(k) is not None}
-    return paths
+    return DEFAULT_PATHS | {k: given[k] for k in DEFAULT_PATHS if given.get(k) is not None}
 
 
 def groups(role_events: DataFrame) -> DataFrame:
@@ -58,7 +59,8 @@ def samples(grouped: DataFrame) -> DataFrame:
     edge but the first, with the state before it; then, if there was any edge,
     the final state. An edge needs a clock of exactly 0 before the group."""
     roles = list(DEFAULT_PATHS)
-    before = carry_forward(grouped, [], "time", roles, TIME_BUCKET, include_current=False)
+    grouped = stored(grouped, "groups")
+    before = carry_forward(grouped, [], "time", roles, include_current=False, kept=True)
     rising = F.coalesce(~truth(F.col("clk.kind"), F.col("clk.disp")), F.lit(False)) & F.coalesce("_one", F.lit(False))
     edges = before.where(rising).select("time", *STATE)
     first = edges.agg(F.min("time").alias("_armed"))

@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
-import uuid
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracelake import render as R
 from tracelake.functions import decode_bits, hex_with_x, parse_target_column, sanitize_scope_line, sized
-from tracelake.model import Recording, Window
+from tracelake.model import SIGNALS, Recording, Window
 from tracelake.operators import compare as C
 from tracelake.operators import extract as X
 from tracelake.operators.find import find_nth
 from tracelake.operators.meta import metadata
-from tracelake.operators.select import duplicate_names, events, in_window, list_signals, missing_names, requested
+from tracelake.operators.select import duplicate_names, events, flat_names, in_window, list_signals, missing_names, recording, requested
 from tracelake.operators.toggle import toggles
-from tracelake.operators.trace import groups, render, samples
-from tracelake.session import local_scratch
-from tracelake.sources.tables import event_recording, event_roles, perturbed
-from tracelake.sources.vcd import read_vcd, signal_list, write_vcd
+from tracelake.operators.trace import DEFAULT_PATHS, groups, load_paths, render, samples, trace
+from tracelake.session import scratch
+from tracelake.sources.tables import event_kinds, event_recording, event_roles, perturbed
+from tracelake.sources.vcd import parse_header, raw_tokens, read_vcd, signal_list, write_vcd
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -100,7 +101,10 @@ def _alias_fanout(spark, sf_dir):
     return events(rec.signals, rec.changes, FAN, Window()).select("seq", "req_ord", "signal", "time")
 
 
-@query("missing_signals", "SELECT CAST(1 AS BIGINT) AS req_ord, 'tb.nope' AS name UNION ALL SELECT 3, 'zz'")
+ASKED_SQL = "(VALUES (CAST(0 AS BIGINT), 'tb.u0'), (1, 'tb.nope'), (2, 'tb.u1'), (3, 'zz')) w(req_ord, name)"
+
+
+@query("missing_signals", f"{BASE} SELECT req_ord, name FROM {ASKED_SQL} WHERE name NOT IN (SELECT name FROM sig)")
 def _missing_signals(spark, sf_dir):
     s = event_recording(spark, sf_dir).signals
     return missing_names(s, requested(spark, ["tb.u0", "tb.nope", "tb.u1", "zz"]))
@@ -273,6 +277,8 @@ filled AS (SELECT signal, time, coalesce(last_value(va IGNORE NULLS) OVER w, 'x'
   WINDOW w AS (PARTITION BY signal ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 mm AS (SELECT signal, time, va AS value1, vb AS value2, va IN ('x', 'z') OR vb IN ('x', 'z') AS is_unknown FROM filled WHERE va <> vb)"""
 ALL_DIFF = SETS + DIFF.format(where="true")
+COMMON = "(SELECT count(*) FROM sig JOIN other USING (name))"
+ONLY = "(SELECT coalesce(list(name ORDER BY ord), []) FROM {0} WHERE name NOT IN (SELECT name FROM {1}))"
 
 
 @query("compare_mismatches", f"{ALL_DIFF} SELECT * FROM mm")
@@ -297,7 +303,7 @@ def _compare_windowed(spark, sf_dir):
 
 @query(
     "compare_summary",
-    f"""{ALL_DIFF} SELECT CAST(39 AS BIGINT) AS common_signal_count, count(*) AS total_mismatches,
+    f"""{ALL_DIFF} SELECT {COMMON} AS common_signal_count, count(*) AS total_mismatches,
   count(DISTINCT signal) AS signals_with_mismatches, count(*) = 0 AS passed FROM mm""",
 )
 def _compare_summary(spark, sf_dir):
@@ -367,11 +373,10 @@ def _trace_lines(spark, sf_dir):
     return render(samples(groups(event_roles(spark, sf_dir))))
 
 
-@query(
-    "signal_list_file",
-    """SELECT n_nationkey AS line_no, n_name AS name FROM nation WHERE n_nationkey % 5 > 1""",
-)
-def _signal_list_file(spark, sf_dir):
+LINE = """CASE n_nationkey % 5 WHEN 0 THEN '# ' || n_name WHEN 1 THEN '   ' WHEN 2 THEN n_name || ' # inline' WHEN 3 THEN chr(9) || ' ' || n_name || '  ' ELSE n_name END"""
+
+
+def nation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("n_nationkey") % 5
     line = (
         F.when(k == 0, F.concat(F.lit("# "), "n_name"))
@@ -380,8 +385,48 @@ def _signal_list_file(spark, sf_dir):
         .when(k == 3, F.concat(F.lit("\t "), "n_name", F.lit("  ")))
         .otherwise(F.col("n_name"))
     )
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("line_no"), line.alias("value"))
+
+
+@query(
+    "signal_list_file",
+    f"""WITH l AS (SELECT n_nationkey AS line_no, regexp_replace(string_split({LINE}, '#')[1], '^\\s+|\\s+$', '', 'g') AS name FROM nation)
+SELECT line_no, name FROM l WHERE name <> ''""",
+)
+def _signal_list_file(spark, sf_dir):
+    return signal_list(nation_lines(spark, sf_dir)).select("line_no", "name")
+
+
+@query(
+    "signal_arguments",
+    """WITH l AS (SELECT n_nationkey AS line_no, n_name || ', ,' || chr(9) || 'R' || n_regionkey || ' , ' || n_name || ',' AS v FROM nation),
+p AS (SELECT line_no, list_filter(list_transform(string_split(v, ','), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS names FROM l)
+SELECT line_no, CAST(unnest(range(0, len(names))) AS INTEGER) AS pos, unnest(names) AS name FROM p""",
+)
+def _signal_arguments(spark, sf_dir):
+    value = F.concat("n_name", F.lit(", ,\tR"), F.col("n_regionkey").cast("string"), F.lit(" , "), "n_name", F.lit(","))
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    return signal_list(nation.select(F.col("n_nationkey").alias("line_no"), line.alias("value"))).select("line_no", "name")
+    return flat_names(nation.select(F.col("n_nationkey").alias("line_no"), value.alias("value")))
+
+
+@query(
+    "header_parse",
+    """WITH n AS (SELECT n_nationkey, replace(n_name, ' ', '_') AS n, replace(r_name, ' ', '_') AS r FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT row_number() OVER (ORDER BY r, n_nationkey) - 1 AS ord, 'tb.' || r || '.' || n || CASE WHEN n_nationkey % 3 = 0 THEN '[' || n_nationkey || ':0]' ELSE '' END AS name,
+  'n' || n_nationkey AS id_code, CAST(n_nationkey + 1 AS INTEGER) AS size, 'wire' AS var_type, ['tb', r] AS scope FROM n""",
+)
+def _header_parse(spark, sf_dir):
+    nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
+    both = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).orderBy("r_name", "n_nationkey")
+    out, inside = ["$date today $end\n$scope module tb $end"], None
+    for r in both.select("n_nationkey", "n_name", "r_name").collect():  # 25 nations, whatever the scale
+        if r["r_name"] != inside:
+            out += ["$upscope $end"] * (inside is not None) + [f"$scope module {r['r_name'].replace(' ', '_')} $end"]
+            inside = r["r_name"]
+        k = r["n_nationkey"]
+        out.append(f"  $var wire {k + 1} n{k} {r['n_name'].replace(' ', '_')}{f' [{k}:0]' if k % 3 == 0 else ''} $end")
+    signals, _ = parse_header("\n".join([*out, "$upscope $end\n$upscope $end\n$enddefinitions $end\n"]))
+    return spark.createDataFrame(signals, SIGNALS)
 
 
 IDENT = """CASE n_nationkey % 5 WHEN 0 THEN '0' || n WHEN 1 THEN n || '[' || n_nationkey || ']' WHEN 2 THEN n || '.b' WHEN 3 THEN n || '_$1' ELSE '\\' || n || '-' END"""
@@ -413,8 +458,101 @@ def _sanitize_scope(spark, sf_dir):
     f"{BASE} SELECT id_code, row_number() OVER (PARTITION BY id_code ORDER BY seq) AS pos, time, kind, disp AS value FROM ev",
 )
 def _vcd_roundtrip(spark, sf_dir):
-    path = local_scratch(spark, f"roundtrip-{uuid.uuid4().hex}.vcd")
-    write_vcd(event_recording(spark, sf_dir), path)
-    back = read_vcd(spark, path, chunk_bytes=1 << 16).changes.where("kind <> 'time'")
+    return again(spark, event_recording(spark, sf_dir), chunk_bytes=1 << 16)
+
+
+def again(spark: SparkSession, rec: Recording, **options) -> DataFrame:
+    """The changes of a recording that was written to a file and read back."""
+    path = scratch(spark, "roundtrip")
+    write_vcd(rec, path, note="a part\n#0 1! b0")
+    back = read_vcd(spark, path, **options).changes.where("kind <> 'time'")
     pos = F.row_number().over(W.partitionBy("id_code").orderBy("seq")).cast("long").alias("pos")
     return back.select("id_code", pos, "time", "kind", F.col("disp").alias("value"))
+
+
+@query(
+    "vcd_kinds",
+    """WITH k AS (SELECT event_id AS seq, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS time, user_id % 5 AS c, CAST(floor(value * 100) AS BIGINT) AS n, event_type FROM events)
+SELECT 'k' || c AS id_code, row_number() OVER (PARTITION BY c ORDER BY seq) AS pos, time, CASE c WHEN 1 THEN 'int' WHEN 3 THEN 'real' ELSE 'text' END AS kind,
+  CASE c WHEN 0 THEN substr('01xz', CAST(n % 4 AS INTEGER) + 1, 1) WHEN 1 THEN CAST(n AS VARCHAR) WHEN 2 THEN bin(n) || 'x' WHEN 3 THEN n || '.25' ELSE 'S_' || event_type || '#1' END AS value FROM k""",
+)
+def _vcd_kinds(spark, sf_dir):
+    return again(spark, event_kinds(spark, sf_dir), chunk_bytes=1 << 14)
+
+
+@query(
+    "raw_tokens",
+    """SELECT CAST(n_nationkey AS BIGINT) AS time, 'n' || n_regionkey AS id_code, 'int' AS kind, CAST(n_nationkey * 7 AS VARCHAR) AS value, lower(to_hex(n_nationkey * 7)) AS hex FROM nation""",
+)
+def _raw_tokens(spark, sf_dir):
+    key = F.col("n_nationkey").cast("long")
+    value = (key * 7).cast("string")
+    changes = spark.read.parquet(f"{sf_dir}/nation.parquet").select(
+        key.alias("seq"), key.alias("time"), F.concat(F.lit("n"), F.col("n_regionkey").cast("string")).alias("id_code"), F.lit("int").alias("kind"),
+        value.alias("disp"), value.alias("norm"), F.lower(F.hex(key * 7)).alias("hex"), F.lit(None).cast("long").alias("bits64"),
+    )
+    signals = spark.createDataFrame([(i, f"r{i}", f"n{i}", 8, "reg", []) for i in range(5)], SIGNALS)
+    path = scratch(spark, "raw")
+    write_vcd(recording(signals, changes), path)
+    rows = [(t[1], t[2], t[3], t[4], t[6]) for t in raw_tokens(path) if t[3] != "time"]
+    return spark.createDataFrame(rows, "time long, id_code string, kind string, value string, hex string")
+
+
+@query("compare_signals_only", f"{ALL_DIFF} SELECT * FROM mm WHERE signal IN ('tb.u1', 'tb.alias.u2')")
+def _compare_signals_only(spark, sf_dir):
+    return C.compare(*sides(spark, sf_dir), signals_only=["tb.alias.u2", "not.there", "tb.u1", "tb.u7"]).mismatches
+
+
+@query(
+    "compare_json",
+    f"""{ALL_DIFF}, per AS (SELECT signal, count(*) AS n FROM mm GROUP BY signal)
+SELECT json_object('common_signal_count', {COMMON}, 'total_mismatches', (SELECT count(*) FROM mm), 'signals_with_mismatches', (SELECT count(*) FROM per),
+  'passed', (SELECT count(*) = 0 FROM mm), 'mismatches_by_signal', (SELECT map_from_entries(list((signal, n) ORDER BY signal)) FROM per),
+  'signals_only_in_file1', {ONLY.format('sig', 'other')}, 'signals_only_in_file2', {ONLY.format('other', 'sig')})::VARCHAR AS json""",
+)
+def _compare_json(spark, sf_dir):
+    return C.summary_json(C.compare(*sides(spark, sf_dir)))
+
+
+@query(
+    "compare_reports",
+    f"""{ALL_DIFF}, t AS (SELECT {COMMON} AS n, count(DISTINCT signal) AS bad, count(*) AS total FROM mm)
+SELECT 'compact' AS form, '❌ FAIL: ' || bad || '/' || n || ' signals have mismatches (' || total || ' total)' || chr(10) AS text FROM t
+UNION ALL SELECT 'summary', '❌ FAIL - ' || bad || '/' || n || ' signals have mismatches (' || total || ' total mismatches)' FROM t
+UNION ALL SELECT 'same', '✅ PASS - All ' || count(*) || ' common signals match' FROM sig""",
+)
+def _compare_reports(spark, sf_dir):
+    def result(a: Recording, b: Recording) -> dict:
+        (row,) = C.compare(a, b).summary.collect()
+        return row.asDict() | {"common_signals": range(row["common_signal_count"])}
+
+    first, second = sides(spark, sf_dir)
+    differ, same = result(first, second), result(first, first)
+    rows = [("compact", R.compare_compact(differ)), ("summary", R.compare_summary(differ)), ("same", R.compare_summary(same))]
+    return spark.createDataFrame(rows, "form string, text string")
+
+
+@query(
+    "text_tables",
+    """WITH r AS (SELECT CAST(r_regionkey AS VARCHAR) AS k, r_name AS n FROM region), w AS (SELECT greatest(3, max(length(k))) AS a, greatest(4, max(length(n))) AS b FROM r)
+SELECT 'pretty' AS form, (SELECT rpad('Key', CAST(a AS INTEGER), ' ') || ' | ' || rpad('Name', CAST(b AS INTEGER), ' ') || chr(10) || repeat('-', a) || '-+-' || repeat('-', b) || chr(10) FROM w)
+  || (SELECT string_agg(rpad(k, CAST(a AS INTEGER), ' ') || ' | ' || rpad(n, CAST(b AS INTEGER), ' ') || chr(10), '' ORDER BY k) FROM r, w) AS text
+UNION ALL SELECT 'tsv', 'Key' || chr(9) || 'Name' || chr(10) || (SELECT string_agg(k || chr(9) || n || chr(10), '' ORDER BY k) FROM r)""",
+)
+def _text_tables(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/region.parquet").orderBy("r_regionkey").select("r_regionkey", "r_name").collect()]
+    forms = [(name, form(["Key", "Name"], rows)) for name, form in (("pretty", R.table), ("tsv", R.tsv))]
+    return spark.createDataFrame(forms, "form string, text string")
+
+
+@query("trace_overrides", ORACLES["trace_lines"])
+def _trace_overrides(spark, sf_dir):
+    """The trace of a recording whose signals are named by an override file."""
+    roles = event_roles(spark, sf_dir)
+    named = {r: f"core.{r}" for r in DEFAULT_PATHS if r not in ("pc", "rd_addr")}
+    path = scratch(spark, "paths")
+    spark.createDataFrame([(json.dumps(named | {"pc": None, "unheard": "of"}),)], "value string").coalesce(1).write.text(path)
+    paths = load_paths(json.loads("".join(r["value"] for r in spark.read.text(path).collect())))
+    signals = spark.createDataFrame([(i, s, r, 32, "wire", []) for i, (r, s) in enumerate(paths.items())], SIGNALS)
+    changes = roles.select("seq", "time", F.col("role").alias("id_code"), "kind", "disp", F.lower("disp").alias("norm"), "hex", F.lit(None).cast("long").alias("bits64"))
+    return trace(recording(signals, changes), paths)

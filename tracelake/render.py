@@ -23,16 +23,18 @@ def table(headers: Sequence[str], rows: Sequence[Sequence]) -> str:
     return "\n".join(lines) + "\n"
 
 
-def counts_by_signal(result: dict) -> dict[str, int]:
-    out: dict[str, int] = {}
+def by_signal(result: dict) -> dict[str, list[dict]]:
+    """Mismatches of each signal, in one pass."""
+    out: dict[str, list[dict]] = {}
     for m in result["mismatches"]:
-        out[m["signal"]] = out.get(m["signal"], 0) + 1
+        out.setdefault(m["signal"], []).append(m)
     return out
 
 
 def compare_json(result: dict) -> str:
     kept = {k: v for k, v in result.items() if k not in ("mismatches", "common_signals")}
-    kept |= {"common_signal_count": len(result["common_signals"]), "mismatches_by_signal": counts_by_signal(result)}
+    counts = {s: len(own) for s, own in by_signal(result).items()}
+    kept |= {"common_signal_count": len(result["common_signals"]), "mismatches_by_signal": counts}
     return json.dumps(kept, indent=2) + "\n"
 
 
@@ -44,33 +46,43 @@ def compare_compact(result: dict) -> str:
     return f"❌ FAIL: {bad}/{n} signals have mismatches ({total} total)\n"
 
 
+def compare_summary(result: dict) -> str:
+    """The verdict in a sentence."""
+    n = len(result["common_signals"])
+    if result["passed"]:
+        return f"✅ PASS - All {n} common signals match"
+    return f"❌ FAIL - {result['signals_with_mismatches']}/{n} signals have mismatches ({result['total_mismatches']} total mismatches)"
+
+
+def section(title: str, *lines: str) -> str:
+    return "\n".join([RULE, title, RULE, "", *lines]) + "\n"
+
+
+def listed(result: dict, key: str, side: str) -> str:
+    names = result[key]
+    return "\n".join([f"Signals only in {side}:", *(f"  - {s}" for s in names), "", ""]) if names else ""
+
+
+def signal_part(signal: str, own: list[dict]) -> str:
+    shown = [
+        f"  Time #{m['time']}: Ref='{m['value1']}' | Actual='{m['value2']}' {'(one or both unknown)' if m['is_unknown'] else '❌ MISMATCH'}"
+        for m in own[:SHOWN]
+    ]
+    more = [f"  ... and {len(own) - SHOWN} more"] if len(own) > SHOWN else []
+    return "\n".join([f"Signal: {signal}", *shown, *more, f"  ❌ {len(own)} mismatches", "", ""])
+
+
 def compare_report(result: dict) -> str:
-    n, bad = len(result["common_signals"]), result["signals_with_mismatches"]
-    out = [RULE, "VCD Comparison Results", RULE, "", f"Reference: {result['file1']}", f"Actual:    {result['file2']}", ""]
-    for key, title in (("signals_only_in_file1", "reference"), ("signals_only_in_file2", "actual")):
-        if result[key]:
-            out += [f"Signals only in {title}:", *[f"  - {s}" for s in result[key]], ""]
-    out += [f"Common signals: {n}", ""]
+    n, found = len(result["common_signals"]), by_signal(result)
+    head = section("VCD Comparison Results", f"Reference: {result['file1']}", f"Actual:    {result['file2']}", "")
+    head += listed(result, "signals_only_in_file1", "reference") + listed(result, "signals_only_in_file2", "actual")
+    head += f"Common signals: {n}\n\n"
     if not n:
-        return "\n".join([*out, "⚠️  No common signals to compare!", ""])
-    out += [RULE, "Signal Value Comparison", RULE, ""]
-    if result["passed"]:
-        out += [f"All common signals match ({n} total).", ""]
-    else:
-        counts = counts_by_signal(result)
-        for signal in sorted(counts):
-            own = [m for m in result["mismatches"] if m["signal"] == signal]
-            out.append(f"Signal: {signal}")
-            for m in own[:SHOWN]:
-                status = "(one or both unknown)" if m["is_unknown"] else "❌ MISMATCH"
-                out.append(f"  Time #{m['time']}: Ref='{m['value1']}' | Actual='{m['value2']}' {status}")
-            if len(own) > SHOWN:
-                out.append(f"  ... and {len(own) - SHOWN} more")
-            out += [f"  ❌ {len(own)} mismatches", ""]
-        out += [f"Matched signals: {n - bad} / {n}", ""]
-    out += [RULE, "Summary", RULE, ""]
-    if result["passed"]:
-        out += ["✅ SUCCESS: All signal values match!", "", "The two VCD files are equivalent."]
-    else:
-        out += ["❌ FAILURES FOUND", "", f"Total mismatches: {result['total_mismatches']}", f"Signals with mismatches: {bad} / {n}"]
-    return "\n".join([*out, "", ""])
+        return head + "⚠️  No common signals to compare!\n"
+    if not found:
+        verdict = ("✅ SUCCESS: All signal values match!", "", "The two VCD files are equivalent.")
+        return head + section("Signal Value Comparison", f"All common signals match ({n} total).", "") + section("Summary", *verdict, "")
+    values = section("Signal Value Comparison") + "".join(signal_part(s, found[s]) for s in sorted(found))
+    values += f"Matched signals: {n - len(found)} / {n}\n\n"
+    totals = (f"Total mismatches: {result['total_mismatches']}", f"Signals with mismatches: {len(found)} / {n}")
+    return head + values + section("Summary", "❌ FAILURES FOUND", "", *totals, "")

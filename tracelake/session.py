@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def active() -> SparkSession:
@@ -33,19 +35,48 @@ def share_code(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share. Only
-    where the cluster names none, as in tests, a temporary one is set."""
+    """The folder of spark.checkpoint.dir, which all executors share. Where
+    none is named, a local session takes a temporary one; on a cluster that is
+    an error, since each executor would write to its own disk."""
     found = spark.sparkContext.getCheckpointDir()
     if found is None:
-        named = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="tracelake-")
-        spark.sparkContext.setCheckpointDir(named)
+        named = spark.conf.get("spark.checkpoint.dir", "")
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracelake-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
 
 
-def local_scratch(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that open() reaches."""
-    folder = shared_dir(spark)
-    folder = folder.removeprefix("file://").removeprefix("file:")
-    os.makedirs(folder, exist_ok=True)
-    return os.path.join(folder, name)
+_scratch: list[tuple[SparkSession, str]] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _clear() -> None:
+    for spark, path in _scratch:
+        try:
+            delete(spark, path)
+        except Exception:  # noqa: BLE001 - the session is gone already
+            pass
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; what is there goes when the
+    driver ends."""
+    if not _scratch:
+        atexit.register(_clear)
+    path = f"{shared_dir(spark)}/tracelake-{name}-{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows from files in the shared folder, so that what follows may
+    read them several times while the source is read once."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.model import Recording
+from tracelake.model import SIGNALS, Recording
 
 
 def value_columns(number: Column, unknown: Column) -> list[Column]:
@@ -48,6 +48,34 @@ def event_recording(spark: SparkSession, sf_dir: str, tick_us: int = 3_600_000_0
     return Recording(event_signals(spark, users), changes, (1, "s"))
 
 
+def event_kinds(spark: SparkSession, sf_dir: str) -> Recording:
+    """``events`` as five signals, by user: a scalar (0, 1, x or z), an integer
+    vector, a vector with an unknown digit, a real, and a string."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    user, n = F.col("user_id") % 5, F.floor(F.col("value") * 100).cast("long")
+    text = n.cast("string")
+    disp = (
+        F.when(user == 0, F.substring(F.lit("01xz"), (n % 4 + 1).cast("int"), F.lit(1)))
+        .when(user == 1, text)
+        .when(user == 2, F.concat(F.bin(n), F.lit("x")))
+        .when(user == 3, F.concat(text, F.lit(".25")))
+        .otherwise(F.concat(F.lit("S_"), "event_type", F.lit("#1")))
+    )
+    changes = ev.select(
+        F.col("event_id").alias("seq"),
+        F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3_600_000_000)).cast("long").alias("time"),
+        F.concat(F.lit("k"), user.cast("string")).alias("id_code"),
+        F.when(user == 1, "int").when(user == 3, "real").otherwise("text").alias("kind"),
+        disp.alias("disp"),
+        F.lower(disp).alias("norm"),
+        F.when(user == 1, F.lower(F.hex(n))).alias("hex"),
+        F.lit(None).cast("long").alias("bits64"),
+    )
+    kinds = [("wire", 1), ("reg", 32), ("reg", 33), ("real", 64), ("string", 1)]
+    signals = spark.createDataFrame([(i, f"tb.k{i}", f"k{i}", size, kind, ["tb"]) for i, (kind, size) in enumerate(kinds)], SIGNALS)
+    return Recording(signals, changes, (1, "s"))
+
+
 def perturbed(rec: Recording) -> Recording:
     """A second recording to compare with: some changes lost, some z, one name
     lost and one added."""

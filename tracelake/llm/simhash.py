@@ -36,7 +36,7 @@ from tracelake.llm.shared import written
 #: Chance that two random two-bit segments have equal counts.
 EQUAL = 0.375
 #: Comparisons that a copy of a fingerprint costs, for the choice of b.
-COPY = 64
+COPY = 32
 #: Rows of a cell from which it is cut into chunks.
 CAP = 4096
 #: Groups up to this size are compared offset by offset, larger ones by row.

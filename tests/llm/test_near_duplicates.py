@@ -147,8 +147,8 @@ def test_embedding_query_equals_its_sql(spark):
     same(QUERIES["op10_embedding_near_dedup"](spark, SF), ORACLES["op10_embedding_near_dedup"], SF)
 
 
-@pytest.mark.parametrize("cap", [1024, 16])
-def test_embedding_links(spark, cap):
+@pytest.mark.parametrize(("cap", "sketches", "large"), [(1024, 2048, 1 << 16), (16, 13, 40), (16, 2048, 2)])
+def test_embedding_links(spark, cap, sketches, large):
     rng = np.random.default_rng(cap)
     base = rng.standard_normal((30, 24))
     rows = [base[i % 30] + rng.standard_normal(24) * rng.choice([0.0, 0.05, 0.2, 0.3]) for i in range(260)]
@@ -158,7 +158,7 @@ def test_embedding_links(spark, cap):
     vectors += [(300, None, ""), (301, [0.0] * 24, ""), (302, [float("nan")] * 24, ""), (303, [None] * 24, ""), (304, [], ""), (305, [1.0, 2.0], "")]
     vectors += [(306, [1e-200, 2e-200], ""), (307, [1e200, 2e200], ""), (None, [1.0, 2.0], "")]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, n string")
-    out = embedding_dedup.near_duplicates(df, cap=cap).collect()
+    out = embedding_dedup.near_duplicates(df, cap=cap, sketches_cap=sketches, large=large).collect()
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in out}
     classes = union(260, [(int(a), int(b)) for a, b in zip(*np.nonzero(hit), strict=True)])
     want = {i: (int(hit[i].sum()) - 1, c, i == c) for i, c in enumerate(classes)}
@@ -167,3 +167,26 @@ def test_embedding_links(spark, cap):
     assert len(out) == len(vectors)
     assert got == want
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_string_ids_and_copies_of_vectors(spark):
+    rows = [("b", [1.0, 0.0]), ("a", [1.0, 0.1]), ("c", [1.0, 0.0]), ("d", [0.0, 1.0]), ("d", [0.0, 1.0]), (None, [1.0, 0.0]), ("e", None)]
+    out = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id string, embedding array<float>")).collect()
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in out), key=str)
+    assert got == sorted([("a", 2, "a", True), ("b", 2, "a", False), ("c", 2, "a", False), ("d", 1, "d", True), ("d", 1, "d", True), (None, 0, None, False), ("e", 0, "e", True)], key=str)
+
+
+@pytest.mark.parametrize("n", [10_000, 1_000_000])
+def test_pairs_at_the_threshold_share_a_bucket_and_a_sketch(n):
+    """2,000 pairs at a cosine of exactly 0.9, under the plan for n vectors."""
+    rng = np.random.default_rng(1)
+    a = rng.standard_normal((2_000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    c = rng.standard_normal((2_000, 64))
+    c -= (c * a).sum(axis=1, keepdims=True) * a
+    b = 0.9 * a + np.sqrt(1 - 0.81) * c / np.linalg.norm(c, axis=1, keepdims=True)
+    chosen = (*embedding_dedup.plan(n, 0.9, 1e-4), 7)
+    shared = (embedding_dedup.buckets(a, *chosen) == embedding_dedup.buckets(b, *chosen)).any(axis=1)
+    differ = np.bitwise_count(embedding_dedup.sketches(a, 7) ^ embedding_dedup.sketches(b, 7)).sum(axis=1)
+    assert (shared & (differ <= embedding_dedup.most_different(0.9))).sum() >= 1_998
+    assert (np.bitwise_count(embedding_dedup.sketches(a[1:], 7) ^ embedding_dedup.sketches(b[:-1], 7)).sum(axis=1) <= embedding_dedup.most_different(0.9)).sum() <= 2

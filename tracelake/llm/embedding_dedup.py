@@ -1,18 +1,23 @@
 """Near-duplicate vectors by p-stable hashing.
 
 Directions are hashed by floor((a.x + b) / w) with Gaussian a, ``k`` such
-values naming a bucket in each of ``tables`` tables. Vectors that share a
-bucket are compared exactly, in double precision. k grows with the number of
-vectors, so that unrelated vectors in a bucket stay few, and the number of
+values naming a bucket in each of ``tables`` tables. k is chosen for the least
+work, copies in tables against unrelated vectors in buckets, and the number of
 tables follows from k and the chance ``miss`` at which a pair exactly at the
 threshold may be overlooked (closer pairs are far safer).
+
+Tables hold a vector's number and a sketch of signs, 16 bytes, not the vector.
+Pairs of a bucket whose sketches differ in too many bits go; the others join
+vectors to groups of candidates. Vectors are sent once, to their group, and
+compared there exactly, in double precision. Groups too large for that are
+compared bucket by bucket.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from math import ceil, erf, exp, log, pi, sqrt
+from math import acos, ceil, comb, erf, exp, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +31,14 @@ from tracelake.session import share_code
 
 #: Width of a hash step, in units of the distance at the threshold.
 WIDTH = 6.0
-#: Unrelated vectors that a bucket holds on average, for the choice of k.
-BUCKET = 512
-CAP = 1024
+#: Comparisons of sketches that a row in a table costs, for the choice of k.
+COPY = 1_000
+#: Vectors, and sketches, of a group that are compared at a time.
+CAP, SKETCHES = 1024, 2048
+#: Vectors of a group of candidates from which it is compared by buckets.
+LARGE = 1 << 16
+#: Bits of a sketch, and the chance at which it hides a pair at the threshold.
+BITS, HIDDEN = 128, 1e-5
 
 
 def agree(distance: float, width: float) -> float:
@@ -43,8 +53,23 @@ def plan(n: int, threshold: float, miss: float) -> tuple[int, int, float]:
     edge = sqrt(2 - 2 * threshold)
     width = WIDTH * edge
     near, far = agree(edge, width), agree(sqrt(2), width)
-    k = max(2, ceil(log(max(n, 2) / BUCKET) / -log(far)))
-    return k, max(1, ceil(log(miss) / log(1 - near**k))), width
+
+    def tables(k: int) -> int:
+        return max(1, ceil(log(miss) / log(1 - near**k)))
+
+    k = min(range(2, 65), key=lambda k: tables(k) * (COPY + n * far**k))
+    return k, tables(k), width
+
+
+def most_different(threshold: float) -> int:
+    """Bits in which sketches of a pair at the threshold may differ."""
+    p = acos(max(-1.0, min(1.0, threshold))) / pi
+    chance = 1.0
+    for bits in range(BITS + 1):
+        chance -= comb(BITS, bits) * p**bits * (1 - p) ** (BITS - bits)
+        if chance <= HIDDEN:
+            return bits
+    return BITS
 
 
 @lru_cache(maxsize=8)
@@ -72,25 +97,87 @@ def directions(vectors: pa.Array, dim: int) -> np.ndarray:
     return matrix / np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
 
 
-def _hash(batches: Iterable[pa.RecordBatch], k: int, tables: int, width: float, seed: int) -> Iterator[pa.RecordBatch]:
+def sketches(unit: np.ndarray, seed: int) -> np.ndarray:
+    """Signs of random projections, as two words a row."""
+    signs = np.random.default_rng([seed, unit.shape[1], BITS]).standard_normal((unit.shape[1], BITS))
+    return np.packbits(unit @ signs >= 0, axis=1).view(np.uint64)
+
+
+def by_dimension(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
+    """Some rows of one dimension at a time, with their directions."""
     for batch in batches:
         sizes = np.asarray(batch.column("v").value_lengths())
-        for dim in np.unique(sizes):
+        for dim in np.unique(sizes).tolist():
             rows = np.flatnonzero(sizes == dim)
             for at in range(0, len(rows), 256):
                 part = batch.take(pa.array(rows[at : at + 256]))
-                found = buckets(directions(part.column("v"), int(dim)), k, tables, width, seed)
-                n = part.num_rows
-                every = np.repeat(np.arange(n), tables)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.tile(np.arange(tables, dtype=np.int32), n)),
-                        pa.array(found.reshape(-1).astype(np.int64)),
-                        pa.array(np.full(n * tables, dim, np.int32)),
-                        *[part.column(c).take(pa.array(every)) for c in ("node", "n", "v")],
-                    ],
-                    names=["t", "bucket", "dim", "node", "n", "v"],
-                )
+                yield dim, part, directions(part.column("v"), dim)
+
+
+def _sketch(batches: Iterable[pa.RecordBatch], plan: tuple) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, node, x, y): bucket names table and bucket, x and y are
+    the sketch."""
+    tables, seed = plan[1], plan[3]
+    table = np.arange(tables, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for _, part, unit in by_dimension(batches):
+        key = (buckets(unit, *plan).astype(np.uint64) << np.uint64(31)) * np.uint64(0xD1B54A32D192ED03) ^ table
+        words = np.repeat(sketches(unit, seed).view(np.int64), tables, axis=0)
+        nodes = np.repeat(part.column("node").to_numpy(), tables)
+        arrays = [pa.array(x) for x in (key.reshape(-1).view(np.int64), nodes, words[:, 0].copy(), words[:, 1].copy())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "node", "x", "y"])
+
+
+def spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least row that each of n rows is connected to by pairs (a, b)."""
+    least = np.arange(n)
+    while True:
+        low = np.minimum(least[a], least[b])
+        new = least.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == least).all():
+            return least
+        least = new
+
+
+def _candidates(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Links that connect rows of a bucket whose sketches are near."""
+    for table, group in whole_groups(batches, ["bucket", "_i", "_j"]):
+        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        node, side = table.column("node").to_numpy(), table.column("_s").to_numpy()
+        crossing = table.column("_i").to_numpy() != table.column("_j").to_numpy()
+        x, y = (table.column(c).to_numpy().view(np.uint64) for c in "xy")
+        left, right = [], []
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(group)], strict=True):
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for at in range(s, e - 1, 256):
+                own = slice(at, min(at + 256, e))
+                differ = np.bitwise_count(x[own, None] ^ x[None, at:e]) + np.bitwise_count(y[own, None] ^ y[None, at:e])
+                hit = differ <= most
+                if crossing[s]:
+                    hit &= side[own, None] != side[None, at:e]
+                a, b = np.nonzero(hit)
+                found.append((a[a < b] + at - s, b[a < b] + at - s))
+            if any(len(a) for a, _ in found):
+                least = spanning(*(np.concatenate(z) for z in zip(*found, strict=True)), e - s)
+                own = np.flatnonzero(least != np.arange(e - s))
+                left.append(node[s + least[own]])
+                right.append(node[s + own])
+        if left:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+
+
+def _hash(batches: Iterable[pa.RecordBatch], plan: tuple) -> Iterator[pa.RecordBatch]:
+    """Rows of large groups once for each table."""
+    tables = plan[1]
+    for dim, part, unit in by_dimension(batches):
+        n = part.num_rows
+        every = pa.array(np.repeat(np.arange(n), tables))
+        arrays = [pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(buckets(unit, *plan).reshape(-1).astype(np.int64))]
+        arrays += [pa.array(np.full(n * tables, dim, np.int32)), *[part.column(c).take(every) for c in ("node", "n", "v")]]
+        yield pa.RecordBatch.from_arrays(arrays, names=["t", "bucket", "dim", "node", "n", "v"])
 
 
 def first_common(unit: np.ndarray, a: np.ndarray, b: np.ndarray, t: int, plan: tuple) -> np.ndarray:
@@ -107,7 +194,8 @@ def first_common(unit: np.ndarray, a: np.ndarray, b: np.ndarray, t: int, plan: t
 
 def _verify(batches: Iterable[pa.RecordBatch], threshold: float, plan: tuple) -> Iterator[pa.RecordBatch]:
     """Per group: how many vectors each node links with, and links that span
-    the group's components. A pair counts in its first common table only."""
+    the group's components. Rows with a table t hold buckets: a pair counts in
+    its first common one only."""
     for table, group in whole_groups(batches, ["t", "bucket", "dim", "_i", "_j"]):
         starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         node, weight = table.column("node").to_numpy(), table.column("n").to_numpy()
@@ -127,7 +215,7 @@ def _verify(batches: Iterable[pa.RecordBatch], threshold: float, plan: tuple) ->
             a, b = np.nonzero(np.triu(hit, 1))
             if not len(a):
                 continue
-            if t[s]:
+            if t[s] > 0:
                 new = first_common(unit, a, b, int(t[s]), plan)
                 a, b = a[new], b[new]
             total = np.bincount(a, weight[s + b], e - s) + np.bincount(b, weight[s + a], e - s)
@@ -152,50 +240,63 @@ def near_duplicates(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     cap: int = CAP,
+    sketches_cap: int = SKETCHES,
+    large: int = LARGE,
 ) -> DataFrame:
     """Rows (id, n_links, component_id, kept), one per row of ``vectors``.
 
-    Every link found has a cosine of at least ``threshold``. Equal vectors are
-    one node, weighted by their number. Vectors that are null, zero, or hold
-    nulls or non-finite components link with nothing and are kept; vectors of
-    different lengths never link; a null id links nothing, has a null
-    component and isn't kept. Repeated rows count as vectors each. Other
-    columns aren't read.
+    Every link found has a cosine of at least ``threshold``. Equal vectors (by
+    128 bits of hashes) are one node, weighted by their number. Vectors that
+    are null, zero, or hold nulls or non-finite components link with nothing
+    and are kept; vectors of different lengths never link; a null id links
+    nothing, has a null component and isn't kept. Repeated rows count as
+    vectors each. Ids may be of any type that has an order. Other columns
+    aren't read.
     """
     spark = vectors.sparkSession
     share_code(spark)
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast(kind).alias("v"))
     big = F.lit(float("inf"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < big)) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("ok", F.coalesce(finite & F.col("id").isNotNull(), F.lit(False)))
-    rows = rows.withColumn("v", F.when(F.col("ok"), F.col("v"))).withColumn("h", F.xxhash64("v"))
+    rows = rows.withColumn("v", F.when(F.col("ok"), F.col("v"))).withColumns({"h": F.xxhash64("v"), "i": F.xxhash64(F.lit(seed), "v", F.lit(1))})
     rows = written(rows, "vectors")
-    classes = rows.where("ok").groupBy("h", "v").agg(F.min("id").cast("long").alias("node"), F.count("*").alias("n"))
-    classes = written(classes, "classes")
-    k, tables, width = plan(classes.count(), threshold, miss)
+    classes = rows.where("ok").groupBy("h", "i").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("v").alias("v"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    chosen = (*plan(classes.count(), threshold, miss), seed)
+    most = most_different(threshold)
+
+    def sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _sketch(batches, chosen)
+
+    def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _candidates(batches, most)
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _hash(batches, k, tables, width, seed)
+        return _hash(batches, chosen)
 
     def verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _verify(batches, threshold, (k, tables, width, seed))
+        return _verify(batches, threshold, chosen)
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    schema = "t int, bucket long, dim int, node long, n long, v array<float>"
-    exact = classes.select(F.col("v").cast("array<float>").alias("f"), "v")
-    if not exact.where("f <> v").isEmpty():  # stored as doubles: carried as such
-        schema = schema.replace("array<float>", "array<double>")
-    sent = classes.select("node", "n", F.col("v").cast("array<double>" if "array<double>" in schema else "array<float>").alias("v"))
-    cells = grouped(sent.mapInArrow(hashed, schema), ["t", "bucket", "dim"], "node", cap)
+    sent = classes.select("node", "v").mapInArrow(sketched, "bucket long, node long, x long, y long")
+    links = grouped(sent, ["bucket"], "node", sketches_cap).mapInArrow(near, "a long, b long")
+    groups = written(components(links).select("node", F.col("component").alias("g")), "groups")
+    sizes = groups.groupBy("g").agg(F.count("*").alias("_size")).where(F.col("_size") > large)
+    members = classes.select("node", "n", "v").join(groups, "node").join(written(sizes, "sizes"), "g", "left")
+    small = members.where("_size is null").select(F.lit(-1).alias("t"), F.col("g").alias("bucket"), F.size("v").alias("dim"), "node", "n", "v")
+    spread_out = members.where("_size is not null").select("node", "n", "v").mapInArrow(hashed, f"t int, bucket long, dim int, node long, n long, v {kind}")
+    cells = grouped(small.unionByName(spread_out), ["t", "bucket", "dim"], "node", cap)
     found = written(cells.mapInArrow(verified, "a long, b long, links long"), "found")
     counted = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     joined = components(found.where("b is not null").select("a", "b"))
-    info = (
-        classes.join(counted, "node", "left")
-        .join(joined, "node", "left")
-        .select("h", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("c"))
-    )
-    good = rows.where("ok").join(info, ["h", "v"]).select("id", "n_links", F.col("c").alias("component_id"))
-    rest = rows.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").cast("long").alias("component_id"))
+    info = classes.select("h", "i", "node", "n", "least").join(counted, "node", "left").join(joined, "node", "left")
+    info = info.select("h", "i", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("component").alias("c"))
+    first = info.where("c is not null").groupBy("c").agg(F.min("least").alias("first"))
+    info = info.join(first, "c", "left").select("h", "i", "n_links", F.coalesce("first", "least").alias("component_id"))
+    good = rows.where("ok").join(info, ["h", "i"]).select("id", "n_links", "component_id")
+    rest = rows.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = good.unionByName(rest)
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

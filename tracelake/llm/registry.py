@@ -94,7 +94,9 @@ def counts(spark, sf_dir):
 
 @query("op8_chat_formatting")
 def chat_formatting(spark, sf_dir):
-    return chat.parse(table(spark, sf_dir, "conversations"))
+    """The roles of transcripts in several styles, without the role column."""
+    shown = chat.transcripts(table(spark, sf_dir, "conversations"))
+    return chat.parse(shown.drop("role"), chat.fit(shown))
 
 
 @query("op9_sentencepiece_dropout")

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -63,6 +64,65 @@ def test_round_trip(n):
     assert bytes(back) == payload and rate == audio.RATE
 
 
+def plain_features(samples):
+    """Log-mels, spans and segments by their definitions, a number at a time."""
+    x = [(b - 128) / 128 for b in samples]
+    half = audio.TAPS * 2
+    h = [np.sinc(n / 2) * np.i0(6.0 * math.sqrt(1 - (n / half) ** 2)) / np.i0(6.0) / 2 for n in range(-half, half + 1)]
+    y = [sum(h[2 * m - k + half] * x[k] for k in range(max(0, 2 * m - half), min(len(x), 2 * m + half + 1))) for m in range(-(-len(x) // 2))]
+    rate = audio.RATE // 2
+    count = 1 + max(0, math.ceil((len(y) - 256) / 128))
+
+    def mel(f):
+        return 2595 * math.log10(1 + f / 700)
+
+    edges = [700 * (10 ** (mel(rate / 2) * i / 25 / 2595) - 1) for i in range(26)]
+    waves = np.exp(-2j * np.pi * np.outer(np.arange(129), np.arange(256)) / 256)
+    mels, level = [], []
+    for f in range(count):
+        frame = [(y[f * 128 + i] if f * 128 + i < len(y) else 0) * (0.5 - 0.5 * math.cos(2 * math.pi * i / 256)) for i in range(256)]
+        power = [abs(v) ** 2 for v in waves @ np.array(frame)]
+        row = []
+        for b in range(24):
+            low, top, high = edges[b : b + 3]
+            share = [max(0, min((k * rate / 256 - low) / (top - low), (high - k * rate / 256) / (high - top))) for k in range(129)]
+            row.append(math.log(sum(s * p for s, p in zip(share, power, strict=True)) + 1e-6) * 64)
+        mels.append(row)
+        level.append(10 * math.log10(sum(power) / 129 + 1e-9))
+    middle, on, runs = sorted(level), False, []
+    middle = (middle[(count - 1) // 2] + middle[count // 2]) / 2
+    for f, v in enumerate([*level, -1e9]):
+        now = f < count and (v - middle >= audio.ON or (on and v - middle >= audio.OFF))
+        if now and not on:
+            runs.append([f, f])
+        if not now and on:
+            runs[-1][1] = f
+        on = now
+
+    def seconds(a, b):
+        return a * 128 / rate, min(((b - 1) * 128 + 256) / rate, len(y) / rate)
+
+    return mels, [seconds(a, min(a + 32, count)) for a in range(0, count, 32)], [seconds(a, b) for a, b in runs]
+
+
+def test_features_equal_a_plain_implementation(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 4000").orderBy("doc_id").limit(12)
+    rows = audio.media_columns(docs).collect()
+    assert len(rows) == 12
+    for r in rows:
+        samples, _ = audio.read_wav(r["media"])
+        mels, spans, runs = plain_features(samples)
+        held = audio.as_tensors(pa.array(r["tensors"], pa.list_(pa.int16()))).to_numpy_ndarray()
+        found = held.reshape(-1, audio.MELS)
+        assert len(held) == -(-len(mels) // 32) and not found[len(mels) :].any()
+        assert np.abs(found[: len(mels)] - np.array(mels)).max() <= 0.5 + 1e-6
+        assert np.allclose([tuple(s) for s in r["tensor_spans"]], spans) and np.allclose(np.reshape([tuple(s) for s in r["segments"]], (-1, 2)), np.reshape(runs, (-1, 2)))
+        crc = zlib.crc32(held.tobytes())
+        for x in (spans, runs):
+            crc = zlib.crc32(np.rint(np.reshape(x, (-1, 2)) * 1000).astype("<i4").tobytes(), crc)
+        assert r["feature"] == f"{len(held)}x32x24:{len(runs)}:{crc:08x}"
+
+
 def test_query(spark):
     rows = {r["doc_id"]: r for r in QUERIES["op3_audio_media"](spark, SF).collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()

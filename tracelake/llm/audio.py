@@ -160,16 +160,19 @@ def features(samples: memoryview, rate: int) -> tuple[np.ndarray, np.ndarray, np
     return tensor.reshape(n, *SHAPE), seconds(first, end), seconds(runs[:, 0], runs[:, 1]), level
 
 
-def digest(tensor: np.ndarray, spans: np.ndarray) -> str:
-    """Tensors, segments and a checksum of both, as text."""
-    crc = zlib.crc32(np.rint(spans * 1000).astype("<i4").tobytes(), zlib.crc32(tensor.astype("<i2").tobytes()))
-    return f"{len(tensor)}x{SHAPE[0]}x{MELS}:{len(spans)}:{crc:08x}"
+def digest(tensor: np.ndarray, spans: np.ndarray, runs: np.ndarray) -> str:
+    """The numbers of tensors and segments and a checksum of the tensors, their
+    spans and the segments' spans (in thousandths), as text."""
+    crc = zlib.crc32(tensor.astype("<i2").tobytes())
+    for x in (spans, runs):
+        crc = zlib.crc32(np.rint(x * 1000).astype("<i4").tobytes(), crc)
+    return f"{len(tensor)}x{SHAPE[0]}x{MELS}:{len(runs)}:{crc:08x}"
 
 
 SPAN = pa.struct([("start", pa.float64()), ("end", pa.float64())])
 TENSOR = pa.fixed_shape_tensor(pa.int16(), SHAPE)
-PLAIN = "id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-MEDIA = ", media binary, tensors array<array<smallint>>, tensor_spans array<struct<start:double,end:double>>, segments array<struct<start:double,end:double>>"
+PLAIN = "id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
+TENSORS = "tensors array<array<smallint>>, tensor_spans array<struct<start:double,end:double>>, segments array<struct<start:double,end:double>>"
 
 
 def span_list(parts: list[np.ndarray]) -> pa.Array:
@@ -178,12 +181,18 @@ def span_list(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), values)
 
 
-def tensor_list(parts: list[np.ndarray]) -> pa.Array:
-    """Lists of flattened tensors; SHAPE restores them (see ``as_tensors``)."""
-    size = SHAPE[0] * SHAPE[1]
+def fixed_shape(parts: list[np.ndarray]) -> pa.FixedShapeTensorArray:
+    """All tensors of a batch as one Arrow array of fixed shape."""
     flat = np.concatenate([p.reshape(-1) for p in parts]) if parts else np.zeros(0, np.int16)
-    inner = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, size), pa.int32()), pa.array(flat))
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), inner)
+    return pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(pa.array(flat), SHAPE[0] * SHAPE[1]))
+
+
+def stored_tensors(tensors: pa.FixedShapeTensorArray, ends: np.ndarray) -> pa.Array:
+    """Each row's tensors in the storage that Spark has a type for, lists of
+    flattened tensors; ``as_tensors`` restores the array."""
+    size = SHAPE[0] * SHAPE[1]
+    inner = pa.ListArray.from_arrays(pa.array(np.arange(0, len(tensors) * size + 1, size), pa.int32()), tensors.storage.flatten())
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner)
 
 
 def as_tensors(column: pa.Array | pa.ChunkedArray) -> pa.FixedShapeTensorArray:
@@ -198,25 +207,28 @@ def as_tensors(column: pa.Array | pa.ChunkedArray) -> pa.FixedShapeTensorArray:
 
 def _step(with_media: bool):
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, medias, tensors, spans, runs = [], [], [], [], []
+        rows, medias, parts, spans, runs = [], [], [], [], []
         for text in batch.column(1).to_pylist():
             payload, n = payload_of(text)
             media = write_wav(payload)
             samples, rate = read_wav(media)
             tensor, span, run, _ = features(samples, rate)
             back = bytes(samples)
-            rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), digest(tensor, run)))
-            if with_media:
-                medias.append(media)
-                tensors.append(tensor)
-                spans.append(span)
-                runs.append(run)
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest()))
+            medias.append(media if with_media else None)
+            parts.append(tensor)
+            spans.append(span)
+            runs.append(run)
+        tensors, ends = fixed_shape(parts), np.cumsum([0, *map(len, parts)])
+        held = tensors.to_numpy_ndarray()
+        marks = [digest(held[a:b], s, r) for a, b, s, r in zip(ends[:-1].tolist(), ends[1:].tolist(), spans, runs, strict=True)]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
         arrays = [batch.column(0), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]]
-        names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+        arrays += [pa.array(marks, pa.string()), stored_tensors(tensors, ends), span_list(spans), span_list(runs)]
+        names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tensors", "tensor_spans", "segments"]
         if with_media:
-            arrays += [pa.array(medias, pa.binary()), tensor_list(tensors), span_list(spans), span_list(runs)]
-            names += ["media", "tensors", "tensor_spans", "segments"]
+            arrays.append(pa.array(medias, pa.binary()))
+            names.append("media")
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
     return step
@@ -224,14 +236,16 @@ def _step(with_media: bool):
 
 def media_columns(docs: DataFrame, with_media: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256, feature[, media, tensors, tensor_spans,
-    segments]), one per row of ``docs``.
+    media_bytes, media_sha256, feature, tensors, tensor_spans, segments[,
+    media]), one per row of ``docs``.
 
-    Checksums are those of the samples read back. Each text's features are
+    Checksums are those of the samples read back; ``feature`` sums up the
+    tensors and spans of the same row. Spark has no type for tensors: what it
+    holds is the storage of the Arrow arrays. Each text's features are
     computed alone, so equal texts have equal values. A null text is empty:
     its payload is 64 zero bytes. Repeated rows and null ids are kept; other
     columns aren't read.
     """
     df = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = PLAIN.format(kind=df.schema["id"].dataType.simpleString()) + MEDIA * with_media
+    schema = PLAIN.format(kind=df.schema["id"].dataType.simpleString()) + TENSORS + ", media binary" * with_media
     return map_slices(df, "text", schema, partial(_step, with_media)).withColumnRenamed("id", id_col)

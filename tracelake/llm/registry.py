@@ -45,7 +45,7 @@ def best_fit_packing(spark, sf_dir):
 
 @query("op3_audio_media")
 def audio_media(spark, sf_dir):
-    return media_columns(table(spark, sf_dir, "documents"), with_media=False)
+    return media_columns(table(spark, sf_dir, "documents"))
 
 
 @query(

@@ -4,10 +4,11 @@ bounds.
 Documents become pieces of at most ``capacity`` tokens. Pieces are dealt to
 partitions, each packed by best-fit decreasing. Dual feasible functions give a
 lower bound of the bins that a set of lengths needs; a partition at its bound
-is certified. Then the emptiest sequences of several partitions are put
-together and packed again, a fraction of the partitions each round, until the
-whole is at the bound of all lengths or one partition is left. A repacking is
-taken only if it needs fewer sequences.
+is certified, and done. The others hand on all their sequences that have a gap;
+these are dealt to new partitions of the same size, mixed, and packed again.
+Rounds go on until the whole is at the bound of all lengths, every partition is
+certified, one is left, or a round saves next to nothing. A repacking is taken
+only if it needs fewer sequences.
 """
 
 from __future__ import annotations
@@ -32,10 +33,8 @@ WORD = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETT
 CACHE = 300_000
 #: Pieces dealt to a partition on average: large enough to fill its sequences.
 PIECES = 60_000
-#: Partitions whose emptiest sequences are packed together in a round.
-FAN = 8
-#: Sequences that a partition hands on at most; bounds a round's group.
-OFFER = 2_000
+#: A round that saves a smaller share of the sequences is the last.
+GAIN = 1e-4
 
 
 class Encoder:
@@ -164,21 +163,19 @@ ROUND = "part long, bin long, offset long, settled boolean, certified boolean"
 
 
 def _pack(frame: pd.DataFrame, capacity: int, last: bool) -> pd.DataFrame:
-    """Packs one group and marks what stays. The input's own bins stay if
-    packing anew doesn't save any."""
+    """Packs one group and marks what stays: everything if the group is at its
+    bound, else full sequences. The input's own bins stay if packing anew
+    doesn't save any."""
     frame = frame.sort_values(["id", "piece", "start", "ids_crc32"], kind="stable", ignore_index=True)
     lengths = frame["length"].to_numpy(np.int64)
     where, offset, left = best_fit(lengths, capacity)
     if "bin" in frame and (before := frame.groupby(["from", "bin"], sort=True).ngroup().to_numpy()).max() + 1 <= len(left):
         where, offset = before, frame["offset"].to_numpy(np.int64)
         left = capacity - np.bincount(where, lengths, minlength=where.max() + 1).astype(np.int64)
-    bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
-    offered = np.zeros(len(left), bool)
-    if not last:
-        ranked = np.argsort(-left, kind="stable")[:OFFER]
-        offered[ranked[left[ranked] > 0]] = True
+    certified = len(left) == lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
+    settled = np.full(len(left), last or certified) | (left == 0)
     out = frame.drop(columns=[c for c in ("bin", "offset", "from", "settled", "certified") if c in frame])
-    return out.assign(bin=where, offset=offset, settled=~offered[where], certified=len(left) == bound)
+    return out.assign(bin=where, offset=offset, settled=settled[where], certified=certified)
 
 
 def _packer(capacity: int, last: bool):
@@ -202,8 +199,8 @@ def pack(
     Each document's ids are closed by id 0. Null and empty texts are that id
     alone; repeated rows are packed each; no documents give no rows. Other
     columns aren't read. ``certified`` tells that the whole, or the group in
-    which a sequence was settled, is at its lower bound. Groups are bounded: by the
-    pieces dealt to a partition first, by what FAN partitions offer later.
+    which a sequence was settled, is at its lower bound. Groups are bounded in
+    every round: all that is handed on is dealt to as many as it fills.
     """
     cut = written(pieces(docs, tokenizer, capacity, id_col, text_col, with_ids), "pieces")
     kind = cut.schema["id"].dataType.simpleString()
@@ -218,21 +215,25 @@ def pack(
     ids = ["ids"] if with_ids else []
     base = f"id {kind}, piece int, start long, length long, ids_crc32 long, " + "ids binary, " * with_ids
     settled: list[DataFrame] = []
-    level = 0
+    level = done = 0
+    before: int | None = None
     while True:
         last = parts == 1
         packed = rows.groupBy("part").applyInPandas(_packer(capacity, last), base + ROUND)
         packed = written(packed.withColumn("level", F.lit(level)), f"packed{level}")
-        used = sum(r["n"] for r in packed.groupBy("part").agg((F.max("bin") + 1).alias("n")).agg(F.sum("n").alias("n")).collect() if r["n"])
-        used += sum(r["n"] or 0 for df in settled for r in df.groupBy("part").agg(F.count_distinct("bin").alias("n")).agg(F.sum("n").alias("n")).collect())
-        if last or used <= bound:
+        heads = packed.where("offset = 0").agg(F.count("*").alias("n"), F.count(F.when(F.col("settled"), 1)).alias("settled")).first()
+        used = done + heads["n"]
+        little = before is not None and before - used <= GAIN * used
+        if last or used <= bound or heads["settled"] == heads["n"] or little:
             settled.append(packed)
             break
         settled.append(packed.where("settled"))
-        level, parts = level + 1, -(-parts // FAN)
-        rows = packed.where("not settled").select(
+        done, before, level = done + heads["settled"], used, level + 1
+        left = packed.where("not settled")
+        parts = max(1, -(-left.count() // PIECES))
+        rows = left.select(
             *["id", "piece", "start", "length", "ids_crc32", *ids, F.col("part").alias("from"), "bin", "offset"],
-            F.floor(F.col("part") / FAN).cast("long").alias("part"),
+            F.pmod(F.xxhash64("part", "bin", F.lit(level)), F.lit(parts)).cast("long").alias("part"),
         )
     out = settled[0]
     for df in settled[1:]:

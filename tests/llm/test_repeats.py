@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 
 from tests.harness import same
 from tracelake.llm import windows
+from tracelake.llm.blocks import spread, squeeze
 from tracelake.llm.registry import ORACLES, QUERIES
 from tracelake.llm.substring_dedup import Automaton, remove_reference, remove_repeated, without_repeated
 from tracelake.llm.suffix_array_dedup import merge, remove_earlier, transform
@@ -163,3 +164,30 @@ def test_merged_transforms_sort_rotations(texts, depth):
     assert sorted(entries.tolist()) == list(range(len(places)))
     assert found == sorted(prefix(e) for e in range(len(places)))
     assert shared.tolist() == [sorted(set(found)).index(f) for f in found]
+
+
+def test_texts_longer_than_a_block_and_frequent_anchors(spark):
+    """A text of over 4 MB, and over 2,000 contexts of one anchor."""
+    r = random.Random(8)
+    shared = " ".join(f"s{k}" for k in range(20))
+    rows = [(i, f"a{i} b{i} {'c' * r.randint(1, 9)} {shared} d{i} e{i % 40} " + " ".join(f"t{(i % 40) * k}" for k in range(30))) for i in range(2_600)]
+    long = " ".join(f"w{k * k % 90_001}" for k in range(700_000))
+    rows += [(9_000, long), (9_001, long[1_000_000:1_004_000]), (9_002, None)]
+    assert len(long) > windows.SPAN and len(long.encode()) > 4 << 20
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert rows_of(remove_repeated(df, 35, 16), WORDS) == brute_words(rows, 35)
+    rows = [x for x in rows if x[0] != 9_000] + [(8_999, long[990_000:1_030_000])]
+    df = spark.createDataFrame([*rows, (1, "")], "doc_id long, text string").repartition(3)
+    assert rows_of(remove_earlier(df, 50, 24), BYTES) == brute_bytes([*rows, (1, "")], 50)
+
+
+def test_tables_of_blocks_leave_the_catalog(spark):
+    before = spark.catalog.listTables()
+    assert remove_repeated(spark.createDataFrame([(1, "a b")], "doc_id long, text string")).count() == 1
+    assert spark.catalog.listTables() == before
+
+
+@pytest.mark.parametrize("arrays", [[np.zeros(0, np.int64)], [np.arange(5, dtype=np.uint8), np.array([-1, 2**40])], [np.arange(10**5, dtype=np.uint64) << np.uint64(40)]])
+def test_squeezed_arrays_come_back(arrays):
+    back = spread(squeeze(*arrays))
+    assert len(back) == len(arrays) and all((a == b).all() and a.dtype == b.dtype for a, b in zip(arrays, back, strict=True))

@@ -9,10 +9,12 @@ those rows are shuffled, the text is not: joins on ``block`` use the buckets.
 
 from __future__ import annotations
 
+import struct
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -76,7 +78,9 @@ def blocks(docs: DataFrame, text_col: str, limit: int = BLOCK_BYTES) -> DataFram
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     writer = packed.write.format("parquet").option("path", path).option("compression", "none")
     writer.bucketBy(buckets, "block").saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay, and what is read is known
+    return table
 
 
 def answered(held: DataFrame, answers: DataFrame) -> DataFrame:
@@ -86,6 +90,45 @@ def answered(held: DataFrame, answers: DataFrame) -> DataFrame:
     return held.join(lists, "block", "left")
 
 
+def shards_for(held: DataFrame, least: int = 1) -> int:
+    """Shards that follow the corpus: one for every two blocks, ``least`` for
+    each shuffle partition, as many in every partition."""
+    partitions = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return partitions * max(least, -(-held.count() // (2 * partitions)))
+
+
+def by_shard(sent: DataFrame, shards: int, schema: str, step: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """Applies ``step`` to the rows of each shard, one shard after another in a
+    task. Shards are ranges of hashes of equal width, so tasks that take equally
+    many are alike; only one shard at a time is in memory."""
+    partitions = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = -(-shards // partitions)
+    kinds = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("data", pa.binary())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+
+        def answer() -> Iterator[pa.RecordBatch]:
+            out = step(pa.Table.from_batches(waiting).to_pandas())
+            waiting.clear()
+            if len(out):
+                yield pa.RecordBatch.from_pandas(out, schema=kinds, preserve_index=False)
+
+        for batch in batches:
+            shard = batch.column("shard").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a < b:
+                    if waiting and waiting[0].column("shard")[0].as_py() != shard[a]:
+                        yield from answer()
+                    waiting.append(batch.slice(a, b - a))
+        if waiting:
+            yield from answer()
+
+    dealt = sent.repartitionById(partitions, F.floor(F.col("shard") / each).cast("int"))
+    return dealt.sortWithinPartitions("shard").mapInArrow(run, schema)
+
+
 def each_block(held: DataFrame, schema: str, step: Callable[[int, pa.Table, list[tuple[int, bytes]]], Iterable[pa.RecordBatch]]) -> DataFrame:
     """Applies ``step(block, rows, answers)`` to every block; answers are in
     order of their shard."""
@@ -105,24 +148,28 @@ def each_block(held: DataFrame, schema: str, step: Callable[[int, pa.Table, list
     return held.select(*columns).mapInArrow(run, schema)
 
 
+#: Before an array's bytes: its length, the size of its items, their sign.
+HEAD = struct.Struct("<IBB")
+
+
 def squeeze(*arrays: np.ndarray) -> bytes:
-    """Integer arrays as compressed bytes, planes of equal significance
-    together; ``spread`` gives them back."""
-    out = [np.array([len(arrays)], "<i8").tobytes()]
+    """Integer arrays as bytes, planes of equal significance together and
+    compressed if there is something to gain; ``spread`` gives them back."""
+    out = [len(arrays).to_bytes(1, "little")]
     for a in arrays:
         a = np.ascontiguousarray(a)
-        out.append(np.array([len(a), a.dtype.itemsize, a.dtype.kind == "u"], "<i8").tobytes())
+        out.append(HEAD.pack(len(a), a.dtype.itemsize, a.dtype.kind == "u"))
         out.append(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() if len(a) else b"")
-    return zstandard.compress(b"".join(out), 1)
+    raw = b"".join(out)
+    return b"\x01" + zstandard.compress(raw, 1) if len(raw) > 256 else b"\x00" + raw
 
 
 def spread(data: bytes) -> list[np.ndarray]:
-    raw = zstandard.decompress(data)
-    (count,) = np.frombuffer(raw, "<i8", 1)
-    out, at = [], 8
-    for _ in range(int(count)):
-        n, size, unsigned = (int(x) for x in np.frombuffer(raw, "<i8", 3, at))
-        at += 24
+    raw = zstandard.decompress(data[1:]) if data[0] else data[1:]
+    out, at = [], 1
+    for _ in range(raw[0]):
+        n, size, unsigned = HEAD.unpack_from(raw, at)
+        at += HEAD.size
         planes = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
         out.append(np.ascontiguousarray(planes.T).view(f"<{'u' if unsigned else 'i'}{size}").reshape(n))
         at += n * size

@@ -17,9 +17,13 @@ anchors than windows.
 3. Shards decide which windows of each context are to be removed (``decide``)
    and answer with runs of windows at the places; blocks apply them.
 
-Two contexts are taken as equal if 88 bits of hashes are, two windows of a very
-frequent anchor if 64 bits are. Windows of unequal contexts are compared by
-their text.
+Two contexts, and two windows of a very frequent anchor, are taken as equal if
+128 bits of hashes are: over 10^14 of them a false equality has a chance of
+10^-10. Windows of unequal contexts are compared by their text.
+
+A shard has the hashes of one range. There are as many as the corpus needs for
+a shard to be small, and a message between a block and a shard holds one key at
+least, so messages never outnumber keys.
 """
 
 from __future__ import annotations
@@ -33,17 +37,15 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from tracelake.llm.blocks import answered, blocks, each_block, spread, squeeze, with_steps
+from tracelake.llm.blocks import answered, blocks, by_shard, each_block, shards_for, spread, squeeze, with_steps
 
-BASE = 0x9E3779B97F4A7C15
+BASE, OTHER = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 #: Contexts beyond which an anchor's windows are sent one by one.
 FREQUENT = 2_000
-#: Shards for each shuffle partition; a shard is worked on as a whole.
+#: Least number of shards for each shuffle partition.
 SHARDS = 2
 #: Units that anchors are searched in at a time (caches).
 SPAN = 1 << 17
-#: Low bits that aren't sent of an anchor's and of a context's hash.
-CUT, CUT_CONTENT = 16, 24
 UNITS = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -179,7 +181,7 @@ def _anchors(block: int, runs: Runs, shards: int) -> Iterator[pa.RecordBatch]:
     data = []
     for s in which:
         own = slice(cuts[s], cuts[s + 1])
-        data.append(squeeze(with_steps(key[own] >> np.uint64(CUT)), content[own] >> np.uint64(CUT_CONTENT), twice[own]))
+        data.append(squeeze(with_steps(key[own]), content[own], twice[own]))
     yield pa.RecordBatch.from_arrays(
         [pa.array(which, pa.int32()), pa.array([block] * len(which), pa.int64()), pa.array(data, pa.binary())], names=["shard", "block", "data"]
     )
@@ -221,11 +223,13 @@ def _grades(frame: pd.DataFrame, frequent: int) -> pd.DataFrame:
     return pd.DataFrame({"block": frame["block"], "shard": frame["shard"], "data": out})
 
 
-def span_hashes(units: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
-    out = np.zeros(len(first), np.uint64)
+def span_hashes(units: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each span, as two words."""
+    out = [np.zeros(len(first), np.uint64) for _ in range(2)]
     for k in range(width):
-        out = out * np.uint64(BASE) + units[first + k]
-    return mixed(mixed(out))
+        unit = units[first + k]
+        out = [out[0] * np.uint64(BASE) + unit, out[1] * np.uint64(OTHER) + mixed(unit)]
+    return mixed(mixed(out[0])), mixed(out[1])
 
 
 def _contexts(block: int, runs: Runs, part: Part, answers: list[tuple[int, bytes]], width: int, shards: int) -> Iterator[pa.RecordBatch]:
@@ -249,10 +253,10 @@ def _contexts(block: int, runs: Runs, part: Part, answers: list[tuple[int, bytes
     single = np.flatnonzero(grade[pair] == MANY)
     n = runs.last[single] - runs.first[single] + 1
     window = np.repeat(runs.first[single] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    doc, hashes = np.repeat(runs.doc[single], n), span_hashes(part.units, window, width)
-    by_hash = np.argsort(hashes, kind="stable")
-    window, doc, hashes = window[by_hash], doc[by_hash], hashes[by_hash]
-    fresh = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]][: len(hashes)])
+    doc, (hashes, others) = np.repeat(runs.doc[single], n), span_hashes(part.units, window, width)
+    by_hash = np.lexsort((others, hashes))
+    window, doc, hashes, others = window[by_hash], doc[by_hash], hashes[by_hash], others[by_hash]
+    fresh = np.flatnonzero(np.r_[True, (hashes[1:] != hashes[:-1]) | (others[1:] != others[:-1])][: len(hashes)])
     many = np.diff(np.r_[fresh, len(hashes)])
     window_shard = shard_of(hashes[fresh], shards)
 
@@ -277,8 +281,8 @@ def _contexts(block: int, runs: Runs, part: Part, answers: list[tuple[int, bytes
         at = np.concatenate([runs.first[r], window[w]]) - starts[docs]
         data = squeeze(
             with_steps(number[own]), with_steps(group[own]), (runs.last[rep] - runs.first[rep] + 1).astype(np.int32), places[own].astype(np.int32),
-            number[sent[t]], sizes[t].astype(np.int32), with_steps(hashes[fresh[hashed]]), many[hashed].astype(np.int32),
-            docs.astype(np.int32), at.astype(np.int64), part.ids[docs],
+            number[sent[t]], sizes[t].astype(np.int32), with_steps(hashes[fresh[hashed]]), others[fresh[hashed]],
+            many[hashed].astype(np.int32), docs.astype(np.int32), at.astype(np.int64), part.ids[docs],
         )
         which.append(s)
         rows.append((packer.compress(texts[text_cuts[t.start] : text_cuts[t.stop]]), data))
@@ -335,23 +339,28 @@ def _decide(frame: pd.DataFrame, decide: Decide) -> pd.DataFrame:
         for c, a, b in zip(p[4].tolist(), [0, *ends], ends, strict=False):
             texts[c] = raw[a:b]
     hashes = [np.cumsum(p[6], dtype=np.uint64) for p in parts]
-    distinct, which = np.unique(np.concatenate(hashes), return_inverse=True)
+    first, second = np.concatenate(hashes), np.concatenate([p[7] for p in parts])
+    order = np.lexsort((second, first))
+    new = np.r_[True, (np.diff(first[order]) != 0) | (np.diff(second[order]) != 0)][: len(order)]
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    singles = int(new.sum())
     cuts = np.cumsum([0, *map(len, hashes)])
     of = [
-        np.concatenate([np.repeat(n, p[3]), np.repeat(size + which[a:b], p[7])])
+        np.concatenate([np.repeat(n, p[3]), np.repeat(size + which[a:b], p[8])])
         for p, n, a, b in zip(parts, numbers, cuts, cuts[1:], strict=False)
     ]
-    total = size + len(distinct)
-    every, ids = np.concatenate(of), np.concatenate([p[10] for p in parts])
+    total = size + singles
+    every, ids = np.concatenate(of), np.concatenate([p[11] for p in parts])
     least = np.full(total, np.iinfo(np.int64).max)
     np.minimum.at(least, every, ids)
-    extra = np.ones(len(distinct), np.int64)
+    extra = np.ones(singles, np.int64)
     widths = np.concatenate([windows, extra])
-    verdicts = decide(Contexts(texts + [None] * len(distinct), np.concatenate([group, -extra]), widths, np.bincount(every, minlength=total), least))
+    verdicts = decide(Contexts(texts + [None] * singles, np.concatenate([group, -extra]), widths, np.bincount(every, minlength=total), least))
     begin = np.cumsum(widths) - widths
     out = []
     for own, p in zip(of, parts, strict=True):
-        doc, at, ids = p[8:]
+        doc, at, ids = p[9:]
         n = widths[own]
         row = np.repeat(np.arange(len(own)), n)
         step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
@@ -390,8 +399,8 @@ def remove_repeats(
 ) -> DataFrame:
     """The whole exchange. ``finish(rows, sizes, removed)`` makes a block's
     output rows from a mark for each of its units."""
-    shards = SHARDS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = blocks(docs, text_col)
+    shards = shards_for(held, SHARDS)
 
     def runs(part: Part) -> Runs:
         return runs_of(part.units, part.sizes, units.width, units.gram)
@@ -415,7 +424,7 @@ def remove_repeats(
 
     reply = "block long, shard int, data binary"
     sent = each_block(held, "shard int, block long, data binary", anchors)
-    graded = sent.groupBy("shard").applyInPandas(grades, reply)
+    graded = by_shard(sent, shards, reply, grades)
     sent = each_block(answered(held, graded), "shard int, block long, texts binary, data binary", contexts)
-    decided = sent.groupBy("shard").applyInPandas(decisions, reply)
+    decided = by_shard(sent, shards, reply, decisions)
     return each_block(answered(held, decided), schema, output)

@@ -44,6 +44,7 @@ def brute_model(texts, order):
         logs = [math.log(chance(s[i - order + 1 : i + 1])) for i in range(order - 1, len(s))]
         return -sum(logs) / len(logs) if logs else None
 
+    mean.chance = chance
     return mean
 
 
@@ -158,3 +159,85 @@ def test_accepted_keeps_columns(spark):
     out = quality.accepted(docs, labels)
     assert out.schema == docs.schema
     assert sorted(out.collect()) == sorted(r for r in docs.collect() if r["doc_id"] in kept)
+
+
+def plain_limits(rows):
+    """keep and limits of judged rows, from all rows of ``scores``, by the
+    definitions of ``judged`` on plain lists."""
+
+    def quantile(values, p):
+        values = sorted(values)
+        return values[max(0, math.ceil(p * len(values) - 1e-9) - 1)] if values else None
+
+    held = [r for r in rows if r["calibrates"] and r["n"] > 0]
+    langs = sorted({r["lang"] or "" for r in held})
+    own = {g: [r for r in held if (r["lang"] or "") == g] for g in langs}
+    drift = {quality.MEASURES[0]: 0.0}
+    for m in quality.MEASURES[1:]:
+        up = down = 0.0
+        for g in langs:
+            x = [math.log(r["n"]) for r in own[g]]
+            y = [r[m] for r in own[g]]
+            mx, my = sum(x) / len(x), sum(y) / len(y)
+            up += sum((a - mx) * (b - my) for a, b in zip(x, y, strict=True))
+            down += sum((a - mx) ** 2 for a in x)
+        drift[m] = up / down if down else 0.0
+    out = {}
+    for m in quality.MEASURES:
+
+        def level(r, m=m):
+            return r[m] - drift[m] * math.log(r["n"])
+
+        def spread(r, m=m):
+            return math.sqrt(1 + quality.SETTLED / r["n"]) if m == quality.MEASURES[0] else 1.0
+
+        center = quantile([level(r) for r in held], 0.5)
+        known = {g: len(own[g]) / (len(own[g]) + quality.ALIKE) for g in langs}
+        middle = {g: known[g] * quantile([level(r) for r in own[g]], 0.5) + (1 - known[g]) * center for g in langs}
+        within = quantile([(level(r) - middle[r["lang"] or ""]) / spread(r) for r in held], quality.QUANTILE)
+        across = quantile([(level(r) - center) / spread(r) for r in held], quality.QUANTILE)
+        for k, r in enumerate(rows):
+            if r["judged"] and r["n"] > 0 and held:
+                g = r["lang"] or ""
+                n, w = len(own.get(g, [])), known.get(g, 0.0)
+                share = min(1.0, n * (1 - quality.QUANTILE))
+                top = quantile([(level(x) - middle[g]) / spread(x) for x in own[g]], quality.QUANTILE) if n else 0.0
+                most = share * top + (1 - share) * (w * within + (1 - w) * across)
+                limit = middle.get(g, center) + drift[m] * math.log(r["n"]) + most * spread(r)
+                out.setdefault(k, []).append((limit, r[m] <= limit + quality.ROUNDING))
+    return out
+
+
+def test_limits_and_keep_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    scored = quality.scores(quality.blocks(docs.select("doc_id", "text", "lang"), "text"), labels, 4, "doc_id", "text", "lang", "bigint")
+    scored = quality.written(scored, "scored")
+    rows = scored.collect()
+    want = plain_limits(rows)
+    found = {(r["block"], r["row"]): r for r in quality.judged(scored).collect()}
+    assert len(found) == docs.count() and len(want) > 900
+    kept = 0
+    for k, limits in want.items():
+        r = found[rows[k]["block"], rows[k]["row"]]
+        for m, (limit, _) in zip(quality.MEASURES, limits, strict=True):
+            assert r[f"limit_{m}"] == pytest.approx(limit, rel=1e-9)
+        assert r["keep"] == all(ok for _, ok in limits)
+        kept += r["keep"]
+    assert 0 < kept < len(want)
+
+
+def test_texts_longer_than_a_block(spark):
+    rng = np.random.default_rng(9)
+    good = ["".join(rng.choice(list("aab c"), 30)) for _ in range(40)]
+    long = "".join(rng.choice(list("aab cd"), 4_500_000))
+    docs = spark.createDataFrame([*[(i, t, "en") for i, t in enumerate(good)], (99, long, "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    held = {r["id"] for r in quality.trusted(labels, "doc_id").where("calibrates").collect()}
+    mean = brute_model([t for i, t in enumerate(good) if i not in held], 3)
+    s = quality.START * 2 + long
+    grams = Counter(s[i : i + 3] for i in range(len(long)))
+    (row,) = quality.classify(docs, labels, 3).where("doc_id = 99").collect()
+    want = -sum(n * math.log(mean.chance(g)) for g, n in grams.items()) / len(long)
+    assert row["n_scored"] == len(long)
+    assert math.log(row["perplexity"]) == pytest.approx(want, rel=1e-4)

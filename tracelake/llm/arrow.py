@@ -7,6 +7,7 @@ input, whatever their names and nulls, never matter.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -35,6 +36,20 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
+def release() -> None:
+    """Gives memory that is free back to the system: workers live on between
+    tasks, and what an allocator keeps adds up over those of an executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
 def strings(column: pa.Array) -> list[str]:
     """Python strings; null is the empty one."""
     return [x or "" for x in column.to_pylist()]
@@ -54,5 +69,6 @@ def map_slices(
                 out = step(part)
                 if out is not None:
                     yield out
+            release()
 
     return df.mapInArrow(run, schema)

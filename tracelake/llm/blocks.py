@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.arrow import BATCH_ROWS, slices
+from tracelake.llm.arrow import BATCH_ROWS, release, slices
 from tracelake.llm.shared import new_path
 from tracelake.session import share_code
 
@@ -111,6 +111,7 @@ def by_shard(sent: DataFrame, shards: int, schema: str, step: Callable[[pd.DataF
         def answer() -> Iterator[pa.RecordBatch]:
             out = step(pa.Table.from_batches(waiting).to_pandas())
             waiting.clear()
+            release()
             if len(out):
                 yield pa.RecordBatch.from_pandas(out, schema=kinds, preserve_index=False)
 
@@ -144,6 +145,7 @@ def each_block(held: DataFrame, schema: str, step: Callable[[int, pa.Table, list
                     own = batch.column("answers")[i].values
                     found = sorted(zip(own.field("shard").to_pylist(), own.field("data").to_pylist(), strict=True))
                 yield from step(batch.column("block")[i].as_py(), load(batch.column("payload")[i].as_buffer()), found)
+                release()
 
     return held.select(*columns).mapInArrow(run, schema)
 

@@ -187,40 +187,55 @@ def text_means(values: np.ndarray, grams: Grams) -> np.ndarray:
     return out / np.maximum(grams.sizes, 1)
 
 
+def text_runs(grams: Grams) -> Iterator[tuple[slice, slice]]:
+    """Some texts at a time, of about CHUNK characters: their numbers, and the
+    places of their characters among all."""
+    ends = np.concatenate([[0], np.cumsum(grams.sizes)])
+    a = 0
+    while a < len(grams.sizes):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + CHUNK, "right")) - 1)
+        yield slice(a, b), slice(int(ends[a]), int(ends[b]))
+        a = b
+
+
 def worst_spans(losses: np.ndarray, grams: Grams) -> np.ndarray:
     """Each text's greatest mean over SPAN characters in a row; the mean of a
     shorter text."""
     out = text_means(losses, grams)
-    if len(losses) < SPAN:
-        return out
-    some = grams.sizes > 0
-    sums = np.concatenate([[0.0], np.cumsum(losses)])
-    means = np.full(len(losses), -np.inf)
-    means[: len(losses) - SPAN + 1] = (sums[SPAN:] - sums[:-SPAN]) / SPAN
-    ends = (grams.doc_start + grams.sizes)[some]
-    for k in range(1, SPAN):  # spans that leave the text
-        means[np.maximum(ends - k, 0)] = -np.inf
-    most = np.full(len(out), -np.inf)
-    most[some] = np.maximum.reduceat(means, grams.doc_start[some])
-    return np.where(grams.sizes >= SPAN, most, out)
+    for texts, places in text_runs(grams):
+        own, sizes = losses[places], grams.sizes[texts]
+        if len(own) < SPAN:
+            continue
+        sums = np.concatenate([[0.0], np.cumsum(own)])
+        means = np.full(len(own), -np.inf)
+        means[: len(own) - SPAN + 1] = (sums[SPAN:] - sums[:-SPAN]) / SPAN
+        some, starts = sizes > 0, np.cumsum(sizes) - sizes
+        for k in range(1, SPAN):  # spans that leave the text
+            means[np.maximum((starts + sizes)[some] - k, 0)] = -np.inf
+        most = np.full(len(sizes), -np.inf)
+        most[some] = np.maximum.reduceat(means, starts[some])
+        out[texts] = np.where(sizes >= SPAN, most, out[texts])
+    return out
 
 
 def repeated_share(grams: Grams) -> np.ndarray:
     """Each text's share of characters that end an n-gram, of the highest
     order, which ends at one of the RECENT characters before, too."""
-    own = grams.ids[-1][grams.real].astype(np.int64)
-    key = np.sort((own << 32) | np.arange(len(own)))
-    place = key & 0xFFFFFFFF
-    text = np.repeat(np.arange(len(grams.sizes), dtype=np.int32), grams.sizes)[place]
-    again = (key[1:] >> 32 == key[:-1] >> 32) & (place[1:] - place[:-1] <= RECENT) & (text[1:] == text[:-1])
-    seen = np.zeros(len(own), np.int8)
-    seen[place[1:][again]] = 1
+    seen = np.zeros(int(grams.sizes.sum()), np.int8)
+    ids = grams.ids[-1][grams.real]
+    for texts, places in text_runs(grams):
+        own = ids[places].astype(np.int64)
+        key = np.sort((own << 32) | np.arange(len(own)))
+        place = key & 0xFFFFFFFF
+        text = np.repeat(np.arange(texts.stop - texts.start, dtype=np.int32), grams.sizes[texts])[place]
+        again = (key[1:] >> 32 == key[:-1] >> 32) & (place[1:] - place[:-1] <= RECENT) & (text[1:] == text[:-1])
+        seen[places.start + place[1:][again]] = 1
     return text_means(seen, grams)
 
 
 def model(counts: DataFrame, order: int) -> DataFrame:
-    """Rows (model, gram, alpha, gamma) from rows (model, gram, c) of the
-    highest order, for each of HELD_OUT models.
+    """Rows (gram, alpha0.., gamma0..) from rows (gram, c0..) of the highest
+    order, a column for each of HELD_OUT models.
 
     alpha is the discounted share of a gram in its context, gamma the weight
     that it as a context leaves to the lower order. Lower orders count distinct
@@ -229,52 +244,53 @@ def model(counts: DataFrame, order: int) -> DataFrame:
     """
     tables: list[DataFrame] = []
     grams = counts
-    alphabet: dict[int, int] = {}
-    of_model = F.col("model") + 1
+    models = range(HELD_OUT)
+    nothing = F.lit(None).cast("float")
+    alphabet: list[int] = []
     for n in range(order, 0, -1):
         if n < order:
-            grams = written(grams.groupBy("model", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("c")), f"grams{n}")
-        freq = {(r["model"], r["c"]): r["n"] for r in grams.where("c <= 4").groupBy("model", "c").agg(F.count("*").alias("n")).collect()}
-        discounts = []
-        for m in range(HELD_OUT):
-            n1, n2, n3, n4 = (freq.get((m, k), 0) for k in (1, 2, 3, 4))
+            left = [F.count(F.when(F.col(f"c{m}") > 0, 1)).alias(f"c{m}") for m in models]
+            grams = written(grams.groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(*left), f"grams{n}")
+        freq = grams.agg(*[F.count(F.when(F.col(f"c{m}") == k, 1)).alias(f"n{m}_{k}") for m in models for k in (1, 2, 3, 4)]).first()
+        rows = grams.withColumn("context", F.expr(f"substring(gram, 1, {n - 1})"))
+        for m in models:
+            n1, n2, n3, n4 = (freq[f"n{m}_{k}"] for k in (1, 2, 3, 4))
             y = n1 / (n1 + 2 * n2) if n1 else 0.0
             discount = [min(max(d, 0.0), k) for k, d in ((1, 1 - 2 * y * n2 / n1 if n1 else 0.5), (2, 2 - 3 * y * n3 / n2 if n2 else 1.0), (3, 3 - 4 * y * n4 / n3 if n3 else 1.5))]
-            discounts.append(F.array(*map(F.lit, map(float, discount))))
-        cut = F.element_at(F.element_at(F.array(*discounts), of_model), F.least("c", F.lit(3)).cast("int"))
-        rows = grams.withColumn("context", F.expr(f"substring(gram, 1, {n - 1})")).withColumn("d", F.least(cut, F.col("c").cast("double")))
-        totals = rows.groupBy("model", "context").agg(F.sum("c").alias("total"), F.sum("d").alias("left"))
-        share = ((F.col("c") - F.col("d")) / F.col("total")).alias("alpha")
-        tables.append(rows.join(totals, ["model", "context"]).select("model", "gram", share, F.lit(None).cast("double").alias("gamma")))
-        tables.append(totals.select("model", F.col("context").alias("gram"), F.lit(None).cast("double").alias("alpha"), (F.col("left") / F.col("total")).alias("gamma")))
+            c = F.col(f"c{m}")
+            rows = rows.withColumn(f"d{m}", F.when(c == 0, 0.0).when(c == 1, float(discount[0])).when(c == 2, float(discount[1])).otherwise(float(discount[2])))
+        sums = [F.sum(f"{x}{m}").alias(f"{y}{m}") for m in models for x, y in (("c", "total"), ("d", "left"))]
+        totals = rows.groupBy("context").agg(*sums)
+        share = [F.when(F.col(f"c{m}") > 0, ((F.col(f"c{m}") - F.col(f"d{m}")) / F.col(f"total{m}")).cast("float")).alias(f"alpha{m}") for m in models]
+        rest = [F.when(F.col(f"total{m}") > 0, (F.col(f"left{m}") / F.col(f"total{m}")).cast("float")).alias(f"gamma{m}") for m in models]
+        tables.append(rows.join(totals, "context").select("gram", *share, *[nothing.alias(f"gamma{m}") for m in models]))
+        tables.append(totals.select(F.col("context").alias("gram"), *[nothing.alias(f"alpha{m}") for m in models], *rest))
         if n == 1:
-            alphabet = {r["model"]: r["count"] for r in grams.groupBy("model").count().collect()}
+            seen = grams.agg(*[F.count(F.when(F.col(f"c{m}") > 0, 1)).alias(f"a{m}") for m in models]).first()
+            alphabet = [seen[f"a{m}"] for m in models]
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)
-    uniform = F.array(*[F.lit(1.0 / (alphabet.get(m, 0) + 1)) for m in range(HELD_OUT)])
-    base = counts.sparkSession.range(HELD_OUT).select(F.col("id").cast("int").alias("model"))
-    base = base.select("model", F.lit("").alias("gram"), F.element_at(uniform, of_model).alias("alpha"), F.lit(None).cast("double").alias("gamma"))
-    out = out.unionByName(base).groupBy("model", "gram").agg(F.max("alpha").alias("alpha"), F.max("gamma").alias("gamma"))
-    return out.select("model", "gram", F.coalesce("alpha", F.lit(0.0)).alias("alpha"), F.coalesce("gamma", F.lit(1.0)).alias("gamma"))
+    uniform = [F.lit(1.0 / (alphabet[m] + 1)).cast("float").alias(f"alpha{m}") for m in models]
+    base = counts.sparkSession.range(1).select(F.lit("").alias("gram"), *uniform, *[nothing.alias(f"gamma{m}") for m in models])
+    terms = [(f"{x}{m}", default) for x, default in (("alpha", 0.0), ("gamma", 1.0)) for m in models]
+    out = out.unionByName(base).groupBy("gram").agg(*[F.max(name).alias(name) for name, _ in terms])
+    return out.select("gram", *[F.coalesce(name, F.lit(default).cast("float")).alias(name) for name, default in terms])
 
 
 def _answer(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     """A shard's terms for the keys that blocks asked for: of the first model
     for all keys, of each other for those whose bit is set."""
-    key, of_model = known["key"].to_numpy().astype(np.int64).view(np.uint64), known["model"].to_numpy()
-    alpha, gamma = (known[c].to_numpy().astype(np.float32) for c in ("alpha", "gamma"))
-    tables = []
-    for m in range(HELD_OUT):
-        rows = np.flatnonzero(of_model == m)
-        rows = rows[np.argsort(key[rows])]
-        tables.append((key[rows], alpha[rows], gamma[rows]))
+    keys = known["key"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    keys = keys[order]
+    tables = [[known[f"{x}{m}"].to_numpy().astype(np.float32)[order] for x in ("alpha", "gamma")] for m in range(HELD_OUT)]
     data = []
     for x in asked["data"]:
         steps, models = spread(x)
         all_keys = np.cumsum(steps, dtype=np.uint64)
         out = []
-        for m, (keys, shares, weights) in enumerate(tables):
+        for m, (shares, weights) in enumerate(tables):
             own = all_keys[models >> m & 1 == 1] if m else all_keys
             at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
             hit = keys[at] == own if len(keys) else np.zeros(len(own), bool)
@@ -355,7 +371,8 @@ def scores(
                 full = np.full(len(keys), default)
                 full[models >> m & 1 == 1 if m else slice(None)] = np.concatenate([t[k] for t in terms]).view(np.float32)
                 values.append(full)
-            return -log_probabilities(grams, numbers, where, *values, mask)
+            found = log_probabilities(grams, numbers, where, *values, mask)
+            return np.negative(found, out=found)
 
         n, repeated = grams.sizes, repeated_share(grams)
 
@@ -388,12 +405,14 @@ def scores(
     taught = answered(held, teachers)
     counted = each_block(taught.where("answers is not null"), "gram string, " + ", ".join(f"{c} long" for c in by_part), counting)
     counted = counted.groupBy("gram").agg(*[F.sum(c).alias(c) for c in by_part])
-    counted = counted.select("gram", sum(map(F.col, by_part)).alias("all"), F.posexplode(F.array(*by_part)).alias("model", "out"))
-    counts = written(counted.where(F.col("all") > F.col("out")).select("model", "gram", (F.col("all") - F.col("out")).alias("c")), "grams")
-    usable = [r["model"] for r in counts.select("model").distinct().collect()]
-    rows = written(model(counts, order).select("model", F.xxhash64("gram").alias("key"), "alpha", "gamma"), "model")
+    every = sum(map(F.col, by_part))
+    counts = written(counted.select("gram", *[(every - F.col(c)).alias(c) for c in by_part]), "grams")
+    some = counts.agg(*[F.max(c).alias(c) for c in by_part]).first()
+    usable = [m for m, c in enumerate(by_part) if some[c]]
+    terms = [f"{x}{m}" for x in ("alpha", "gamma") for m in range(HELD_OUT)]
+    rows = written(model(counts, order).select(F.xxhash64("gram").alias("key"), *terms), "model")
     place = F.shiftrightunsigned(F.shiftrightunsigned("key", 32) * F.lit(shards).cast("long"), 32).cast("int")
-    known = rows.select(place.alias("shard"), "model", "key", "alpha", "gamma")
+    known = rows.select(place.alias("shard"), "key", *terms)
     asked = each_block(taught, "shard int, block long, data binary", asking)
     replies = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(_answer, "block long, shard int, data binary")
     replies = replies.unionByName(teachers.select("block", (-1 - F.col("shard")).alias("shard"), "data"))

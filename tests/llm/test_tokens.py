@@ -251,3 +251,25 @@ def test_very_long_texts(text):
     assert Counter("byte_bpe_50k.json").count([text]) == [len(library("byte_bpe_50k.json").encode(text).ids)]
     sampler = Sampler("piece_bpe_32k.model", 0.1, 1)
     assert sampler.codec.decode(sampler.encode(["1"], [text])[0]) == text
+
+
+def test_long_words_are_merged_like_short_ones():
+    rng = np.random.default_rng(3)
+    merger = bpe.merger(bpe.resolve("byte_bpe_50k.json"))
+    words = ["".join(rng.choice(list("thenaior s"), n)).encode() for n in (0, 1, 30, 999, 1_000, 1_001, 3_000)] + [b"a" * 2_500, b"ab" * 1_500]
+    ids, counts = merger.merge(words)
+    ends = np.cumsum(counts)
+    for k, word in enumerate(words):
+        own = ids[ends[k] - counts[k] : ends[k]].tolist()
+        symbols = [int(merger.inner[b]) for b in word[:-1]] + [int(merger.last[b]) for b in word[-1:]]
+        assert own == merger.long_word(symbols)
+    text = "x" * 60_000 + " " + "".join(rng.choice(list("thenaior"), 80_000))
+    assert Counter("byte_bpe_50k.json").count([text]) == [len(library("byte_bpe_50k.json").encode(text).ids)]
+
+
+def test_pack_a_text_longer_than_a_slice(spark):
+    long = " ".join(f"word{k % 977}" for k in range(600_000))
+    docs = {1: long, 2: "short", 3: ""}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    n, bound = check_packing(pack(df).collect(), docs, 2048)
+    assert len(long) > 4 << 20 and n <= bound + 1

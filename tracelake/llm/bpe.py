@@ -8,13 +8,17 @@ merges use, so this equals merging one place at a time in order of rank.
 
 from __future__ import annotations
 
+import heapq
 import json
 import os
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
 NONE = np.int64(1) << np.int64(40)
+#: Symbols beyond which a word is merged on its own: rounds of all words would
+#: wait for it, and each costs its whole length.
+LONG = 1_000
 
 
 def resolve(name: str) -> str:
@@ -90,6 +94,31 @@ class RankMerger:
         pairs = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
         left, right, made = (np.array([vocab[f(p)] for p in pairs], np.int64) for f in (lambda p: p[0], lambda p: p[1], lambda p: p[0] + p[1]))
         self.table, self.made = PairTable(left, right, np.arange(len(pairs), dtype=np.int64)), made
+        self.left, self.right = left, right
+
+    @cached_property
+    def ranks(self) -> dict[tuple[int, int], int]:
+        return {(a, b): k for k, (a, b) in enumerate(zip(self.left.tolist(), self.right.tolist(), strict=True))}
+
+    def long_word(self, symbols: list[int]) -> list[int]:
+        """The same merges for one long word, from a heap of its pairs: lowest
+        rank first, the leftmost of equals."""
+        n, made = len(symbols), self.made
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if (r := self.ranks.get((a, b))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if j < 0 or symbols[i] != a or symbols[j] != b:
+                continue
+            symbols[i], symbols[j], after[i] = int(made[rank]), -1, after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y >= 0 and (r := self.ranks.get((symbols[x], symbols[y]))) is not None:
+                    heapq.heappush(heap, (r, x, symbols[x], symbols[y]))
+        return [s for s in symbols if s >= 0]
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols that survive, word after word, and how many each has."""
@@ -101,6 +130,12 @@ class RankMerger:
         symbols[ends[full] - 1] = self.last[raw[ends[full] - 1]]
         owner = np.repeat(np.arange(len(words)), sizes)
         done_symbols, done_owner = [], []
+        if len(long := np.flatnonzero(sizes > LONG)):
+            for k in long.tolist():
+                done_symbols.append(np.array(self.long_word(symbols[ends[k] - sizes[k] : ends[k]].tolist()), np.int64))
+                done_owner.append(np.full(len(done_symbols[-1]), k))
+            short = np.repeat(sizes <= LONG, sizes)
+            symbols, owner = symbols[short], owner[short]
         while len(symbols):
             ranks = np.full(len(symbols), NONE)
             if len(symbols) > 1:

@@ -1,46 +1,7 @@
-"""Tables written to the shared folder, to cut lineage."""
+"""Tables written to the shared folder, to cut lineage: a lost executor doesn't
+lose them, and nothing before is computed twice."""
 
-from __future__ import annotations
+from tracelake.session import scratch as new_path
+from tracelake.session import stored as written
 
-import atexit
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-from tracelake.session import shared_dir
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def _remove() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001 - the session is gone already
-            pass
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the folder that all executors share; what is there
-    goes when the driver ends."""
-    if not _written:
-        atexit.register(_remove)
-    path = f"{shared_dir(spark)}/tracelake-{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, from Parquet files in the shared folder: a lost executor
-    doesn't lose them, and nothing before is computed twice."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["new_path", "written"]

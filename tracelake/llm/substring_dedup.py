@@ -4,8 +4,10 @@ Within a corpus, ``windows`` brings together the passages that may repeat; the
 passages around one anchor are a reference shard. Its suffix automaton, with
 the number of occurrences of each state, is matched by the same passages: the
 matching statistics over states that occur at least twice give the maximal
-repeated spans, and spans of the full width are removed. Shards of a corpus
-grow with it, so they are sent to tasks by their anchor instead of to all.
+repeated spans, and spans of the full width are removed. All passages of
+repeated anchors are decided so, a single one with its copies too; only windows
+of very frequent anchors are counted by their hashes. Shards of a corpus grow
+with it, so they are sent to tasks by their anchor instead of to all.
 
 Against a reference of bounded size, ``remove_reference`` broadcasts the
 automata of its shards, and documents stream past them.
@@ -105,9 +107,9 @@ def repeated(texts: list[bytes], counts: list[int], width: int) -> list[np.ndarr
 
 def decide_for(width: int):
     def decide(found: Contexts) -> np.ndarray:
-        out = np.repeat(found.count > 1, found.windows)  # right where a group has one context
+        out = np.repeat(found.count > 1, found.windows)  # what very frequent anchors' windows keep
         begin = np.cumsum(found.windows) - found.windows
-        for members in found.compared():
+        for members in found.compared(every=True):
             own = members.tolist()
             for c, x in zip(own, repeated([found.texts[c] for c in own], found.count[members].tolist(), width), strict=True):
                 out[begin[c] : begin[c] + len(x)] = x
@@ -189,7 +191,7 @@ def remove_repeated(
 
     df = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     schema = f"id {kind}, {RESULT}" + ", kept string" * with_text
-    out = remove_repeats(df, "text", units, decide_for(width), finish, schema, frequent)
+    out = remove_repeats(df, "text", units, decide_for(width), finish, schema, frequent, every=True)
     return out.withColumnRenamed("id", id_col)
 
 
@@ -215,7 +217,7 @@ def without_repeated(docs: DataFrame, width: int = 35, gram: int = 16, text_col:
             out = out.set_column(k, length_col, pa.compute.if_else(changed, fresh, rows.column(length_col)))
         yield from out.combine_chunks().to_batches()
 
-    return remove_repeats(docs, text_col, units, decide_for(width), finish, docs.schema, FREQUENT)
+    return remove_repeats(docs, text_col, units, decide_for(width), finish, docs.schema, FREQUENT, every=True)
 
 
 def remove_reference(

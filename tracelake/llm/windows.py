@@ -9,8 +9,8 @@ anchors than windows.
 1. Every block sends shards its distinct anchors with their contexts (the text
    that the windows of one anchor in one place cover), both as hashes. The
    shards answer which anchors occur more than once, number their contexts, and
-   choose for each context one block that is to send its text, unless it is the
-   only context of its anchor.
+   choose for each context one block that is to send its text; that of the only
+   context of an anchor is needed only by a method that wants every text.
 2. Every block sends shards the places of the numbered contexts, and the texts
    asked for. An anchor with very many contexts isn't compared as a whole: each
    of its windows goes as a hash to a shard that this hash names.
@@ -192,7 +192,7 @@ def _anchors(block: int, runs: Runs, shards: int) -> Iterator[pa.RecordBatch]:
 UNIQUE, ONLY, SENT, KNOWN, MANY = range(5)
 
 
-def _grades(frame: pd.DataFrame, frequent: int) -> pd.DataFrame:
+def _grades(frame: pd.DataFrame, frequent: int, every: bool) -> pd.DataFrame:
     """A shard's answer to each block: the grades of the pairs it sent, then
     for those of repeated anchors the numbers of anchor and context."""
     parts = [spread(x) for x in frame["data"]]
@@ -209,7 +209,7 @@ def _grades(frame: pd.DataFrame, frequent: int) -> pd.DataFrame:
     verdict = np.where(~repeated, UNIQUE, np.where(contexts == 1, ONLY, np.where(contexts > frequent, MANY, KNOWN)))
     ranked = np.repeat(verdict, sizes).astype(np.uint8)
     numbered = (ranked == ONLY) | (ranked == KNOWN)
-    ranked[new_pair & (ranked == KNOWN)] = SENT
+    ranked[new_pair & ((ranked == KNOWN) | every & (ranked == ONLY))] = SENT
     grade, group, number = np.empty(len(k), np.uint8), np.empty(len(k), np.int32), np.empty(len(k), np.int32)
     grade[order] = ranked
     group[order] = np.cumsum(new_key & numbered) - 1
@@ -306,14 +306,15 @@ class Contexts:
     count: np.ndarray
     least: np.ndarray
 
-    def compared(self) -> Iterator[np.ndarray]:
-        """Groups of contexts that differ but may share windows."""
+    def compared(self, every: bool = False) -> Iterator[np.ndarray]:
+        """Groups of contexts that differ but may share windows, or every
+        group."""
         order = np.argsort(self.group, kind="stable")
         group = self.group[order]
         cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         sizes = np.diff(np.r_[cuts, len(group)])
         most = np.maximum.reduceat(self.windows[order], cuts)
-        for k in np.flatnonzero((sizes > 1) & (most > 1) & (group[cuts] >= 0)).tolist():
+        for k in np.flatnonzero((every | (sizes > 1) & (most > 1)) & (group[cuts] >= 0)).tolist():
             yield order[cuts[k] : cuts[k] + sizes[k]]
 
 
@@ -396,9 +397,11 @@ def remove_repeats(
     finish: Callable[[pa.Table, np.ndarray, np.ndarray], Iterable[pa.RecordBatch]],
     schema: str,
     frequent: int = FREQUENT,
+    every: bool = False,
 ) -> DataFrame:
     """The whole exchange. ``finish(rows, sizes, removed)`` makes a block's
-    output rows from a mark for each of its units."""
+    output rows from a mark for each of its units. With ``every`` the text of
+    a context is sent even if it is the only one of its anchor."""
     held = blocks(docs, text_col)
     shards = shards_for(held, SHARDS)
 
@@ -413,7 +416,7 @@ def remove_repeats(
         return _contexts(block, runs(part), part, answers, units.width, shards)
 
     def grades(frame: pd.DataFrame) -> pd.DataFrame:
-        return _grades(frame, frequent)
+        return _grades(frame, frequent, every)
 
     def decisions(frame: pd.DataFrame) -> pd.DataFrame:
         return _decide(frame, decide)

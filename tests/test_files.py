@@ -4,7 +4,7 @@ import random
 import pytest
 
 from tests import waves
-from tracelake import api, cli, render
+from tracelake import api, cli, render, session
 from tracelake.errors import DuplicateSignal, InvalidOccurrence, MissingEndDefinitions, MissingSignal, MissingSignals, ParseError
 from tracelake.functions import parse_target
 from tracelake.model import VERSION, Window
@@ -302,3 +302,24 @@ def test_wide_values_as_columns(spark):
     texts = ["18446744073709551615", "18446744073709551616", "9999999999999999999", "+007", "0xFFFFFFFFFFFFFFFF", "x"]
     low = spark.createDataFrame([(x,) for x in texts], "x string").select(low64_hex(F.lit("text"), F.col("x"), F.lit(None).cast("string")).alias("h"))
     assert [r["h"] for r in low.collect()] == ["f" * 16, None, "8ac7230489e7ffff", "7", "f" * 16, None]
+
+
+def test_a_cluster_must_name_its_shared_folder(spark, tmp_path):
+    class Context:
+        master, folder = "spark://host:7077", None
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, path):
+            self.folder = path
+
+    class Session:
+        def __init__(self, named):
+            self.sparkContext, self.conf = Context(), {"spark.checkpoint.dir": named} if named else {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session(None))
+    assert session.shared_dir(Session("hdfs://there")) == "hdfs://there"
+    kept = session.stored(spark.range(5), "five")
+    assert kept.count() == 5 and all("tracelake-five" in f for f in kept.inputFiles())

@@ -88,43 +88,39 @@ def verified(batches: Iterable[pa.RecordBatch], similarity: float, distance: int
         fp, node, side = table.column("fp").to_numpy().view(np.uint64), table.column("node").to_numpy(), table.column("_s").to_numpy()
         crossing = table.column("_i").to_numpy() != table.column("_j").to_numpy()
         sets = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("shingles")]
-        root = list(range(len(group)))
-
-        def top(x: int, root=root) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        left, right, tried = [], [], set()
-
-        def check(x: int, y: int, root=root, tried=tried, left=left, right=right, node=node, sets=sets, top=top) -> None:
-            p, q = top(x), top(y)
-            if p != q and (x, y) not in tried:
-                tried.add((x, y))
-                if jaccard(sets[x], sets[y]) >= similarity:
-                    root[max(p, q)] = min(p, q)
-                    left.append(int(node[x]))
-                    right.append(int(node[y]))
+        label, tried = np.arange(len(group)), set()
+        left, right = [], []
+
+        def linked(x: int, y: int, label=label, tried=tried, left=left, right=right, node=node, sets=sets) -> bool:
+            if (x, y) in tried or (crossing[x] and side[x] == side[y]):
+                return False
+            tried.add((x, y))
+            if jaccard(sets[x], sets[y]) < similarity:
+                return False
+            label[label == label[y]] = label[x]
+            left.append(int(node[x]))
+            right.append(int(node[y]))
+            return True
 
         for k in range(BANDS):
             order = np.lexsort((np.arange(len(group)), bands[:, k], group))
             same = (group[order][1:] == group[order][:-1]) & (bands[order, k][1:] == bands[order, k][:-1])
             edge = np.flatnonzero(np.diff(np.r_[0, same.astype(np.int8), 0]))
             for a, b in edge.reshape(-1, 2).tolist():
-                bucket = order[a : b + 1].tolist()
-                for j, y in enumerate(bucket[1:], 1):
-                    # one of each root is enough once it is connected
-                    for x in bucket[:j]:
-                        if not crossing[x] or side[x] != side[y]:
-                            check(x, y)
+                clusters: list[list[int]] = []  # of what is connected, so a tight bucket takes one comparison a row
+                for y in order[a : b + 1].tolist():
+                    for own in clusters:
+                        if label[own[0]] != label[y]:
+                            any(linked(x, y) for x in own)
+                    mine = next((own for own in clusters if label[own[0]] == label[y]), None)
+                    clusters.append([y]) if mine is None else mine.append(y)
         starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(group)], strict=True):
             for x in range(s, e - 1):
-                near = np.flatnonzero(np.bitwise_count(fp[x] ^ fp[x + 1 : e]) <= distance) + x + 1
-                for y in near.tolist():
-                    if not crossing[x] or side[x] != side[y]:
-                        check(x, y)
+                near = np.bitwise_count(fp[x] ^ fp[x + 1 : e]) <= distance
+                for y in (np.flatnonzero(near & (label[x + 1 : e] != label[x])) + x + 1).tolist():
+                    if label[y] != label[x]:
+                        linked(x, y)
         if left:
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
@@ -151,11 +147,9 @@ def groups(
         yield pa.RecordBatch.from_arrays(arrays, names=["block", "row", "id", "words", "fp", "bands"])
 
     rows = written(each_block(held, f"block long, row int, id {kind}, words binary, fp long, bands array<long>", sketches), "sketches")
-    # a node is a row of the words: block numbers have 31 bits for the partition and 32 for the place, rows of a block have 20
     place = F.struct("block", "row")
     nodes = rows.groupBy("words").agg(F.min(place).alias("p"), F.min_by("fp", place).alias("fp"), F.min_by("bands", place).alias("bands"))
-    node = F.xxhash64("words")
-    nodes = written(nodes.select("words", node.alias("node"), "p.block", "p.row", "fp", "bands"), "nodes")
+    nodes = written(nodes.select("words", F.monotonically_increasing_id().alias("node"), "p.block", "p.row", "fp", "bands"), "nodes")
     exploded = nodes.select("node", F.posexplode("bands").alias("band", "h"))
     exploded = exploded.repartition("band", "h").sortWithinPartitions("band", "h", "node")
     near = exploded.mapInArrow(neighbours, "a long, b long")

@@ -176,17 +176,31 @@ def test_string_ids_and_copies_of_vectors(spark):
     assert got == sorted([("a", 2, "a", True), ("b", 2, "a", False), ("c", 2, "a", False), ("d", 1, "d", True), ("d", 1, "d", True), (None, 0, None, False), ("e", 0, "e", True)], key=str)
 
 
-@pytest.mark.parametrize("n", [10_000, 1_000_000])
-def test_pairs_at_the_threshold_share_a_bucket_and_a_sketch(n):
-    """2,000 pairs at a cosine of exactly 0.9, under the plan for n vectors."""
-    rng = np.random.default_rng(1)
-    a = rng.standard_normal((2_000, 64))
+def pairs_at(rng, n, cosine, spread):
+    """Pairs of 64 dimensions at a cosine; ``spread`` makes components unlike."""
+    a = rng.standard_normal((n, 64)) * np.exp(spread * rng.standard_normal((n, 64)))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
-    c = rng.standard_normal((2_000, 64))
+    c = rng.standard_normal((n, 64)) * np.exp(spread * rng.standard_normal((n, 64)))
     c -= (c * a).sum(axis=1, keepdims=True) * a
-    b = 0.9 * a + np.sqrt(1 - 0.81) * c / np.linalg.norm(c, axis=1, keepdims=True)
+    return a, cosine * a + np.sqrt(1 - cosine**2) * c / np.linalg.norm(c, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("n", [10_000, 1_000_000])
+def test_pairs_at_the_threshold_share_a_bucket(n):
+    a, b = pairs_at(np.random.default_rng(1), 2_000, 0.9, 0.0)
     chosen = (*embedding_dedup.plan(n, 0.9, 1e-4), 7)
     shared = (embedding_dedup.buckets(a, *chosen) == embedding_dedup.buckets(b, *chosen)).any(axis=1)
-    differ = np.bitwise_count(embedding_dedup.sketches(a, 7) ^ embedding_dedup.sketches(b, 7)).sum(axis=1)
-    assert (shared & (differ <= embedding_dedup.most_different(0.9))).sum() >= 1_998
-    assert (np.bitwise_count(embedding_dedup.sketches(a[1:], 7) ^ embedding_dedup.sketches(b[:-1], 7)).sum(axis=1) <= embedding_dedup.most_different(0.9)).sum() <= 2
+    assert shared.sum() >= 1_998
+
+
+@pytest.mark.parametrize("spread", [0.0, 0.5, 1.0])
+def test_sketches_let_pairs_at_the_threshold_pass(spread):
+    def passes(a, b):
+        (x, off_x), (y, off_y) = (embedding_dedup.sketched(embedding_dedup.sketches(v)) for v in (a, b))
+        return (x * y).sum(axis=1) >= embedding_dedup.lowest(off_x, off_y, 64, 0.9)
+
+    rng = np.random.default_rng(2)
+    assert passes(*pairs_at(rng, 20_000, 0.9, spread)).all()
+    assert passes(*pairs_at(rng, 5_000, 0.6 - 0.1 * spread, spread)).mean() < 0.05
+    one = embedding_dedup.sketches(np.array([[0.6, 0.0, -0.8]]))
+    assert np.allclose(embedding_dedup.sketched(one)[0][0, :3], [0.6, 0, -0.8], atol=0.05) and one.shape == (1, 6)

@@ -6,9 +6,9 @@ work, copies in tables against unrelated vectors in buckets, and the number of
 tables follows from k and the chance ``miss`` at which a pair exactly at the
 threshold may be overlooked (closer pairs are far safer).
 
-Tables hold a vector's number and a sketch of signs, 16 bytes, not the vector.
-Pairs of a bucket whose sketches differ in too many bits go; the others join
-vectors to groups of candidates. Vectors are sent once, to their group, and
+Tables hold a vector's number and a sketch, its direction in four bits a
+component, not the vector. Pairs of a bucket whose sketches are too far apart
+go; the others join vectors to groups of candidates. Vectors are sent once, to their group, and
 compared there exactly, in double precision. Groups too large for that are
 compared bucket by bucket.
 """
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from math import acos, ceil, comb, erf, exp, log, pi, sqrt
+from math import ceil, erf, exp, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +34,12 @@ WIDTH = 6.0
 #: Comparisons of sketches that a row in a table costs, for the choice of k.
 COPY = 1_000
 #: Vectors, and sketches, of a group that are compared at a time.
-CAP, SKETCHES = 1024, 2048
+CAP, SKETCHES = 1024, 1024
 #: Vectors of a group of candidates from which it is compared by buckets.
 LARGE = 1 << 16
-#: Bits of a sketch, and the chance at which it hides a pair at the threshold.
-BITS, HIDDEN = 128, 1e-5
+#: Standard deviations that the cosine of two sketches may be below what is
+#: expected at the threshold; more has a chance of 3e-7.
+SLACK = 5.0
 
 
 def agree(distance: float, width: float) -> float:
@@ -61,17 +62,6 @@ def plan(n: int, threshold: float, miss: float) -> tuple[int, int, float]:
     return k, tables(k), width
 
 
-def most_different(threshold: float) -> int:
-    """Bits in which sketches of a pair at the threshold may differ."""
-    p = acos(max(-1.0, min(1.0, threshold))) / pi
-    chance = 1.0
-    for bits in range(BITS + 1):
-        chance -= comb(BITS, bits) * p**bits * (1 - p) ** (BITS - bits)
-        if chance <= HIDDEN:
-            return bits
-    return BITS
-
-
 @lru_cache(maxsize=8)
 def projections(dim: int, k: int, tables: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng([seed, dim, k, tables])
@@ -97,10 +87,30 @@ def directions(vectors: pa.Array, dim: int) -> np.ndarray:
     return matrix / np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
 
 
-def sketches(unit: np.ndarray, seed: int) -> np.ndarray:
-    """Signs of random projections, as two words a row."""
-    signs = np.random.default_rng([seed, unit.shape[1], BITS]).standard_normal((unit.shape[1], BITS))
-    return np.packbits(unit @ signs >= 0, axis=1).view(np.uint64)
+def sketches(unit: np.ndarray) -> np.ndarray:
+    """Rows of bytes: how far the sketched direction is from the true one (a
+    32-bit float), then the components in steps of a seventh of the largest,
+    two to a byte."""
+    steps = np.rint(unit / np.abs(unit).max(axis=1, keepdims=True) * 7).astype(np.int8)
+    near = steps / np.sqrt((steps.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
+    off = np.sqrt(((near - unit) ** 2).sum(axis=1)).astype("<f4")
+    steps = np.pad((steps + 8).astype(np.uint8), ((0, 0), (0, unit.shape[1] % 2)), constant_values=8)
+    return np.concatenate([off.view(np.uint8).reshape(-1, 4), steps[:, ::2] << 4 | steps[:, 1::2]], axis=1)
+
+
+def sketched(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The directions that sketches stand for, and how far they are off."""
+    off, body = np.ascontiguousarray(rows[:, :4]).view("<f4")[:, 0], rows[:, 4:]
+    steps = np.stack([body >> 4, body & 15], axis=2).reshape(len(rows), -1).astype(np.float32) - 8
+    return steps / np.sqrt((steps * steps).sum(axis=1, keepdims=True)), off
+
+
+def lowest(off_a: np.ndarray, off_b: np.ndarray, dim: int, threshold: float) -> np.ndarray:
+    """The cosine that sketches of a pair at the threshold have at least.
+    Rounding turns a direction by about ``off`` to a random side: that shrinks
+    cosines by (1 - off^2 / 2) and scatters them by off / sqrt(dim)."""
+    shrunk = threshold * (1 - off_a**2 / 2) * (1 - off_b**2 / 2)
+    return shrunk - SLACK * np.sqrt((off_a**2 + off_b**2 + off_a**2 * off_b**2) / dim) - 1e-5
 
 
 def by_dimension(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
@@ -115,16 +125,17 @@ def by_dimension(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.Re
 
 
 def _sketch(batches: Iterable[pa.RecordBatch], plan: tuple) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, node, x, y): bucket names table and bucket, x and y are
-    the sketch."""
-    tables, seed = plan[1], plan[3]
+    """Rows (bucket, dim, node, s): bucket names table and bucket, s is the
+    sketch."""
+    tables = plan[1]
     table = np.arange(tables, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for _, part, unit in by_dimension(batches):
+    for dim, part, unit in by_dimension(batches):
         key = (buckets(unit, *plan).astype(np.uint64) << np.uint64(31)) * np.uint64(0xD1B54A32D192ED03) ^ table
-        words = np.repeat(sketches(unit, seed).view(np.int64), tables, axis=0)
-        nodes = np.repeat(part.column("node").to_numpy(), tables)
-        arrays = [pa.array(x) for x in (key.reshape(-1).view(np.int64), nodes, words[:, 0].copy(), words[:, 1].copy())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "node", "x", "y"])
+        rows = [r.tobytes() for r in sketches(unit)]
+        n = len(rows) * tables
+        every = pa.array(np.repeat(np.arange(len(rows)), tables))
+        arrays = [pa.array(key.reshape(-1).view(np.int64)), pa.array(np.full(n, dim, np.int32)), part.column("node").take(every), pa.array(rows, pa.binary()).take(every)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "dim", "node", "s"])
 
 
 def spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -142,24 +153,26 @@ def spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         least = new
 
 
-def _candidates(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Links that connect rows of a bucket whose sketches are near."""
-    for table, group in whole_groups(batches, ["bucket", "_i", "_j"]):
+    for table, group in whole_groups(batches, ["bucket", "dim", "_i", "_j"]):
         starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         node, side = table.column("node").to_numpy(), table.column("_s").to_numpy()
         crossing = table.column("_i").to_numpy() != table.column("_j").to_numpy()
-        x, y = (table.column(c).to_numpy().view(np.uint64) for c in "xy")
+        dims, data = table.column("dim").to_numpy(), table.column("s").combine_chunks()
         left, right = [], []
         for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(group)], strict=True):
+            if e - s < 2:
+                continue
             found: list[tuple[np.ndarray, np.ndarray]] = []
-            for at in range(s, e - 1, 256):
-                own = slice(at, min(at + 256, e))
-                differ = np.bitwise_count(x[own, None] ^ x[None, at:e]) + np.bitwise_count(y[own, None] ^ y[None, at:e])
-                hit = differ <= most
+            near, off = sketched(np.frombuffer(b"".join(data.slice(s, e - s).to_pylist()), np.uint8).reshape(e - s, -1))
+            for at in range(0, e - s - 1, 256):
+                own = slice(at, min(at + 256, e - s))
+                hit = near[own] @ near[at:].T >= lowest(off[own, None], off[None, at:], int(dims[s]), threshold)
                 if crossing[s]:
-                    hit &= side[own, None] != side[None, at:e]
+                    hit &= side[s:e][own, None] != side[None, s + at : e]
                 a, b = np.nonzero(hit)
-                found.append((a[a < b] + at - s, b[a < b] + at - s))
+                found.append((a[a < b] + at, b[a < b] + at))
             if any(len(a) for a, _ in found):
                 least = spanning(*(np.concatenate(z) for z in zip(*found, strict=True)), e - s)
                 own = np.flatnonzero(least != np.arange(e - s))
@@ -266,13 +279,12 @@ def near_duplicates(
     classes = rows.where("ok").groupBy("h", "i").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("v").alias("v"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     chosen = (*plan(classes.count(), threshold, miss), seed)
-    most = most_different(threshold)
 
-    def sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tabled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _sketch(batches, chosen)
 
     def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _candidates(batches, most)
+        return _candidates(batches, threshold)
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _hash(batches, chosen)
@@ -281,8 +293,8 @@ def near_duplicates(
         return _verify(batches, threshold, chosen)
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    sent = classes.select("node", "v").mapInArrow(sketched, "bucket long, node long, x long, y long")
-    links = grouped(sent, ["bucket"], "node", sketches_cap).mapInArrow(near, "a long, b long")
+    sent = classes.select("node", "v").mapInArrow(tabled, "bucket long, dim int, node long, s binary")
+    links = grouped(sent, ["bucket", "dim"], "node", sketches_cap).mapInArrow(near, "a long, b long")
     groups = written(components(links).select("node", F.col("component").alias("g")), "groups")
     sizes = groups.groupBy("g").agg(F.count("*").alias("_size")).where(F.col("_size") > large)
     members = classes.select("node", "n", "v").join(groups, "node").join(written(sizes, "sizes"), "g", "left")

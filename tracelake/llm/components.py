@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.shared import written
 
-#: Pointer jumps in a round: a chain shrinks by 2 to this power.
-JUMPS = 3
+#: Pointer jumps in a round: a chain shrinks by 2 to this power. Most links are
+#: stars, which one round contracts without any.
+JUMPS = 1
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -87,6 +87,7 @@ def verified(batches: Iterable[pa.RecordBatch], similarity: float, distance: int
         bands = np.stack(table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS))
         fp, node, side = table.column("fp").to_numpy().view(np.uint64), table.column("node").to_numpy(), table.column("_s").to_numpy()
         crossing = table.column("_i").to_numpy() != table.column("_j").to_numpy()
+        other = (crossing & (side == table.column("_j").to_numpy())).astype(np.int64)
         sets = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("shingles")]
         label, tried = np.arange(len(group)), set()
         left, right = [], []
@@ -107,13 +108,22 @@ def verified(batches: Iterable[pa.RecordBatch], similarity: float, distance: int
             same = (group[order][1:] == group[order][:-1]) & (bands[order, k][1:] == bands[order, k][:-1])
             edge = np.flatnonzero(np.diff(np.r_[0, same.astype(np.int8), 0]))
             for a, b in edge.reshape(-1, 2).tolist():
-                clusters: list[list[int]] = []  # of what is connected, so a tight bucket takes one comparison a row
+                # clusters of what is connected, by side of a pair of chunks: a
+                # tight bucket takes one comparison a row
+                clusters: list[tuple[list[int], list[int]]] = []
                 for y in order[a : b + 1].tolist():
+                    mine, apart = ([], []), []
                     for own in clusters:
-                        if label[own[0]] != label[y]:
-                            any(linked(x, y) for x in own)
-                    mine = next((own for own in clusters if label[own[0]] == label[y]), None)
-                    clusters.append([y]) if mine is None else mine.append(y)
+                        known = (own[0] or own[1])[0]
+                        if label[known] == label[y] or any(linked(x, y) for x in own[int(crossing[y]) * (1 - other[y])]):
+                            large, small = (own, mine) if len(own[0]) + len(own[1]) >= len(mine[0]) + len(mine[1]) else (mine, own)
+                            large[0].extend(small[0])
+                            large[1].extend(small[1])
+                            mine = large
+                        else:
+                            apart.append(own)
+                    mine[int(other[y])].append(y)
+                    clusters = [*apart, mine]
         starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(group)], strict=True):
             for x in range(s, e - 1):
